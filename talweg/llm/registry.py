@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module that holds the function of that name.
 MODULES = {
+    "op1_quality_rules": "rules",
     "op6_best_fit_packing": "packing",
+    "op10_url_filter": "urlfilter",
+}
+#: Query name -> module and name of its SQL.
+ORACLE = {
+    "op10_url_filter": ("urlfilter", "OP10_SQL"),
 }
-
-ORACLE: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return {name: getattr(import_module(f"talweg.llm.{module}"), text) for name, (module, text) in ORACLE.items()}
