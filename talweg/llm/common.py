@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -73,3 +74,9 @@ def one_thread() -> None:
     """Executors give each task one core: keep native libraries from starting more threads."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     os.environ.setdefault("RAYON_NUM_THREADS", "1")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: it does so once their plans are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
