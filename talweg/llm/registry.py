@@ -12,10 +12,12 @@ MODULES = {
     "op1_quality_rules": "rules",
     "op5_suffix_array_dedup": "suffixdup",
     "op6_best_fit_packing": "packing",
+    "op8_ngram_jaccard_join": "neardup",
     "op10_url_filter": "urlfilter",
 }
 #: Query name -> module and name of its SQL.
 ORACLE = {
+    "op8_ngram_jaccard_join": "neardup",
     "op10_url_filter": ("urlfilter", "OP10_SQL"),
 }
 
