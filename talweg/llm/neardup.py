@@ -139,9 +139,9 @@ def classes(docs: DataFrame, words: int = WORDS, hashes: int = MOST_HASHES) -> t
     kind = src.schema["doc_id"].dataType.simpleString()
     signed = src.mapInArrow(partial(_sign, n=words, hashes=hashes), f"doc_id {kind}, text_hash long, set_key binary, sign binary").withColumn("cid", F.xxhash64("set_key"))
     signed = signed.withColumn("cid", F.when(F.col("set_key").isNotNull(), F.col("cid")))
-    signed = materialize(signed.select("doc_id", "cid", "text_hash", "sign"), "signed")
+    signed = materialize(signed.select("doc_id", "text_hash", "cid", "sign"), "signed")
     same = signed.where("cid is not null").groupBy("cid", "sign").agg(F.count("*").alias("n_docs"), F.min(F.struct("text_hash", "doc_id")).alias("one"))
-    return signed.select("doc_id", "cid"), materialize(same.select("cid", "sign", "n_docs", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")), "classes")
+    return signed.select("doc_id", "text_hash", "cid"), materialize(same.select("cid", "sign", "n_docs", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")), "classes")
 
 
 def candidates(same: DataFrame, bands: int, rows: int, least: float, block: int = BLOCK) -> DataFrame:
@@ -174,7 +174,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """Documents with their class and number of links, and the verified links between gram sets.
 
-    First: ``doc_id, class_id, n_links``: class_id is the least doc_id of the connected group,
+    First: ``doc_id, text_hash, root, class_id, n_links``: root numbers the connected group, class_id is the least doc_id of the connected group,
     n_links counts other documents at Jaccard ``similarity`` or more, copies included. Documents
     of one gram set are one class from the start and are never expanded into pairs. A text
     without words (null, empty, blank) is linked to nothing. Repeated rows count as copies; null doc_ids
@@ -201,9 +201,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     info = info.select("cid", F.coalesce("root", "cid").alias("root"), (F.col("n_docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     placed = materialize(members.join(info, "cid", "left"), "placed")
     first = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    out = placed.join(first, "root", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = placed.join(first, "root", "left").select("doc_id", "text_hash", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out, links
 
 
+def keep_one(docs: DataFrame, **options: object) -> DataFrame:
+    """One document of each group of near duplicates, the one of least doc_id (then hash); all columns.
+
+    Texts without words are in no group and all stay, but for rows that repeat one doc_id and text.
+    """
+    found = near_duplicates(docs, **options)[0]
+    best = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.*")
+    stay = best.unionByName(found.where("root is null").select("doc_id", "text_hash").distinct()).select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("r_id"), F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))).alias("r_hash"))
+    kept = rows.join(stay, F.col("r_id").eqNullSafe(F.col("k_id")) & (F.col("r_hash") == F.col("k_hash")), "left_semi")
+    return kept.dropDuplicates(["r_id", "r_hash"]).select("row.*")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))[0]
+    return near_duplicates(table(spark, sf_dir, "documents"))[0].select("doc_id", "class_id", "n_links")

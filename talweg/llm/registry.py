@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module that holds the function of that name.
 MODULES = {
     "op1_quality_rules": "rules",
+    "op4_mix_to_targets": "mixing",
     "op5_suffix_array_dedup": "suffixdup",
     "op6_best_fit_packing": "packing",
     "op8_ngram_jaccard_join": "neardup",

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm.common import BLANKS, table, text_bytes
+from talweg.llm.common import BLANKS, ship, table, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 ENDS = tuple(".!?:;…\"'”»)")
@@ -206,6 +206,20 @@ def judge(docs: DataFrame, model: LineCrf, min_content: float = MIN_CONTENT) ->
     return src.mapInArrow(partial(_judge, model=model, min_content=min_content), f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_content_lines long, content_share double, boilerplate_lines array<int>")
 
 
+def _keep(batches: Iterator[pa.RecordBatch], at: int, model: LineCrf, min_content: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text = batch.column(at).cast(pa.large_binary()).fill_null(b"")
+        pair = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), text], ["doc_id", "text"])
+        for judged in _judge(iter([pair]), model, min_content):
+            yield batch.filter(judged.column(7))
+
+
+def keep_good(docs: DataFrame, model: LineCrf, min_content: float = MIN_CONTENT) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    ship(docs.sparkSession)
+    return docs.mapInArrow(partial(_keep, at=docs.columns.index("text"), model=model, min_content=min_content), docs.schema)
+
+
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array([lines_of(t.decode("utf-8", "replace"))[0] for t in batch.column(1).to_pylist()], pa.list_(pa.int32())), batch.column(0)], ["codes", "quality"])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm.common import materialize, release, table, text_bytes
+from talweg.llm.common import materialize, release, ship, table, text_bytes
 
 LENGTH, GRAM = 200, 64
 #: Bytes that one pass hashes; longer runs of text are cut with an overlap of a window.
@@ -315,6 +315,40 @@ def repeated_spans(src: DataFrame, length: int = LENGTH, gram: int = GRAM, bucke
     return spans.unionByName(some).unionByName(many)
 
 
+def spans_by_text(docs: DataFrame, length: int, gram: int, **sizes: int) -> DataFrame:
+    """``d, h, spans``: the spans of each doc_id and hash of its text."""
+    src = text_bytes(docs).withColumn("text_hash", F.xxhash64("text"))
+    spans = repeated_spans(src, length, gram, **sizes)
+    return spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("s", "e")).alias("spans")).withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
+
+
+def _replace(batches: Iterator[pa.RecordBatch], text_at: int, chars_at: int) -> Iterator[pa.RecordBatch]:
+    """Rows with their spans last -> rows with the text that is left."""
+    for batch in batches:
+        text = batch.column(text_at)
+        pair = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), text.cast(pa.large_binary()).fill_null(b""), batch.column(batch.num_columns - 1)], ["doc_id", "text", "spans"])
+        for cut in _cut(iter([pair])):
+            left = [None if was is None else b.decode("utf-8", "ignore") for b, was in zip(cut.column(4).to_pylist(), text.to_pylist(), strict=True)]
+            cols = list(batch.columns[:-1])
+            cols[text_at] = pa.array(left, batch.schema.field(text_at).type)
+            if chars_at >= 0:
+                cols[chars_at] = pa.array([None if t is None else len(t) for t in left], batch.schema.field(chars_at).type)
+            yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1])
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **sizes: int) -> DataFrame:
+    """``docs`` with repeated passages cut from ``text`` (and ``n_chars`` set anew, if there).
+
+    Characters that a cut at a byte leaves incomplete go too. Rows all stay, a null text as null.
+    """
+    ship(docs.sparkSession)
+    per_doc = spans_by_text(docs, length, gram, **sizes)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("r_id"), F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))).alias("r_hash"))
+    both = rows.join(per_doc, F.col("r_id").eqNullSafe(F.col("d")) & (F.col("r_hash") == F.col("h")), "left").select("row.*", "spans")
+    cols = docs.columns
+    return both.mapInArrow(partial(_replace, text_at=cols.index("text"), chars_at=cols.index("n_chars") if "n_chars" in cols else -1), docs.schema)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **sizes: int) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, spans, kept`` (binary) and ``kept_sha256``.
 
@@ -325,8 +359,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **si
     """
     src = text_bytes(docs).withColumn("text_hash", F.xxhash64("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    spans = repeated_spans(src, length, gram, **sizes)
-    per_doc = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("s", "e")).alias("spans")).withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
+    per_doc = spans_by_text(docs, length, gram, **sizes)
     both = src.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<s:long,e:long>>, kept binary, kept_sha256 string")
 
