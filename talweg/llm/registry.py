@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module that holds the function of that name.
 MODULES = {
     "op1_quality_rules": "rules",
+    "op2_token_counts": "tokencounts",
+    "op3_quality_classifier": "quality",
     "op4_mix_to_targets": "mixing",
     "op5_suffix_array_dedup": "suffixdup",
     "op6_best_fit_packing": "packing",
