@@ -15,11 +15,13 @@ MODULES = {
     "op4_mix_to_targets": "mixing",
     "op5_suffix_array_dedup": "suffixdup",
     "op6_best_fit_packing": "packing",
+    "op7_html_text": "htmltext",
     "op8_ngram_jaccard_join": "neardup",
     "op10_url_filter": "urlfilter",
 }
 #: Query name -> module and name of its SQL.
 ORACLE = {
+    "op7_html_text": "htmltext",
     "op8_ngram_jaccard_join": "neardup",
     "op10_url_filter": ("urlfilter", "OP10_SQL"),
 }
