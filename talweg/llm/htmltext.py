@@ -65,19 +65,28 @@ def build(source: str) -> Node:
     """Tree of a page: implied end tags are added, stray end tags ignored, rows get a table section only if written."""
     root = Node("#page", {})
     stack, at, size = [root], 0, len(source)
+    opened: dict[str, int] = {}  # how many elements of a name are on the stack: no search for what isn't
 
     def text(s: str) -> None:
         if s:
             stack[-1].kids.append(html.unescape(s) if "&" in s else s)
 
     def end(names: set | frozenset, barriers: set | frozenset) -> None:
+        if not any(map(opened.get, names)):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
+                for n in stack[k:]:
+                    opened[n.name] -= 1
                 del stack[k:]
                 return
             if stack[k].name in barriers:
                 return
 
+    def push(node: Node) -> None:
+        stack.append(node)
+        opened[node.name] = opened.get(node.name, 0) + 1
+
     while at < size:
         m = TOKEN.search(source, at)
         if not m:
@@ -91,7 +100,7 @@ def build(source: str) -> Node:
         if m[1]:
             if name == "br":
                 stack[-1].kids.append(Node("br", {}))
-            elif name == "p" and not any(n.name == "p" for n in stack):
+            elif name == "p" and not opened.get("p"):
                 stack[-1].kids.append(Node("p", {}))
             elif name in ("html", "body"):
                 continue  # what follows still belongs to the page
@@ -107,7 +116,7 @@ def build(source: str) -> Node:
             end({"tr"}, {"table"})
         elif name in ("td", "th") and stack[-1].name in ("table", "thead", "tbody", "tfoot"):
             stack[-1].kids.append(row := Node("tr", {}))
-            stack.append(row)
+            push(row)
         elif name == "body" or (name in BLOCK and name not in ("html", "body")):
             end({"head"}, {"html", "body"})
         node = Node(name, attributes(m[3]) if m[3].strip(" \t\r\n\f/") else {})
@@ -120,7 +129,7 @@ def build(source: str) -> Node:
             node.kids.append(body if name in RAW else html.unescape(body))
             at = size if not stop else (source.find(">", stop.end()) + 1 or size)
             continue
-        stack.append(node)
+        push(node)
     return root
 
 
