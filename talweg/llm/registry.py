@@ -17,6 +17,7 @@ MODULES = {
     "op6_best_fit_packing": "packing",
     "op7_html_text": "htmltext",
     "op8_ngram_jaccard_join": "neardup",
+    "op9_topk_search": "search",
     "op10_url_filter": "urlfilter",
 }
 #: Query name -> module and name of its SQL.
