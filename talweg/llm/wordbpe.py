@@ -7,6 +7,8 @@ packed little-endian unsigned 32-bit ids; a text is then a lookup per chunk.
 
 from __future__ import annotations
 
+from array import array
+
 import regex
 
 from talweg.llm.common import one_thread
@@ -15,6 +17,14 @@ from talweg.llm.common import one_thread
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Latin characters whose lower case and composed form need no context: chunks of these only can be split here.
 PLAIN = regex.compile("[!-~¡-įı-ɏ]+")
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+
+
+def byte_signs() -> dict[int, str]:
+    """Byte-level vocabularies write printable Latin-1 bytes as themselves and the others as signs from U+0100 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class WordEncoder:
@@ -25,45 +35,54 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = False
+        self.model, self.signs = self.tokenizer.model, byte_signs()
         self.most, self.chunks, self.pieces, self.core = most, {}, {}, {}
 
-    def _pack(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _piece(self, piece: str) -> bytes:
+        """Packed ids of one letter run, digit or sign run, straight from the merge rules."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.signs)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def learn(self, missing: list[bytes]) -> None:
         """Encode chunks that aren't cached; plain ones by way of their letters, digits and signs."""
-        if len(self.chunks) > self.most:  # keep the earliest chunks: they hold the frequent ones
-            self.chunks = dict(self.core)
-        if len(self.pieces) > self.most:
-            self.pieces = {}
-        split, whole = {}, []
+        pieces, chunks, whole = self.pieces, self.chunks, []
         for chunk in missing:
             s = chunk.decode()
-            if PLAIN.fullmatch(s) and not ("<|" in s and "|>" in s):
-                split[chunk] = SPLIT.findall(s.lower())
-            else:
+            if (not s.isascii() and not PLAIN.fullmatch(s)) or not s.isprintable() or "<|" in s:
                 whole.append(chunk)
-        pieces = self.pieces
-        new = [p for p in dict.fromkeys(p for ps in split.values() for p in ps) if p not in pieces]
-        pieces.update(zip(new, self._pack(new), strict=True))
-        for chunk, ps in split.items():
-            self.chunks[chunk] = b"".join([pieces[p] for p in ps])
-        self.chunks.update(zip(whole, self._pack([c.decode() for c in whole]), strict=True))
-        if not self.core and len(self.chunks) > self.most // 8:
+                continue
+            word = s.rstrip(SIGNS)
+            parts = (word.lower(), s[len(word) :]) if word.isalpha() else SPLIT.findall(s.lower())
+            ids = b""
+            for p in parts:
+                if p:
+                    if (known := pieces.get(p)) is None:
+                        known = pieces[p] = self._piece(p)
+                    ids += known
+            chunks[chunk] = ids
+        if whole:
+            for chunk, e in zip(whole, self.tokenizer.encode_batch([c.decode() for c in whole], add_special_tokens=False), strict=True):
+                chunks[chunk] = array("I", e.ids).tobytes()
+
+    def trim(self) -> None:
+        """Keep the caches bounded: the earliest half stays, as it holds the frequent chunks."""
+        if not self.core and len(self.chunks) > self.most // 2:
             self.core = dict(self.chunks)
+        if len(self.chunks) > self.most:
+            self.chunks = dict(self.core)
+        if len(self.pieces) > self.most:
+            self.pieces = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of each UTF-8 text."""
         out = []
         for at in range(0, len(texts), 64):
-            split = [t.split() for t in texts[at : at + 64]]
-            if missing := set().union(*split) - self.chunks.keys():
-                self.learn(list(missing))
-            get = self.chunks.__getitem__
+            split, chunks = [t.split() for t in texts[at : at + 64]], self.chunks
+            self.learn([w for w in set().union(*split) if w not in chunks])
+            get = chunks.__getitem__
             out += [b"".join(map(get, words)) for words in split]
+            self.trim()
         return out
 
 
