@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talweg.operators import contour, critical, export, fields, geodesic, topology
+from talweg.operators import contour, critical, export, fields, geodesic, topology, vizprep
 from talweg.plans.methods import METHODS, Engine
 from talweg.sources.tubes import Mesh, tubes
 
@@ -254,6 +254,11 @@ query("adaptive_levels")(lambda m: contour.adaptive_levels(m, zr(m), HEIGHT).sel
 query("slices_json")(lambda m: export.slice_documents(contour.slices(_parts(m), 50), _parts(m), export.component_topology(_parts(m), m, topology.side_vertices(m).select("mesh_id", "vid", "boundary_side", "boundary_number"), _saddle_points(m))).select("mesh_id", F.get_json_object("document", "$.meta.slice_count").alias("slices"), (F.length("document") > 0).alias("written")))
 query("field_json")(lambda m: export.field_documents(m, fields.coordinate(m)))
 query("graphml")(lambda m: export.graphml_lines(m.vertices, topology.labelled_edges(m).drop("n_faces")))
+query("edge_traces", """select el.mesh_id, el.u, el.w as v, case when n_faces = 1 and p.boundary_number = q.boundary_number then p.boundary_side else 'internal' end as trace
+  from el left join sv p on p.mesh_id = el.mesh_id and p.vid = el.u left join sv q on q.mesh_id = el.mesh_id and q.vid = el.w""")(lambda m: vizprep.edge_traces(m, topology.labelled_edges(m)).select("mesh_id", "u", "v", "trace"))
+query("node_colors", """select v.mesh_id, v.vid, cast(case boundary_side when 'lower' then 0 when 'upper' then 1 else 0.5 end as double) as color from v left join sv on sv.mesh_id = v.mesh_id and sv.vid = v.vid""")(lambda m: vizprep.node_colors(m, topology.side_vertices(m)).select("mesh_id", "vid", "color"))
+query("colored_vertices")(lambda m: vizprep.colored(fields.coordinate(m)))
+query("slice_lines")(lambda m: vizprep.slice_lines(_parts(m), contour.slices(_parts(m), 50)))
 for _name in sorted(METHODS):
     query(f"method_{_name}")(lambda m, k=_name: Engine(m, {"iso_slices": {"samples": 50}}).run(k, HEIGHT * 10).slices.select("mesh_id", "layer_number", F.round("level", 6).alias("level"), "component_count", F.round("total_length", 6).alias("total_length")))
 
