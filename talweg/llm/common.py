@@ -80,3 +80,11 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs now: it does so once their plans are collected as garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer if the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken or f"{name}_p" in taken:
+        name += "_"
+    return name

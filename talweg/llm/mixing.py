@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm.common import materialize, table
+from talweg.llm.common import free_name, materialize, table
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Share of all tokens to keep, and the power that flattens each marginal's own shares into targets.
@@ -126,14 +126,6 @@ def with_mix(docs: DataFrame, name: str, topic: Column | None = None, fraction:
     return out.withColumn(name, F.struct(f"{name}.*", F.col(mark).alias("prob"), (1 / F.when(F.col(mark) > 0, F.col(mark))).alias("weight"), (even < F.col(mark)).alias("kept"))).select(*docs.columns, name)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, longer if the table has it."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken or f"{name}_p" in taken:
-        name += "_"
-    return name
-
-
 def sample(docs: DataFrame, **options: object) -> DataFrame:
     """The documents that the mix keeps, with their own columns."""
     name = free_name(docs, "mix")

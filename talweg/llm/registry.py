@@ -22,8 +22,6 @@ MODULES = {
 }
 #: Query name -> module and name of its SQL.
 ORACLE = {
-    "op7_html_text": "htmltext",
-    "op8_ngram_jaccard_join": "neardup",
     "op10_url_filter": ("urlfilter", "OP10_SQL"),
 }
 
