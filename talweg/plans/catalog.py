@@ -82,8 +82,11 @@ BLOCKS = {
     "dn": """select mesh_id, boundary_number, vid, cast(0 as double) as d from sv union
       (select dn.mesh_id, dn.boundary_number, t as vid, min(dn.d + weight) as d from dn join sym on sym.mesh_id = dn.mesh_id and s = dn.vid
         left join recurring.dn o on o.mesh_id = sym.mesh_id and o.boundary_number = dn.boundary_number and o.vid = t where o.d is null or dn.d + weight < o.d group by all)""",
+    "ds": """select mesh_id, vid, cast(0 as double) as d from crit where critical_type = 'saddle' union
+      (select ds.mesh_id, t as vid, min(ds.d + weight) as d from ds join sym on sym.mesh_id = ds.mesh_id and s = ds.vid
+        left join recurring.ds o on o.mesh_id = sym.mesh_id and o.vid = t where o.d is null or ds.d + weight < o.d group by all)""",
 }
-KEYED = {"dl": "dl(mesh_id, vid, d) using key (mesh_id, vid)", "du": "du(mesh_id, vid, d) using key (mesh_id, vid)", "dn": "dn(mesh_id, boundary_number, vid, d) using key (mesh_id, boundary_number, vid)"}
+KEYED = {"ds": "ds(mesh_id, vid, d) using key (mesh_id, vid)", "dl": "dl(mesh_id, vid, d) using key (mesh_id, vid)", "du": "du(mesh_id, vid, d) using key (mesh_id, vid)", "dn": "dn(mesh_id, boundary_number, vid, d) using key (mesh_id, boundary_number, vid)"}
 
 
 def sql(text: str) -> str:
@@ -198,6 +201,12 @@ def _untied_saddles(m: Mesh) -> DataFrame:
 
 query("saddle_radius", """select mesh_id, vid, round(least(dl.d, du.d), 6) as radius from crit join dl using (mesh_id, vid) join du using (mesh_id, vid) where critical_type = 'saddle'""")(
     lambda m: r6(_untied_saddles(m).join(geodesic.to_side(m.vertices, _arcs(m), topology.side_vertices(m, "lower")).withColumnRenamed("value", "lo"), ["mesh_id", "vid"]).join(geodesic.to_side(m.vertices, _arcs(m), topology.side_vertices(m, "upper")).withColumnRenamed("value", "up"), ["mesh_id", "vid"]).select("mesh_id", "vid", F.least("lo", "up").alias("radius")), "radius"))
+query("distance_to_saddles", "select mesh_id, vid, round(d, 6) as value from ds")(lambda m: r6(geodesic.to_side(m.vertices, _arcs(m), _untied_saddles(m).select("mesh_id", "vid")), "value"))
+query("nearest_nodes", """select mesh_id, pid, vid, round(sqrt(d2), 6) as distance from (select p.mesh_id, p.vid as pid, v.vid, (v.x - p.x - cast(0.3 as double)) * (v.x - p.x - cast(0.3 as double)) + (v.y - p.y + cast(0.2 as double)) * (v.y - p.y + cast(0.2 as double)) + (v.z - p.z - cast(0.1 as double)) * (v.z - p.z - cast(0.1 as double)) as d2,
+  row_number() over (partition by p.mesh_id, p.vid order by (v.x - p.x - cast(0.3 as double)) * (v.x - p.x - cast(0.3 as double)) + (v.y - p.y + cast(0.2 as double)) * (v.y - p.y + cast(0.2 as double)) + (v.z - p.z - cast(0.1 as double)) * (v.z - p.z - cast(0.1 as double)), v.vid) as k
+  from v p join v on v.mesh_id = p.mesh_id where p.vid % 50 = 7) where k = 1""")(
+    lambda m: r6(geodesic.nearest_nodes(m.vertices, m.vertices.where("vid % 50 = 7").select(F.col("mesh_id").alias("mesh_id"), F.col("vid").alias("pid"), (F.col("x") + 0.3).alias("x"), (F.col("y") - 0.2).alias("y"), (F.col("z") + 0.1).alias("z"))), "distance"))
+query("collection_length", "select mesh_id, count(distinct layer) as n_levels, round(sum(len), 6) as total_length from seg group by all")(lambda m: r6(contour.segments(m, zr(m), LEVELS).groupBy("mesh_id").agg(F.countDistinct("layer").alias("n_levels"), F.sum("len").alias("total_length")), "total_length"))
 query("saddle_clusters")(lambda m: critical.saddle_clusters(m, critical.critical_points(m, zr(m)).where("critical_type = 'saddle'").select("mesh_id", "vid", F.col("confidence").alias("score")), 1.8))
 query("conforming_field")(lambda m: r6(METHODS["conformal"](Engine(m)), "value"))
 query("nearest_vertex_to_centroid", """select mesh_id, boundary_number, vid, round(sqrt(d2), 6) as distance from (select meta.mesh_id, boundary_number, vid, d2, row_number() over (partition by meta.mesh_id, boundary_number order by round(d2, 9), vid) as k from
