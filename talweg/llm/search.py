@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from talweg.llm.common import materialize, release, table, text_bytes
 
@@ -21,7 +23,7 @@ K1, B, TOP = 1.2, 0.75, 10
 #: Documents of a shard on average, and of a block within it.
 SHARD, BLOCK = 8192, 64
 #: Queries that go to all shards at once, and the bytes of their terms at most (larger texts make smaller sets).
-QUERIES, QUERY_BYTES = 4096, 32_000_000
+QUERIES, QUERY_BYTES = 2048, 16_000_000
 #: Terms in more than this share of a shard are scored for all its documents by one product.
 DENSE = 0.1
 
@@ -45,36 +47,52 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array(sizes, pa.int64())], ["doc_id", "text_hash", "terms", "counts", "size"])
 
 
+def _store(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The documents of one shard as one row: postings by term, packed, with the documents' ids and sizes."""
+    pdf = pdf.sort_values(["doc_id", "text_hash"], ignore_index=True, na_position="last")
+    each = pdf["terms"].map(len).to_numpy(np.int64)
+    term = np.concatenate(list(pdf["terms"])).astype(np.int64)
+    doc, tf = np.repeat(np.arange(len(pdf)), each), np.concatenate(list(pdf["counts"])).astype(np.int64)
+    order = np.lexsort((doc, term))
+    names, first = np.unique(term[order], return_index=True)
+    small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    ids = [None if i is None or i != i else i for i in pdf["doc_id"].tolist()]
+    blob = pickle.dumps((ids, pdf["size"].to_numpy(np.int64), names, np.append(first, len(term)), small(doc[order]), small(tf[order])))
+    return pd.DataFrame({"n": [len(pdf)], "size": [int(pdf["size"].sum())], "blob": [blob]})
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents of a shard each of its terms is."""
+    for batch in batches:
+        for blob in batch.column(2).to_pylist():
+            _, _, names, first, _, _ = pickle.loads(blob)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.diff(first))], ["term", "df"])
+
+
 class Shard:
     """Index of one shard: postings by term, split in runs by block, with the largest impact of each run.
 
     Impacts are BM25 term scores without idf. Postings of common terms are a dense matrix instead.
     """
 
-    def __init__(self, lists: list[np.ndarray], counts: list[np.ndarray], sizes: np.ndarray, mean: float) -> None:
-        self.n = len(lists)
-        each = np.array([len(x) for x in lists], np.int64)
-        term = np.concatenate(lists) if self.n else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(self.n), each)
-        tf = np.concatenate(counts).astype(float) if self.n else np.zeros(0)
+    def __init__(self, sizes: np.ndarray, names: np.ndarray, first: np.ndarray, doc: np.ndarray, tf: np.ndarray, mean: float) -> None:
+        self.n = len(sizes)
+        df = np.diff(first)
+        code, doc, tf = np.repeat(np.arange(len(names)), df), doc.astype(np.int64), tf.astype(float)
         impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
-        names, code, df = np.unique(term, return_inverse=True, return_counts=True)
         common = df > max(DENSE * self.n, 16)
         self.dense_terms = names[common]
         self.dense = np.zeros((int(common.sum()), self.n))
         hit = common[code]
         self.dense[(np.cumsum(common) - 1)[code[hit]], doc[hit]] = impact[hit]
-        code, doc, impact = code[~hit], doc[~hit], impact[~hit]
-        order = np.lexsort((doc, code))
-        code, self.doc, self.impact = code[order], doc[order], impact[order]
+        code, self.doc, self.impact = code[~hit], doc[~hit], impact[~hit]
         head = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (self.doc[1:] // BLOCK != self.doc[:-1] // BLOCK)])) if len(code) else np.zeros(0, np.int64)
         self.run = np.concatenate([head, [len(code)]])
         self.run_block = self.doc[head] // BLOCK
         self.run_most = np.maximum.reduceat(self.impact, head) if len(head) else np.zeros(0)
         rare = np.flatnonzero(~common)
         self.terms = names[rare]
-        first = np.searchsorted(code[head], rare)
-        self.of_term = np.concatenate([first, [len(head)]])
+        self.of_term = np.concatenate([np.searchsorted(code[head], rare), [len(head)]])
 
     def dense_scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Scores of all documents by the common terms, a row for each query."""
@@ -129,21 +147,21 @@ def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.repeat(lo - (np.cumsum(each) - each), each) + np.arange(each.sum())
 
 
-def _search(pdf: pd.DataFrame, queries: object, mean: float, k: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["doc_id", "text_hash"], ignore_index=True, na_position="last")
-    shard = Shard(list(pdf["terms"]), list(pdf["counts"]), pdf["size"].to_numpy(float), mean)
-    ids, out_q, out_d, out_s = pdf["doc_id"], [], [], []
+def _search(batches: Iterator[pa.RecordBatch], queries: object, mean: float, k: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     asked = queries.value
-    for at in range(0, len(asked), 128):
-        part = asked[at : at + 128]
-        dense = shard.dense_scores([(t, v) for _, t, v in part])
-        for (q, t, v), score in zip(part, dense, strict=True):
-            best, found = shard.top(t, v, score, k)
-            out_q.append(np.full(len(best), q))
-            out_d.append(best)
-            out_s.append(found)
-    best = np.concatenate(out_d)
-    return pd.DataFrame({"query": np.concatenate(out_q).astype(np.int64), "doc_id": ids.to_numpy()[best], "score": np.concatenate(out_s)})
+    for batch in batches:
+        for blob in batch.column(2).to_pylist():
+            ids, *parts = pickle.loads(blob)
+            shard, out_q, out_d, out_s = Shard(*parts, mean), [], [], []
+            for at in range(0, len(asked), 128):
+                part = asked[at : at + 128]
+                dense = shard.dense_scores([(t, v) for _, t, v in part])
+                for (q, t, v), score in zip(part, dense, strict=True):
+                    best, found = shard.top(t, v, score, k)
+                    out_q.append(np.full(len(best), q, np.int64))
+                    out_d.append(best)
+                    out_s.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q)), pa.array(ids, kind).take(pa.array(np.concatenate(out_d))), pa.array(np.concatenate(out_s))], ["query", "doc_id", "score"])
 
 
 def search(docs: DataFrame, asked: F.Column, top: int = TOP, shard: int = SHARD) -> DataFrame:
@@ -157,40 +175,62 @@ def search(docs: DataFrame, asked: F.Column, top: int = TOP, shard: int = SHARD)
     """
     spark = docs.sparkSession
     marked = docs.select("doc_id", "text", F.coalesce(asked, F.lit(False)).alias("asked"))
-    src = text_bytes(marked).withColumn("text_hash", F.xxhash64("text"))
-    kind = src.schema["doc_id"].dataType.simpleString()
-    form = f"doc_id {kind}, text_hash long, terms array<long>, counts array<int>, size long"
-    index = materialize(src.mapInArrow(_terms, form), "terms")
-    n, mean = index.agg(F.count("*"), F.avg("size")).first()
-    if not n or not mean:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, doc_id {kind}, score double")
-    want = marked.where("asked").select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))).alias("text_hash")).distinct()
-    rows = index.withColumnsRenamed({"doc_id": "d", "text_hash": "h"}).join(want, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).dropDuplicates(["d", "h"])
-    df = index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    words = rows.select("doc_id", "text_hash", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("doc_id", "text_hash", F.col("x.terms").alias("term"), F.col("x.counts").alias("tf"))
+    kind = marked.schema["doc_id"].dataType
+    none = spark.createDataFrame([], f"query_id {kind.simpleString()}, rank int, doc_id {kind.simpleString()}, score double")
+    form = f"doc_id {kind.simpleString()}, text_hash long, terms array<long>, counts array<int>, size long"
+
+    def of(rows: DataFrame) -> DataFrame:
+        return text_bytes(rows).withColumn("text_hash", F.xxhash64("text")).mapInArrow(_terms, form)
+
+    shards = -(-marked.count() // shard)
+    if not shards:
+        return none
+    dealt = of(marked).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(shards)).cast("int"))
+    index = materialize(dealt.groupBy("shard").applyInPandas(_store, "n long, size long, blob binary"), "index")
+    del dealt
+    release(spark)
+    n, total = index.agg(F.sum("n"), F.sum("size")).first()
+    if not total:
+        return none
+    words = of(marked.where("asked")).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("doc_id", "text_hash", F.col("x.terms").alias("term"), F.col("x.counts").alias("tf"))
+    df = index.mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asks = words.join(df, "term").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("term", (idf * F.col("tf")).alias("w")))).alias("terms"))
-    asks = materialize(asks.withColumn("query", F.monotonically_increasing_id()), "queries")
+    asks = words.join(df, "term").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("term", (idf * F.col("tf")).alias("w")))).alias("x"))
+    asks = materialize(asks.select("doc_id", F.col("x.term").alias("terms"), F.col("x.w").alias("w"), F.monotonically_increasing_id().alias("query")), "queries")
+    del words, df
     release(spark)
-    shards = -(-n // shard)
-    dealt = index.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(shards)).cast("int"))
     found = None
-    sets = max(1, asks.agg(F.greatest(F.ceil(F.count("*") / QUERIES), F.ceil(F.sum(F.size("terms")) * 16 / QUERY_BYTES))).first()[0] or 1)
+    sets = asks.agg(F.greatest(F.ceil(F.count("*") / QUERIES), F.ceil(F.coalesce(F.sum(F.size("terms")), F.lit(0)) * 16 / QUERY_BYTES))).first()[0]
     for k in range(sets):
-        part = asks.where(F.pmod(F.xxhash64("query"), F.lit(sets)) == k).select("query", "terms").collect()
-        held = [(r["query"], np.array([x["term"] for x in r["terms"]], np.int64), np.array([x["w"] for x in r["terms"]])) for r in part]
+        part = asks.where(F.pmod(F.xxhash64("query"), F.lit(sets)) == k).select("query", "terms", "w").collect()
+        held = [(r["query"], np.array(r["terms"], np.int64), np.array(r["w"])) for r in part]
+        del part
         if not held:
             continue
         sent = spark.sparkContext.broadcast(held)
-        got = materialize(dealt.groupBy("shard").applyInPandas(partial(_search, queries=sent, mean=float(mean), k=top), f"query long, doc_id {kind}, score double"), "hits")
+        got = materialize(index.mapInArrow(partial(_search, queries=sent, mean=total / n, k=top, kind=to_arrow_type(kind)), f"query long, doc_id {kind.simpleString()}, score double"), "hits")
         sent.destroy()
         found = got if found is None else found.unionByName(got)
     if found is None:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, doc_id {kind}, score double")
+        return none
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     best = found.withColumn("rank", rank).where(F.col("rank") <= top)
     return best.join(asks.select("query", F.col("doc_id").alias("query_id")), "query").select("query_id", "rank", "doc_id", "score")
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
+    return search(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0).withColumn("score", F.round("score", 3))
+
+
+OP9_SQL = """
+with t as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) as term from documents),
+tf as (select doc_id, term, count(*) as tf from t group by all),
+size as (select doc_id, coalesce(sum(tf), 0) as size from documents left join tf using (doc_id) group by doc_id),
+mean as (select count(*) as n, avg(size) as mean from size),
+df as (select term, count(*) as df from tf group by term),
+score as (
+  select q.doc_id as query_id, d.doc_id, round(sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) as score
+  from tf q join tf d using (term) join df using (term) join size on size.doc_id = d.doc_id, mean where q.doc_id % 20 = 0 group by all),
+ranked as (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as rank from score)
+select query_id, rank, doc_id, round(score, 3) as score from ranked where rank <= 10
+"""
