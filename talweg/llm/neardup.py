@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from talweg.llm.common import materialize, release, table, text_bytes
 
 WORDS, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.999, 320
-#: Members of a band bucket that meet in one comparison; larger buckets are dealt in blocks that meet two at a time.
+#: Classes of a group that meet in one comparison; larger groups are dealt in blocks that meet two at a time.
 BLOCK = 512
 #: A pair whose signatures agree less than this is not verified: over five standard deviations below a true pair.
 SLACK = 0.13
@@ -74,47 +74,84 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, hashes: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "text_hash", "set_key", "sign"])
 
 
-def _meet(batches: Iterator[pa.RecordBatch], rows: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by meeting (key, i, j), of which each has a class, its block and signature -> pairs to verify.
+class Forest:
+    """Union-find that tells which links join two groups."""
 
-    A pair meets in every band where it agrees; it is told in its first only.
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Only those links of a partition that join groups; what the others say follows from them."""
+    forest = Forest()
+    for batch in batches:
+        kept = [(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if forest.join(a, b)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], rows: int, least: float, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by meeting (root, i, j): class, block, signature, gram set, documents -> for each class how many documents it links to here, and the links that join groups.
+
+    Two classes are compared if they agree in a band and well enough in all, and linked if their
+    whole gram sets are similar enough.
     """
     held: list[tuple] = []
-    now, a_out, b_out = None, [], []
+    now, out = None, []
 
     def compare() -> None:
         if len(held) < 2:
             return
-        band, i, j = held[0][1], now[1], now[2]
-        ids = np.array([r[2] for r in held], np.int64)
-        block = np.array([r[3] for r in held])
-        signs = np.frombuffer(b"".join([r[4] for r in held]), np.uint8).reshape(len(held), -1)
+        i, j, forest = now[1], now[2], Forest()
+        block, docs = np.array([r[4] for r in held]), np.array([r[7] for r in held], np.int64)
+        signs = np.frombuffer(b"".join([r[5] for r in held]), np.uint8).reshape(len(held), -1)
+        sets = [np.frombuffer(r[6], np.uint64) for r in held]
+        others = np.zeros(len(held), np.int64)
         for k in range(len(held) - 1):
-            others = np.arange(k + 1, len(held))
+            near = np.arange(k + 1, len(held))
             if i != j:
-                others = others[block[others] != block[k]]
-            same = signs[others] == signs[k]
+                near = near[block[near] != block[k]]
+            same = signs[near] == signs[k]
             ok = same.mean(axis=1) >= least
-            if ok.any():
-                others, same = others[ok], same[ok]
-                first = same.reshape(len(others), -1, rows).all(axis=2).argmax(axis=1)
-                hits = ids[others[first == band]]
-                a_out.append(np.minimum(hits, ids[k]))
-                b_out.append(np.maximum(hits, ids[k]))
+            near, same = near[ok], same[ok]
+            for n in near[same.reshape(len(near), signs.shape[1] // rows, rows).all(axis=2).any(axis=1)].tolist():
+                x, y = sets[k], sets[n]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both):
+                    others[k] += docs[n]
+                    others[n] += docs[k]
+                    if forest.join(held[k][3], held[n][3]):
+                        out.append((held[k][3], held[n][3], 0))
+        out.extend((held[k][3], None, int(others[k])) for k in np.flatnonzero(others).tolist())
+
+    def told() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1, 2)], ["a", "b", "others"])
+        out.clear()
+        return batch
 
     for batch in batches:
-        cols = [c.to_pylist() for c in batch.columns]
-        for r in zip(*cols, strict=True):
-            if (at := (r[0], r[5], r[6])) != now:
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if r[:3] != now:
                 compare()
-                held, now = [], at
+                held, now = [], r[:3]
             held.append(r)
-        if a_out and sum(map(len, a_out)) > 100_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
-            a_out, b_out = [], []
+        if len(out) > 50_000:
+            yield told()
     compare()
-    if a_out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
+    yield told()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -122,17 +159,6 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, n).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["cid", "grams"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        score = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            score.append(both / (len(x) + len(y) - both))
-        keep = pa.array(np.array(score, float) >= similarity)
-        yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column(0), batch.column(1), pa.array(score, pa.float64()))], ["a", "b", "jaccard"])
-
-
 def classes(docs: DataFrame, words: int = WORDS, hashes: int = MOST_HASHES) -> tuple[DataFrame, DataFrame]:
     """Documents with ``cid``, the class of their exact gram set (null: no words), and the classes with signature, size and one member."""
     src = text_bytes(docs).withColumn("text_hash", F.xxhash64("text"))
@@ -144,21 +170,26 @@ def classes(docs: DataFrame, words: int = WORDS, hashes: int = MOST_HASHES) -> t
     return signed.select("doc_id", "text_hash", "cid"), materialize(same.select("cid", "sign", "n_docs", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")), "classes")
 
 
-def candidates(same: DataFrame, bands: int, rows: int, least: float, block: int = BLOCK) -> DataFrame:
-    """Pairs of classes ``a`` < ``b`` that agree in a band and whose signatures agree well enough."""
-    at = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.substring(F.col("sign"), i * rows + 1, F.lit(rows)), i).alias("key")))
-    put = same.select("cid", F.explode(at).alias("x")).select("cid", "x.*")
-    shared = put.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = put.join(shared, "key").join(same.select("cid", "sign"), "cid")
-    n = F.ceil(F.col("m") / block).cast("int")
-    mine = members.withColumn("block", F.pmod(F.xxhash64("cid", F.lit(3)), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    mine = mine.select("key", "band", "cid", "block", "sign", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    mine = mine.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return mine.mapInArrow(partial(_meet, rows=rows, least=least), "a long, b long")
+def candidate_groups(same: DataFrame, bands: int, rows: int) -> DataFrame:
+    """``cid, root, m``: classes that agree in a band, chained into groups, with the group's size. Each bucket links its members to its least one only."""
+    at = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substring(F.col("sign"), i * rows + 1, F.lit(rows)), i))
+    put = same.select("cid", F.explode(at).alias("key"))
+    shared = put.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("least")).where("m > 1")
+    stars = materialize(put.join(shared, "key").where("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct(), "stars")
+    found = components(stars)
+    sizes = found.groupBy("root").agg(F.count("*").alias("m"))
+    return materialize(found.join(sizes, "root").select(F.col("node").alias("cid"), "root", "m"), "groups")
+
+
+def thinned(links: DataFrame, most: int = 500_000) -> DataFrame:
+    """Links that still join the same groups, but few more than there are nodes: each part of about ``most`` keeps a forest."""
+    n = links.count()
+    return materialize(links.select("a", "b").coalesce(max(1, -(-n // most))).mapInArrow(_forest, "a long, b long"), "forest")
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` of undirected links ``a, b``: least labels spread to neighbours, then each label jumps to its own label."""
+    links = thinned(links)
     both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     label = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"), "roots")
     while True:
@@ -171,38 +202,42 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("node", "root")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """Documents with their class and number of links, and the verified links between gram sets.
+def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """``doc_id, text_hash, root, class_id, n_links``: each document's group and links.
 
-    First: ``doc_id, text_hash, root, class_id, n_links``: root numbers the connected group, class_id is the least doc_id of the connected group,
+    Root numbers the connected group, class_id is the least doc_id in it,
     n_links counts other documents at Jaccard ``similarity`` or more, copies included. Documents
-    of one gram set are one class from the start and are never expanded into pairs. A text
+    of one gram set are one class from the start; classes that agree in a band are chained into
+    groups, and within a group blocks of ``block`` classes meet two at a time. A meeting tells numbers
+    of links and a forest, so no pairs are written however many there are. A text
     without words (null, empty, blank) is linked to nothing. Repeated rows count as copies; null doc_ids
-    are kept. Second: ``a, b, jaccard`` over class numbers ``cid``.
+    are kept.
     """
     spark = docs.sparkSession
     bands, rows = bands_for(similarity, recall, MOST_HASHES)
     members, same = classes(docs, words, bands * rows)
-    found = materialize(candidates(same, bands, rows, similarity - SLACK), "pairs")
+    groups = candidate_groups(same, bands, rows)
     release(spark)
-    used = found.select(F.col("a").alias("cid")).unionByName(found.select(F.col("b").alias("cid"))).distinct().join(same, "cid").select("cid", "one_id", "one_hash")
+    used = groups.join(same, "cid")
     src = text_bytes(docs).withColumn("text_hash", F.xxhash64("text"))
-    texts = src.join(used, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("text_hash") == F.col("one_hash"))).dropDuplicates(["cid"]).select("cid", "text")
-    sets = materialize(texts.mapInArrow(partial(_sets, n=words), "cid long, grams binary"), "sets")
-    release(spark)
-    both = found.join(sets.withColumnsRenamed({"cid": "a", "grams": "x"}), "a").join(sets.withColumnsRenamed({"cid": "b", "grams": "y"}), "b")
-    links = materialize(both.select("a", "b", "x", "y").mapInArrow(partial(_verify, similarity=similarity), "a long, b long, jaccard double"), "links")
+    texts = src.join(used.select("cid", "one_id", "one_hash"), F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("text_hash") == F.col("one_hash"))).dropDuplicates(["cid"]).select("cid", "text")
+    sets = texts.mapInArrow(partial(_sets, n=words), "cid long, grams binary")
+    n = F.ceil(F.col("m") / block).cast("int")
+    mine = used.join(sets, "cid").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(3)), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    mine = mine.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "block", "sign", "grams", "n_docs")
+    mine = mine.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    told = materialize(mine.mapInArrow(partial(_meet, rows=rows, least=similarity - SLACK, similarity=similarity), "a long, b long, others long"), "links")
+    del mine, sets, texts, used
     release(spark)
-    roots = components(links)
+    roots = components(told.where("b is not null").select("a", "b"))
     sized = same.select("cid", "n_docs")
-    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = ends.join(sized, F.col("b") == F.col("cid")).groupBy("a").agg(F.sum("n_docs").alias("others"))
+    linked = told.groupBy("a").agg(F.sum("others").alias("others"))
     info = sized.join(linked, F.col("cid") == F.col("a"), "left").join(roots, F.col("cid") == F.col("node"), "left")
     info = info.select("cid", F.coalesce("root", "cid").alias("root"), (F.col("n_docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     placed = materialize(members.join(info, "cid", "left"), "placed")
     first = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     out = placed.join(first, "root", "left").select("doc_id", "text_hash", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out, links
+    return out
 
 
 def keep_one(docs: DataFrame, **options: object) -> DataFrame:
@@ -210,7 +245,7 @@ def keep_one(docs: DataFrame, **options: object) -> DataFrame:
 
     Texts without words are in no group and all stay, but for rows that repeat one doc_id and text.
     """
-    found = near_duplicates(docs, **options)[0]
+    found = near_duplicates(docs, **options)
     best = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.*")
     stay = best.unionByName(found.where("root is null").select("doc_id", "text_hash").distinct()).select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("r_id"), F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))).alias("r_hash"))
@@ -219,4 +254,18 @@ def keep_one(docs: DataFrame, **options: object) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))[0].select("doc_id", "class_id", "n_links")
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+OP8_SQL = """
+with recursive w as (select doc_id, [x for x in string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') if x <> ''] as w from documents),
+g as (
+  select distinct doc_id, unnest(case when len(w) >= 5 then [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as gram from w),
+n as (select doc_id, count(*) as n from g group by all),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.gram = b.gram and a.doc_id <> b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where c >= cast(0.8 as double) * (x.n + y.n - c)),
+k(doc_id, class_id) using key (doc_id) as (
+  select doc_id, doc_id as class_id from documents union
+  (select l.b as doc_id, min(k.class_id) as class_id from k join l on l.a = k.doc_id join recurring.k o on o.doc_id = l.b where k.class_id < o.class_id group by l.b))
+select doc_id, class_id, coalesce(m, 0) as n_links from k left join (select a as doc_id, count(*) as m from l group by a) using (doc_id)
+"""

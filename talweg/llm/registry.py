@@ -22,6 +22,8 @@ MODULES = {
 }
 #: Query name -> module and name of its SQL.
 ORACLE = {
+    "op8_ngram_jaccard_join": ("neardup", "OP8_SQL"),
+    "op9_topk_search": ("search", "OP9_SQL"),
     "op10_url_filter": ("urlfilter", "OP10_SQL"),
 }
 
