@@ -20,15 +20,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm.common import materialize, release, ship, table, text_bytes
+from talweg.llm.common import free_name, materialize, release, ship, table, text_bytes
 
 LENGTH, GRAM = 200, 64
 #: Bytes that one pass hashes; longer runs of text are cut with an overlap of a window.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
+#: Windows of a block of crowded surroundings.
+STEP = 8
 #: Distinct surroundings of one anchor that a single task refines; anchors with more are settled by window counts.
 BUCKET = 256
 #: Surroundings that one refinement holds on average.
-BIN = 16_384
+BIN = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -237,7 +239,7 @@ def _refine(pdf: pd.DataFrame, length: int, kind: str) -> pd.DataFrame:
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text_hash, text and a list of runs -> one row for each run, with its bytes."""
     for batch in batches:
-        owner, firsts, grams, counts, sizes, parts = [], [], [], [], [], []
+        owner, firsts, grams, counts, sizes, places, parts = [], [], [], [], [], [], []
         for k, (text, want) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
             for r in want:
                 owner.append(k)
@@ -245,24 +247,45 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 grams.append(r["gram"])
                 counts.append(r["n"])
                 sizes.append(r["k"])
+                places.append(r["anchor"])
                 parts.append(text[r["first"] : r["end"]])
         take = pa.array(owner, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int64()) for x in (firsts, grams, counts, sizes)), pa.array(parts, pa.binary())], ["doc_id", "text_hash", "first", "gram", "n", "k", "bytes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int64()) for x in (firsts, grams, counts, sizes, places)), pa.array(parts, pa.binary())], ["doc_id", "text_hash", "first", "gram", "n", "k", "anchor", "bytes"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """One row for each window of the surroundings of a crowded anchor: a 128-bit hash of its bytes."""
+def _blocks(batches: Iterator[pa.RecordBatch], length: int, step: int = STEP) -> Iterator[pa.RecordBatch]:
+    """Surroundings of crowded anchors, by blocks of windows aligned to the anchor.
+
+    A block has the bytes of all its windows together and the core that every window of an aligned
+    block holds, whichever of them the surroundings have.
+    """
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            hashes, owner, place = [], [], []
-            for k, b in enumerate(part.column(6).to_pylist()):
-                for p in range(len(b) - length + 1):
-                    hashes.append(xxhash.xxh3_128_digest(b[p : p + length]))
+        owner, first, core, union = [], [], [], []
+        for k, (text, f, anchor) in enumerate(zip(*(batch.column(i).to_pylist() for i in (7, 2, 6)), strict=True)):
+            m = len(text) - length + 1
+            for block in range((anchor - m + 1) // step, anchor // step + 1):  # windows anchor - d for d of the block
+                lo, hi = max(0, anchor - block * step - step + 1), min(m - 1, anchor - block * step)
+                if lo <= hi:
                     owner.append(k)
-                    place.append(p)
-            take = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(part.column(i).take(take) for i in (0, 1, 2, 4)), pa.array(place, pa.int64()), pa.array(hashes, pa.binary())], ["doc_id", "text_hash", "first", "n", "place", "window"])
+                    first.append(f + lo)
+                    union.append(text[lo : hi + length])
+                    inner = anchor - block * step
+                    core.append(text[max(inner, 0) : min(inner - step + 1 + length, len(text))])
+        take = pa.array(owner, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(first, pa.int64()), batch.column(4).take(take), pa.array(core, pa.binary()), pa.array(union, pa.binary())], ["doc_id", "text_hash", "first", "n", "core", "union"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """One row for each window of a block whose core others share: a 128-bit hash of its bytes."""
+    for batch in batches:
+        hashes, owner, place = [], [], []
+        for k, (b, f) in enumerate(zip(batch.column(4).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            for p in range(len(b) - length + 1):
+                hashes.append(xxhash.xxh3_128_digest(b[p : p + length]))
+                owner.append(k)
+                place.append(f + p)
+        take = pa.array(owner, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in (0, 1, 3)), pa.array(place, pa.int64()), pa.array(hashes, pa.binary())], ["doc_id", "text_hash", "m", "s", "window"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,24 +317,33 @@ def repeated_spans(src: DataFrame, length: int = LENGTH, gram: int = GRAM, bucke
     seen = src.mapInArrow(partial(find, only_grams=True), "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     every = src.mapInArrow(partial(find, only_grams=False), f"doc_id {kind}, text_hash long, gram long, around long, first long, more int, anchor int")
     left = materialize(every.join(seen, "gram"), "runs")
+    del seen, every
     release(spark)
-    whole = materialize(left.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("first", "more", "text_hash", "doc_id")).alias("one")), "around")
+    whole = materialize(left.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("first", "more", "anchor", "text_hash", "doc_id")).alias("one")), "around")
     crowd = whole.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
     again = left.join(whole.where("n > 1").select("gram", "around"), ["gram", "around"], "left_semi")
     spans = again.select("doc_id", "text_hash", F.col("first").alias("s"), (F.col("first") + F.col("more") + length).alias("e"))
     want = whole.join(crowd, "gram").select("gram", "n", "k", "one.*").withColumn("end", F.col("first") + F.col("more") + length)
-    want = want.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "end", "gram", "n", "k")).alias("want"))
+    want = want.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "end", "gram", "n", "k", "anchor")).alias("want"))
     # repeated rows have the same bytes: one of them serves
     found = src.join(want.withColumnsRenamed({"doc_id": "d", "text_hash": "h"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("doc_id", "text_hash", "text", "want")
-    around = materialize(found.mapInArrow(_extract, f"doc_id {kind}, text_hash long, first long, gram long, n long, k long, bytes binary").dropDuplicates(["doc_id", "text_hash", "first"]), "bytes")
+    around = materialize(found.mapInArrow(_extract, f"doc_id {kind}, text_hash long, first long, gram long, n long, k long, anchor long, bytes binary").dropDuplicates(["doc_id", "text_hash", "first"]), "bytes")
+    del found, want
     release(spark)
     small = around.where(F.col("k") <= bucket)
     bins = max(1, -(-small.count() // bin_size))
     small = small.withColumn("bin", F.pmod(F.xxhash64("gram"), F.lit(bins)))
     some = small.groupBy("bin").applyInPandas(partial(_refine, length=length, kind=kind), f"doc_id {kind}, text_hash long, s long, e long")
-    each = around.where(F.col("k") > bucket).mapInArrow(partial(_windows, length=length), f"doc_id {kind}, text_hash long, first long, n long, place long, window binary")
-    twice = each.groupBy("window").agg(F.sum("n").alias("m")).where("m > 1").select("window")
-    many = each.where("n = 1").join(twice, "window", "left_semi").select("doc_id", "text_hash", (F.col("first") + F.col("place")).alias("s"), (F.col("first") + F.col("place") + length).alias("e"))
+    each = around.where(F.col("k") > bucket).mapInArrow(partial(_blocks, length=length), f"doc_id {kind}, text_hash long, first long, n long, core binary, union binary")
+    each = materialize(each, "blocks")
+    alike = materialize(each.groupBy("union").agg(F.sum("n").alias("m"), F.min(F.struct("first", "text_hash", "doc_id", "core")).alias("one")), "alike")
+    sure = each.where("n = 1").join(alike.where("m > 1").select("union"), "union", "left_semi").select("doc_id", "text_hash", F.col("first").alias("s"), (F.col("first") + F.length("union")).alias("e"))
+    mixed = alike.groupBy(F.col("one.core").alias("core")).agg(F.count("*").alias("k")).where("k > 1").select("core")
+    open_ = alike.select("one.*", "m", "union").join(mixed, "core", "left_semi").select("doc_id", "text_hash", "first", "m", "union")
+    windows = open_.mapInArrow(partial(_windows, length=length), f"doc_id {kind}, text_hash long, m long, s long, window binary")
+    twice = windows.groupBy("window").agg(F.sum("m").alias("all")).where("all > 1").select("window")
+    many = windows.where("m = 1").join(twice, "window", "left_semi").select("doc_id", "text_hash", "s", (F.col("s") + length).alias("e"))
+    some = some.unionByName(sure)
     return spans.unionByName(some).unionByName(many)
 
 
@@ -344,7 +376,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **s
     ship(docs.sparkSession)
     per_doc = spans_by_text(docs, length, gram, **sizes)
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("r_id"), F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))).alias("r_hash"))
-    both = rows.join(per_doc, F.col("r_id").eqNullSafe(F.col("d")) & (F.col("r_hash") == F.col("h")), "left").select("row.*", "spans")
+    both = rows.join(per_doc, F.col("r_id").eqNullSafe(F.col("d")) & (F.col("r_hash") == F.col("h")), "left").select("row.*", F.col("spans").alias(free_name(docs, "cut")))
     cols = docs.columns
     return both.mapInArrow(partial(_replace, text_at=cols.index("text"), chars_at=cols.index("n_chars") if "n_chars" in cols else -1), docs.schema)
 
