@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -13,13 +15,16 @@ from pyspark.sql import functions as F
 
 #: Byte values that separate words: space and the controls from tab to carriage return.
 BLANKS = b" \t\n\x0b\x0c\r"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, if they share that folder."""
+    """Let Python workers import this package from where the driver has it, if they share that folder; bound Arrow batches."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{root}:{env.get('PYTHONPATH', '')}".rstrip(":")
+    if spark.conf.get(BATCH) == "10000":  # the default: ten thousand long texts are too much for one batch
+        spark.conf.set(BATCH, "1000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         at = tempfile.mkdtemp(prefix="talweg-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 

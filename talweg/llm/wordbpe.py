@@ -30,7 +30,7 @@ def byte_signs() -> dict[int, str]:
 class WordEncoder:
     """Chunk cache over one tokenizer file; ``most`` bounds the number of cached chunks."""
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         one_thread()
         from tokenizers import Tokenizer
 
