@@ -220,9 +220,11 @@ def persistent(critical: DataFrame, field: DataFrame, threshold: float) -> DataF
     return j.select("mesh_id", "vid", F.when(F.col("value_gap") < threshold, "regular").otherwise(F.col("critical_type")).alias("critical_type"), "changes", "confidence")
 
 
-def _cluster(arcs: pd.DataFrame, saddles: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def _cluster(arcs: pd.DataFrame, saddles: pd.DataFrame, threshold: float, by_edge: bool) -> pd.DataFrame:
     if not len(saddles):
         return pd.DataFrame({"mesh_id": [], "vid": [], "kept": []})
+    if by_edge:
+        threshold *= float(arcs.loc[arcs["u"] >= 0, "weight"].median())  # each edge is there twice, which leaves the median
     ids, score = saddles["vid"].tolist(), dict(zip(saddles["vid"], saddles["score"], strict=True))
     group = {s: s for s in ids}
     if len(ids) > 1 and 0 < threshold < np.inf:
@@ -237,11 +239,14 @@ def _cluster(arcs: pd.DataFrame, saddles: pd.DataFrame, threshold: float) -> pd.
     return pd.DataFrame({"mesh_id": saddles["mesh_id"].iloc[0], "vid": ids, "kept": [best[group[s]] for s in ids]})
 
 
-def saddle_clusters(mesh: Mesh, saddles: DataFrame, threshold: float) -> DataFrame:
-    """``mesh_id, vid, kept``: saddles (``mesh_id, vid, score``) joined within ``threshold`` along edges; the best score stays, ties by id."""
+def saddle_clusters(mesh: Mesh, saddles: DataFrame, threshold: float, by_edge: bool = False) -> DataFrame:
+    """``mesh_id, vid, kept``: saddles (``mesh_id, vid, score``) joined within ``threshold`` along edges; the best score stays, ties by id.
+
+    ``by_edge``: the threshold counts in median edges of the saddles' own mesh. Unless it is positive and finite, all saddles stay.
+    """
     arcs = both_ways(weighted_edges(mesh))
     s = saddles.groupBy("mesh_id")
-    return mesh_arcs(mesh.vertices, arcs).groupBy("mesh_id").cogroup(s).applyInPandas(partial(_cluster, threshold=threshold), "mesh_id int, vid int, kept int")
+    return mesh_arcs(mesh.vertices, arcs).groupBy("mesh_id").cogroup(s).applyInPandas(partial(_cluster, threshold=threshold, by_edge=by_edge), "mesh_id int, vid int, kept int")
 
 
 def consensus(runs: list[DataFrame], share: float = 0.6) -> DataFrame:

@@ -50,20 +50,23 @@ class Engine:
     def distance_to(self, side: str) -> DataFrame:
         return geodesic.to_side(self.mesh.vertices, self.arcs, self.sided.where(F.col("boundary_side") == side))
 
+    def clip_radius(self) -> tuple[float, bool]:
+        """Radius within which saddles are joined, and whether it counts in median edges of each mesh."""
+        c = self.config["critical_points"]
+        if c["clip_saddles_geodesic_threshold"] is not None:
+            return cfg.to_float(c["clip_saddles_geodesic_threshold"], 0.0), False
+        mode = str(c["clip_saddles"].get("mode", "median_edge_multiplier")).lower()
+        return cfg.to_float(c["clip_saddles"].get("value"), 1.5), mode == "median_edge_multiplier"
+
     def saddles(self, axis: str = "z") -> DataFrame:
-        """``mesh_id, vid, score`` of saddles of an axis field, clustered within the configured radius (by default a multiple of the median edge)."""
+        """``mesh_id, vid, score`` of saddles of an axis field, clustered within the configured radius (by default a multiple of the mesh's median edge)."""
         c = self.config["critical_points"]
         r = fields.normalized(fields.axis_distance(self.mesh, axis))
         found = critical.critical_points(self.mesh, r, eps=c["eps"], adaptive=c["adaptive_eps"])
         found = found.where("critical_type = 'saddle'").select("mesh_id", "vid", F.col("confidence").alias("score"))
-        radius = c["clip_saddles_geodesic_threshold"]
-        if radius is None:
-            times = float(c["clip_saddles"]["value"])
-            median = topology.median_edge(self.mesh).select("mesh_id", (F.col("median_edge") * times).alias("radius"))
-            radius = median.agg(F.max("radius")).first()[0] or 0.0
-        if not radius:
+        if self.clip_radius()[0] <= 0:
             return found
-        kept = critical.saddle_clusters(self.mesh, found, float(radius)).select("mesh_id", F.col("kept").alias("vid")).distinct()
+        kept = critical.saddle_clusters(self.mesh, found, *self.clip_radius()).select("mesh_id", F.col("kept").alias("vid")).distinct()
         return found.join(kept, ["mesh_id", "vid"], "left_semi")
 
     def run(self, name: str | None = None, height: float | None = None) -> Result:

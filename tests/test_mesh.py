@@ -123,6 +123,20 @@ def test_methods_and_dispatch(spark):
     assert e.run(" Planar_Z ", 3).slices.count() > 3
 
 
+def test_saddles_keep_to_their_own_mesh(spark):
+    m = tubes(spark, SF)
+    coarse = Mesh(m.vertices.select(F.lit(1).alias("mesh_id"), "vid", *((F.col(c) * 10).alias(c) for c in "xyz")), m.faces.withColumn("mesh_id", F.lit(1)))
+    both = Mesh(m.vertices.unionByName(coarse.vertices), m.faces.unionByName(coarse.faces))
+    alone = {r["vid"] for r in Engine(m).saddles().collect()}
+    found = Engine(both).saddles().collect()
+    assert len(alone) > 1
+    assert {r["vid"] for r in found if r["mesh_id"] == 0} == {r["vid"] for r in found if r["mesh_id"] == 1} == alone
+    a_length = {"critical_points": {"clip_saddles": {"mode": "absolute", "value": 3.0}}}
+    times_ten = {"critical_points": {"clip_saddles": {"mode": "absolute", "value": 30.0}}}
+    ids = lambda mesh, over: {r["vid"] for r in Engine(mesh, over).saddles().collect()}
+    assert ids(m, a_length) == ids(coarse, times_ten) < ids(coarse, a_length)
+
+
 def test_exports(spark, tmp_path):
     import json
 
