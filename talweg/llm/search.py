@@ -24,6 +24,8 @@ K1, B, TOP = 1.2, 0.75, 10
 SHARD, BLOCK = 8192, 64
 #: Queries that go to all shards at once, and the bytes of their terms at most (larger texts make smaller sets).
 QUERIES, QUERY_BYTES = 2048, 16_000_000
+#: Scores are compared when rounded to 6 digits, which moves them by up to half of this.
+STEP = 1e-6
 #: Terms in more than this share of a shard are scored for all its documents by one product.
 DENSE = 0.1
 
@@ -109,7 +111,7 @@ class Shard:
 
         A block's bound is the best dense score in it plus the sum of its runs' largest impacts.
         Blocks are scored from the highest bound down, in sets that double, until no bound
-        beats the k-th best score so far.
+        can reach the k-th best score so far, which is a rounded one.
         """
         at = np.searchsorted(self.terms, t)
         ok = at < len(self.terms)
@@ -122,7 +124,7 @@ class Shard:
         bound += np.maximum.reduceat(score, np.arange(0, self.n, BLOCK))
         order, done, size, theta = np.argsort(-bound, kind="stable"), 0, 8, 0.0
         best, found = np.zeros(0, np.int64), np.zeros(0)
-        while done < blocks and bound[order[done]] * (1 + 1e-9) >= theta and bound[order[done]] > 0:
+        while done < blocks and bound[order[done]] * (1 + 1e-9) + STEP >= theta and bound[order[done]] > 0:
             chosen = np.zeros(blocks, bool)
             chosen[order[done : done + size]] = True
             done, size = done + size, size * 2
@@ -131,7 +133,7 @@ class Shard:
             each = self.run[these + 1] - self.run[these]
             posts = ranges(self.run[these], self.run[these + 1])
             part = np.bincount(self.doc[posts], np.repeat(w, each) * self.impact[posts], self.n) + score
-            docs = np.flatnonzero(np.repeat(chosen, BLOCK)[: self.n] & (part > 0) & (part * (1 + 1e-9) >= theta))
+            docs = np.flatnonzero(np.repeat(chosen, BLOCK)[: self.n] & (part > 0) & (part * (1 + 1e-9) + STEP >= theta))
             best, found = np.concatenate([best, docs]), np.concatenate([found, np.round(part[docs], 6)])
             keep = np.lexsort((best, -found))[:k]
             best, found = best[keep], found[keep]

@@ -374,6 +374,34 @@ def test_search_is_exact(spark):
     assert search.search(frame(spark, []), F.lit(True)).count() == 0
 
 
+def test_search_ties_beyond_one_block():
+    import pickle
+
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    kinds = [f"p{k} q{k} r{k}" for k in range(12)]
+    texts = [f"x{i} y{i % 997} z" for i in range(6000)]
+    for k, text in enumerate(kinds):
+        at = rng.permutation(6000)[:320]
+        for i in at[:300]:
+            texts[i] = text
+        for i in at[300:]:  # raise the bounds of some blocks, so these come first, but score less than a copy
+            texts[i] = f"p{k} p{k}"
+    t = [search.terms(x.encode()) for x in texts]
+    pdf = pd.DataFrame({"doc_id": range(6000), "text_hash": 0, "terms": [a for a, _ in t], "counts": [c for _, c in t], "size": [int(c.sum()) for _, c in t]})
+    _, *parts = pickle.loads(search._store(pdf)["blob"][0])
+    shard = search.Shard(*parts, parts[0].mean())
+    for text in kinds:
+        ids, counts = search.terms(text.encode())
+        for weight in (1.0, 2.3456781, 3.1415926, 7.7777777):
+            v = counts * weight
+            best, found = shard.top(ids, v, shard.dense_scores([(ids, v)])[0], 10)
+            copies = [i for i, x in enumerate(texts) if x == text][:10]
+            assert len(set(found)) == 1
+            assert best.tolist() == copies
+
+
 # --- 10 URL filter
 
 
