@@ -168,6 +168,7 @@ query("endpoint_buckets", """select mesh_id, layer, x, y, z, count(*) as n_ends
 query("one_ring", "select mesh_id, vid, count(*) as degree, string_agg(cast(n as varchar), ',' order by n) as ring from ring group by all")(lambda m: critical.one_rings(m.faces).select("mesh_id", "vid", F.size("ring").cast("long").alias("degree"), F.array_join(F.col("ring").cast("array<string>"), ",").alias("ring")))
 query("link_sign_changes", "select mesh_id, vid, changes, critical_type from crit")(lambda m: critical.link_sign_changes(m.faces, zr(m)))
 query("critical_planar", "select mesh_id, critical_type, count(*) as n from crit group by all")(lambda m: critical.link_sign_changes(m.faces, zr(m)).groupBy("mesh_id", "critical_type").agg(F.count("*").alias("n")))
+query("critical_planar_all")(lambda m: critical.critical_points(m, zr(m)).groupBy("mesh_id", "critical_type").agg(F.count("*").alias("n")))
 query("critical_points")(lambda m: r6(critical.critical_points(m, zr(m)), "confidence"))
 query("morse_check")(lambda m: critical.morse_check(critical.critical_points(m, zr(m)), topology.euler(m)))
 query("adaptive_eps", """select mesh_id, vid, round(greatest(1e-12, least(cast(0.1 as double) * gaps[1 + cast(floor(cast(0.1 as double) * (len(gaps) - 1)) as int)], cast(0.01 as double) * (hi - lo))), 9) as eps from
@@ -176,6 +177,7 @@ query("adaptive_eps", """select mesh_id, vid, round(greatest(1e-12, least(cast(0
 query("local_saliency", "select rv.mesh_id, rv.vid, round(median(abs(p.r - rv.r)), 6) as saliency from rv join r p on p.mesh_id = rv.mesh_id and p.vid = rv.vid group by all")(lambda m: r6(critical.saliency(m.faces, zr(m)), "saliency"))
 query("value_gaps", """select mesh_id, vid, critical_type, round(least(coalesce(r - lag(r) over w, cast('inf' as double)), coalesce(lead(r) over w - r, cast('inf' as double))), 6) as value_gap
   from crit join r using (mesh_id, vid) where critical_type <> 'regular' window w as (partition by mesh_id order by r, vid)""")(lambda m: r6(critical.value_gaps(critical.link_sign_changes(m.faces, zr(m)), zr(m)), "value_gap"))
+query("value_gaps_all")(lambda m: r6(critical.value_gaps(critical.critical_points(m, zr(m)), zr(m)), "value_gap"))
 query("laplacian_smooth", """select mesh_id, vid, round(case when bv.vid is not null or mean is null then z else cast(0.5 as double) * z + cast(0.5 as double) * mean end, 6) as value from v
   left join (select mesh_id, s as vid, avg(z) as mean from sym join v on v.mesh_id = sym.mesh_id and v.vid = t group by all) a using (mesh_id, vid) left join bv using (mesh_id, vid)""".replace("select mesh_id, s as vid", "select sym.mesh_id, s as vid"))(
     lambda m: r6(fields.smoothed(fields.coordinate(m), topology.both_ways(topology.weighted_edges(m)), topology.boundary_vertices(m.faces), iterations=1), "value"))
@@ -199,9 +201,20 @@ def _untied_saddles(m: Mesh) -> DataFrame:
     return critical.link_sign_changes(m.faces, zr(m)).where("critical_type = 'saddle'")
 
 
-query("saddle_radius", """select mesh_id, vid, round(least(dl.d, du.d), 6) as radius from crit join dl using (mesh_id, vid) join du using (mesh_id, vid) where critical_type = 'saddle'""")(
-    lambda m: r6(_untied_saddles(m).join(geodesic.to_side(m.vertices, _arcs(m), topology.side_vertices(m, "lower")).withColumnRenamed("value", "lo"), ["mesh_id", "vid"]).join(geodesic.to_side(m.vertices, _arcs(m), topology.side_vertices(m, "upper")).withColumnRenamed("value", "up"), ["mesh_id", "vid"]).select("mesh_id", "vid", F.least("lo", "up").alias("radius")), "radius"))
+def _saddles(m: Mesh) -> DataFrame:
+    return critical.critical_points(m, zr(m)).where("critical_type = 'saddle'")
+
+
+def _radius(m: Mesh, saddles: DataFrame) -> DataFrame:
+    lo, up = (geodesic.to_side(m.vertices, _arcs(m), topology.side_vertices(m, s)).withColumnRenamed("value", n) for s, n in (("lower", "lo"), ("upper", "up")))
+    return saddles.join(lo, ["mesh_id", "vid"]).join(up, ["mesh_id", "vid"]).select("mesh_id", "vid", F.least("lo", "up").alias("radius"))
+
+
+#: Queries with SQL take the saddles that SQL can tell, at vertices without near-equal neighbours; those named _all take all saddles.
+query("saddle_radius", """select mesh_id, vid, round(least(dl.d, du.d), 6) as radius from crit join dl using (mesh_id, vid) join du using (mesh_id, vid) where critical_type = 'saddle'""")(lambda m: r6(_radius(m, _untied_saddles(m)), "radius"))
+query("saddle_radius_all")(lambda m: r6(_radius(m, _saddles(m)), "radius"))
 query("distance_to_saddles", "select mesh_id, vid, round(d, 6) as value from ds")(lambda m: r6(geodesic.to_side(m.vertices, _arcs(m), _untied_saddles(m).select("mesh_id", "vid")), "value"))
+query("distance_to_saddles_all")(lambda m: r6(geodesic.to_side(m.vertices, _arcs(m), _saddles(m).select("mesh_id", "vid")), "value"))
 query("nearest_nodes", """select mesh_id, pid, vid, round(sqrt(d2), 6) as distance from (select p.mesh_id, p.vid as pid, v.vid, (v.x - p.x - cast(0.3 as double)) * (v.x - p.x - cast(0.3 as double)) + (v.y - p.y + cast(0.2 as double)) * (v.y - p.y + cast(0.2 as double)) + (v.z - p.z - cast(0.1 as double)) * (v.z - p.z - cast(0.1 as double)) as d2,
   row_number() over (partition by p.mesh_id, p.vid order by (v.x - p.x - cast(0.3 as double)) * (v.x - p.x - cast(0.3 as double)) + (v.y - p.y + cast(0.2 as double)) * (v.y - p.y + cast(0.2 as double)) + (v.z - p.z - cast(0.1 as double)) * (v.z - p.z - cast(0.1 as double)), v.vid) as k
   from v p join v on v.mesh_id = p.mesh_id where p.vid % 50 = 7) where k = 1""")(
@@ -221,17 +234,18 @@ def _near_centroid(m: Mesh) -> DataFrame:
     return best.select("mesh_id", "boundary_number", "b.vid", F.sqrt("b.d2").alias("distance"))
 
 
-def _saddle_points(m: Mesh) -> DataFrame:
-    return _untied_saddles(m).join(m.vertices, ["mesh_id", "vid"]).select("mesh_id", F.col("vid").alias("ord"), "vid", "x", "y", "z")
+def _saddle_points(m: Mesh, saddles: DataFrame) -> DataFrame:
+    return saddles.join(m.vertices, ["mesh_id", "vid"]).select("mesh_id", F.col("vid").alias("ord"), "vid", "x", "y", "z")
 
 
 query("saddle_histogram", """select mesh_id, layer, vid, count(*) as n, round(avg(sqrt(d2)), 6) as mean_distance from (select s.mesh_id, s.layer, s.fid, c.vid, (s.x0 - v.x) * (s.x0 - v.x) + (s.y0 - v.y) * (s.y0 - v.y) + (s.z0 - v.z) * (s.z0 - v.z) as d2,
     row_number() over (partition by s.mesh_id, s.layer, s.fid order by round((s.x0 - v.x) * (s.x0 - v.x) + (s.y0 - v.y) * (s.y0 - v.y) + (s.z0 - v.z) * (s.z0 - v.z), 9), c.vid) as k
-    from seg s join crit c on c.mesh_id = s.mesh_id and c.critical_type = 'saddle' join v on v.mesh_id = c.mesh_id and v.vid = c.vid) where k = 1 group by all""")(lambda m: r6(_histogram(m), "mean_distance"))
+    from seg s join crit c on c.mesh_id = s.mesh_id and c.critical_type = 'saddle' join v on v.mesh_id = c.mesh_id and v.vid = c.vid) where k = 1 group by all""")(lambda m: r6(_histogram(m, _untied_saddles(m)), "mean_distance"))
+query("saddle_histogram_all")(lambda m: r6(_histogram(m, _saddles(m)), "mean_distance"))
 
 
-def _histogram(m: Mesh) -> DataFrame:
-    j = contour.segments(m, zr(m), LEVELS).select("mesh_id", "layer", "fid", "p0").join(_saddle_points(m), "mesh_id")
+def _histogram(m: Mesh, saddles: DataFrame) -> DataFrame:
+    j = contour.segments(m, zr(m), LEVELS).select("mesh_id", "layer", "fid", "p0").join(_saddle_points(m, saddles), "mesh_id")
     d2 = sum((F.col(f"p0.{c}") - F.col(c)) * (F.col(f"p0.{c}") - F.col(c)) for c in "xyz")
     near = j.groupBy("mesh_id", "layer", "fid").agg(F.min(F.struct(F.round(d2, 9).alias("k"), "vid", d2.alias("d2"))).alias("b"))
     return near.groupBy("mesh_id", "layer", "b.vid").agg(F.count("*").alias("n"), F.avg(F.sqrt("b.d2")).alias("mean_distance"))
@@ -260,7 +274,14 @@ query("segment_components")(lambda m: _parts(m).select("mesh_id", "layer", "comp
 query("slice_summary")(lambda m: contour.summary(contour.slices(_parts(m), 50)))
 query("resampled_curves")(lambda m: contour.slices(_parts(m), 50).select("mesh_id", "layer_number", "component_count", F.round("total_length", 6).alias("total_length"), F.size("curve").alias("n_points"), F.round(contour.polyline_length("curve"), 6).alias("length")))
 query("adaptive_levels")(lambda m: contour.adaptive_levels(m, zr(m), HEIGHT).select("mesh_id", F.posexplode("levels").alias("layer", "level")))
-query("slices_json")(lambda m: export.slice_documents(contour.slices(_parts(m), 50), _parts(m), export.component_topology(_parts(m), m, topology.side_vertices(m).select("mesh_id", "vid", "boundary_side", "boundary_number"), _saddle_points(m))).select("mesh_id", F.get_json_object("document", "$.meta.slice_count").alias("slices"), (F.length("document") > 0).alias("written")))
+query("slices_json")(lambda m: _documents(m).select("mesh_id", F.get_json_object("document", "$.meta.slice_count").alias("slices"), (F.length("document") > 0).alias("written")))
+
+
+def _documents(m: Mesh) -> DataFrame:
+    sides = topology.side_vertices(m).select("mesh_id", "vid", "boundary_side", "boundary_number")
+    return export.slice_documents(contour.slices(_parts(m), 50), _parts(m), export.component_topology(_parts(m), m, sides, _saddle_points(m, _saddles(m))))
+
+
 query("field_json")(lambda m: export.field_documents(m, fields.coordinate(m)))
 query("graphml")(lambda m: export.graphml_lines(m.vertices, topology.labelled_edges(m).drop("n_faces")))
 query("edge_traces", """select el.mesh_id, el.u, el.w as v, case when n_faces = 1 and p.boundary_number = q.boundary_number then p.boundary_side else 'internal' end as trace

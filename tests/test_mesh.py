@@ -2,6 +2,7 @@
 
 import math
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import config as cfg
 from talweg.operators import contour, critical, export, fields, geodesic, topology, vizprep
+from talweg.plans import catalog
 from talweg.plans.methods import METHODS, Engine
 from talweg.sources import meshfile
 from talweg.sources.tubes import Mesh, tubes
@@ -152,6 +154,70 @@ def test_exports(spark, tmp_path):
     assert "canvas" in vizprep.save_html(m, fields.coordinate(m), 0, str(tmp_path / "m.html")).read_text()
 
 
+def judged(m, mesh_id=0):
+    """Points, values and kinds of the vertices of one mesh, by a walk round each ring, and the tied ones among them."""
+    at = {r["vid"]: (r["x"], r["y"], r["z"]) for r in m.vertices.where(F.col("mesh_id") == mesh_id).collect()}
+    faces = [(r["a"], r["b"], r["c"]) for r in m.faces.where(F.col("mesh_id") == mesh_id).collect()]
+    lo, hi = min(p[2] for p in at.values()), max(p[2] for p in at.values())
+    value = {v: (p[2] - lo) / (hi - lo) for v, p in at.items()}
+    kinds, tied = dict.fromkeys(at, "regular"), set()
+    for v in at:
+        step = {f[(f.index(v) + 1) % 3]: f[(f.index(v) + 2) % 3] for f in faces if v in f}
+        if set(step) != set(step.values()):
+            continue  # a boundary vertex
+        ring = [min(step)]
+        while step[ring[-1]] != ring[0]:
+            ring.append(step[ring[-1]])
+        r = [value[u] for u in ring]
+        gaps = sorted(abs(p - q) for i, p in enumerate(r) for q in r[i + 1 :])
+        tol = max(1e-12, min(0.1 * gaps[int(0.1 * (len(gaps) - 1))], 0.01 * (max(r) - min(r))))
+        over = [value[v] > x for x in r if abs(value[v] - x) > tol]
+        turns = sum(over[i] != over[i - 1] for i in range(len(over)))
+        kinds[v] = "saddle" if turns >= 4 else "regular" if turns or not over else "maximum" if over[0] else "minimum"
+        if any(abs(value[v] - x) <= 1e-12 for x in r):
+            tied.add(v)
+    return at, faces, value, kinds, tied
+
+
+def test_queries_of_all_critical_points(spark):
+    m = tubes(spark, SF)
+    at, faces, value, kinds, tied = judged(m)
+    assert any(kinds[v] == "saddle" for v in tied)
+    rows = lambda name: catalog.queries()[name](spark, SF).where("mesh_id = 0").collect()
+    assert {r["critical_type"]: r["n"] for r in rows("critical_planar_all")} == Counter(kinds.values())
+    points = [v for v in at if kinds[v] != "regular"]
+    assert {r["vid"]: (r["critical_type"], r["value_gap"]) for r in rows("value_gaps_all")} == {v: (kinds[v], pytest.approx(min(abs(value[v] - value[u]) for u in points if u != v), abs=1e-6)) for v in points}
+    d = np.full((200, 200), np.inf)
+    np.fill_diagonal(d, 0)
+    for f in faces:
+        for p, q in zip(f, f[1:] + f[:1], strict=True):
+            d[p, q] = d[q, p] = math.dist(at[p], at[q])
+    for k in range(200):
+        d = np.minimum(d, d[:, k : k + 1] + d[k])
+    saddles = [v for v in at if kinds[v] == "saddle"]
+    assert {r["vid"]: r["value"] for r in rows("distance_to_saddles_all")} == {v: pytest.approx(d[v, saddles].min(), abs=1e-6) for v in at}
+    sides = [r["vid"] for r in topology.side_vertices(m).where("mesh_id = 0").collect()]
+    assert {r["vid"]: r["radius"] for r in rows("saddle_radius_all")} == {s: pytest.approx(d[s, sides].min(), abs=1e-6) for s in saddles}
+    want = Counter()
+    for r in contour.segments(m, fields.normalized(fields.coordinate(m)), catalog.LEVELS).where("mesh_id = 0").collect():
+        want[r["layer"], min(saddles, key=lambda s: (round(math.dist(at[s], tuple(r["p0"][c] for c in "xyz")) ** 2, 9), s))] += 1
+    assert {(r["layer"], r["vid"]): r["n"] for r in rows("saddle_histogram_all")} == want
+
+
+def test_documents_name_the_nearest_of_all_saddles(spark):
+    import json
+
+    m, named_tied = tubes(spark, "/root/testdata/sf0.01"), 0
+    for row in catalog._documents(m).where("mesh_id < 5").collect():
+        at, _, _, kinds, tied = judged(m, row["mesh_id"])
+        saddles = [v for v in at if kinds[v] == "saddle"]
+        for c in (c for s in json.loads(row["document"])["slices"] for c in s["components"]):
+            near = Counter(min(saddles, key=lambda v: (sum((a - b) * (a - b) for a, b in zip(at[v], p, strict=True)), v)) for p in c["points"])
+            assert {b["index"]: b["count"] for b in c["topology"]["saddle_histogram"]} == near
+            named_tied += len(tied & set(near))
+    assert named_tied
+
+
 def test_mesh_files(spark, tmp_path):
     (tmp_path / "a.obj").write_text("v 0 0 0\nv 1 0 0\nv 1 1 0\nv 0 1 0\nf 1/1 2 3 4\n")
     (tmp_path / "b.off").write_text("OFF\n3 1 0\n0 0 0\n1 0 0\n0 1 0\n3 0 1 2\n")
