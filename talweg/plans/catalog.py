@@ -218,7 +218,15 @@ query("distance_to_saddles_all")(lambda m: r6(geodesic.to_side(m.vertices, _arcs
 query("nearest_nodes", """select mesh_id, pid, vid, round(sqrt(d2), 6) as distance from (select p.mesh_id, p.vid as pid, v.vid, (v.x - p.x - cast(0.3 as double)) * (v.x - p.x - cast(0.3 as double)) + (v.y - p.y + cast(0.2 as double)) * (v.y - p.y + cast(0.2 as double)) + (v.z - p.z - cast(0.1 as double)) * (v.z - p.z - cast(0.1 as double)) as d2,
   row_number() over (partition by p.mesh_id, p.vid order by (v.x - p.x - cast(0.3 as double)) * (v.x - p.x - cast(0.3 as double)) + (v.y - p.y + cast(0.2 as double)) * (v.y - p.y + cast(0.2 as double)) + (v.z - p.z - cast(0.1 as double)) * (v.z - p.z - cast(0.1 as double)), v.vid) as k
   from v p join v on v.mesh_id = p.mesh_id where p.vid % 50 = 7) where k = 1""")(
-    lambda m: r6(geodesic.nearest_nodes(m.vertices, m.vertices.where("vid % 50 = 7").select(F.col("mesh_id").alias("mesh_id"), F.col("vid").alias("pid"), (F.col("x") + 0.3).alias("x"), (F.col("y") - 0.2).alias("y"), (F.col("z") + 0.1).alias("z"))), "distance"))
+    lambda m: r6(_nearest(m, m.vertices.where("vid % 50 = 7")), "distance"))
+query("nearest_nodes_all")(lambda m: r6(_nearest(m, m.vertices), "distance"))
+
+
+def _nearest(m: Mesh, of: DataFrame) -> DataFrame:
+    """Nearest vertices of points beside the vertices ``of``."""
+    return geodesic.nearest_nodes(m.vertices, of.select("mesh_id", F.col("vid").alias("pid"), (F.col("x") + 0.3).alias("x"), (F.col("y") - 0.2).alias("y"), (F.col("z") + 0.1).alias("z")))
+
+
 query("collection_length", "select mesh_id, count(distinct layer) as n_levels, round(sum(len), 6) as total_length from seg group by all")(lambda m: r6(contour.segments(m, zr(m), LEVELS).groupBy("mesh_id").agg(F.countDistinct("layer").alias("n_levels"), F.sum("len").alias("total_length")), "total_length"))
 query("saddle_clusters")(lambda m: critical.saddle_clusters(m, critical.critical_points(m, zr(m)).where("critical_type = 'saddle'").select("mesh_id", "vid", F.col("confidence").alias("score")), 1.8))
 query("conforming_field")(lambda m: r6(METHODS["conformal"](Engine(m)), "value"))
