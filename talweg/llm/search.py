@@ -1,4 +1,4 @@
-"""Exact top-k search: sharded inverted index with block-max pruning for BM25 (operator 9)."""
+"""Exact top-k search: sharded inverted index with block-max WAND pruning for BM25 (operator 9)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -20,14 +21,19 @@ from talweg.llm.common import materialize, release, table, text_bytes
 
 TERM = re.compile(r"\w+")
 K1, B, TOP = 1.2, 0.75, 10
-#: Documents of a shard on average, and of a block within it.
-SHARD, BLOCK = 8192, 64
-#: Queries that go to all shards at once, and the bytes of their terms at most (larger texts make smaller sets).
-QUERIES, QUERY_BYTES = 2048, 16_000_000
+#: Documents and bytes of text of a shard on average, and documents of a block within it.
+SHARD, SHARD_BYTES, BLOCK = 4096, 16_000_000, 32
+#: Queries of one set, which goes to all shards at once, and the bytes of its terms at most (larger texts make smaller sets).
+QUERIES, QUERY_BYTES = 8192, 24_000_000
+#: Queries whose blocks are scored together, the runs that they may hold (one query alone may pass that), and how many
+#: blocks a query takes in its first rounds; the last round takes all that may still matter.
+TOGETHER, RUNS, ROUNDS = 256, 1_000_000, (8,)
 #: Scores are compared when rounded to 6 digits, which moves them by up to half of this.
 STEP = 1e-6
-#: Terms in more than this share of a shard are scored for all its documents by one product.
+#: Postings of terms in more than this share of a shard are held as a matrix, those of others as lists.
 DENSE = 0.1
+#: Common terms whose presence orders the documents, so that blocks hold alike documents and their bounds are tight.
+ALIKE = 24
 
 
 def terms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -50,120 +56,185 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _store(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The documents of one shard as one row: postings by term, packed, with the documents' ids and sizes."""
+    """The documents of one shard as one row: postings by term, packed, with the documents' ids and sizes.
+
+    Places are dealt by the presence of the shard's commonest terms, then by size; ``rank`` keeps the order by doc_id, which decides ties.
+    """
     pdf = pdf.sort_values(["doc_id", "text_hash"], ignore_index=True, na_position="last")
-    each = pdf["terms"].map(len).to_numpy(np.int64)
-    term = np.concatenate(list(pdf["terms"])).astype(np.int64)
-    doc, tf = np.repeat(np.arange(len(pdf)), each), np.concatenate(list(pdf["counts"])).astype(np.int64)
-    order = np.lexsort((doc, term))
-    names, first = np.unique(term[order], return_index=True)
+    n, each = len(pdf), pdf["terms"].map(len).to_numpy(np.int64)
+    names, code, df = np.unique(np.concatenate(list(pdf["terms"])).astype(np.int64), return_inverse=True, return_counts=True)
+    doc, tf = np.repeat(np.arange(n), each), np.concatenate(list(pdf["counts"])).astype(np.int64)
+    sizes, bit = pdf["size"].to_numpy(np.int64), np.full(len(names), -1)
+    common = np.argsort(-df, kind="stable")[:ALIKE]
+    bit[common] = np.arange(len(common))[::-1]
+    alike, has = np.zeros(n, np.int64), bit[code] >= 0
+    np.bitwise_or.at(alike, doc[has], np.int64(1) << bit[code[has]])
+    rank = np.lexsort((sizes, alike))  # of the document at each place
+    place = np.empty(n, np.int64)
+    place[rank] = np.arange(n)
+    order = np.lexsort((place[doc], code))
     small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
     ids = [None if i is None or i != i else i for i in pdf["doc_id"].tolist()]
-    blob = pickle.dumps((ids, pdf["size"].to_numpy(np.int64), names, np.append(first, len(term)), small(doc[order]), small(tf[order])))
-    return pd.DataFrame({"n": [len(pdf)], "size": [int(pdf["size"].sum())], "blob": [blob]})
+    blob = pickle.dumps((ids, small(rank), sizes[rank], names, np.append(0, np.cumsum(df)), small(place[doc][order]), small(tf[order])))
+    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "n": [n], "size": [int(sizes.sum())], "blob": [blob]})
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many documents of a shard each of its terms is."""
     for batch in batches:
-        for blob in batch.column(2).to_pylist():
-            _, _, names, first, _, _ = pickle.loads(blob)
+        for blob in batch.column(0):
+            _, _, _, names, first, _, _ = pickle.loads(blob.as_buffer())
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.diff(first))], ["term", "df"])
 
 
+@dataclass
+class Asked:
+    """One set of queries, flat: query numbers, bounds of each one's terms, terms as codes of ``names``, weights, and the score that is known to be reached ``TOP`` times."""
+
+    number: np.ndarray
+    first: np.ndarray
+    code: np.ndarray
+    weight: np.ndarray
+    names: np.ndarray
+    floor: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Asked:
+        """``rows``: number, terms and weights of each query."""
+        each = np.array([len(t) for _, t, _ in rows], np.int64)
+        flat = [np.concatenate([np.asarray(r[i], kind) for r in rows] or [np.zeros(0, kind)]) for i, kind in ((1, np.int64), (2, np.float64))]
+        names, code = np.unique(flat[0], return_inverse=True)
+        return cls(np.array([r[0] for r in rows], np.int64), np.append(0, np.cumsum(each)), code.astype(np.int32), flat[1], names, np.zeros(len(rows)))
+
+
 class Shard:
-    """Index of one shard: postings by term, split in runs by block, with the largest impact of each run.
+    """Index of one shard: each term's postings cut in runs by block, with the largest impact of each run.
 
-    Impacts are BM25 term scores without idf. Postings of common terms are a dense matrix instead.
+    Impacts are BM25 term scores without idf. Terms of many documents have a run in nearly
+    every block: theirs are columns of a matrix, with the blocks' largest impacts as another.
     """
 
-    def __init__(self, sizes: np.ndarray, names: np.ndarray, first: np.ndarray, doc: np.ndarray, tf: np.ndarray, mean: float) -> None:
-        self.n = len(sizes)
+    def __init__(self, rank: np.ndarray, sizes: np.ndarray, names: np.ndarray, first: np.ndarray, doc: np.ndarray, tf: np.ndarray, mean: float) -> None:
+        self.n, self.names, self.rank = len(sizes), names, rank.astype(np.int64)
+        self.blocks = -(-self.n // BLOCK)
         df = np.diff(first)
-        code, doc, tf = np.repeat(np.arange(len(names)), df), doc.astype(np.int64), tf.astype(float)
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
         common = df > max(DENSE * self.n, 16)
-        self.dense_terms = names[common]
-        self.dense = np.zeros((int(common.sum()), self.n))
-        hit = common[code]
-        self.dense[(np.cumsum(common) - 1)[code[hit]], doc[hit]] = impact[hit]
-        code, self.doc, self.impact = code[~hit], doc[~hit], impact[~hit]
-        head = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (self.doc[1:] // BLOCK != self.doc[:-1] // BLOCK)])) if len(code) else np.zeros(0, np.int64)
-        self.run = np.concatenate([head, [len(code)]])
-        self.run_block = self.doc[head] // BLOCK
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        long_ = K1 * (1 - B + B * sizes / mean)
+        self.dense = np.zeros((self.blocks * BLOCK, int(common.sum())))
+        for j, t in enumerate(np.flatnonzero(common).tolist()):
+            at, often = doc[first[t] : first[t + 1]], tf[first[t] : first[t + 1]].astype(float)
+            self.dense[at, j] = often * (K1 + 1) / (often + long_[at])
+        self.dense = self.dense.reshape(self.blocks, BLOCK, int(common.sum()))
+        self.dense_most = self.dense.max(axis=1)
+        rare = np.repeat(~common, df)
+        code, self.doc, self.impact = np.repeat(np.arange(len(names), dtype=np.int32), np.where(common, 0, df)), doc[rare], tf[rare].astype(float)
+        del doc, tf, rare
+        self.impact *= (K1 + 1) / (self.impact + long_[self.doc])
+        self.doc = self.doc.astype(np.int64)
+        block = self.doc // BLOCK
+        head = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])])) if len(code) else np.zeros(0, np.int64)
+        self.run = np.append(head, len(code))
+        self.run_block = block[head]
         self.run_most = np.maximum.reduceat(self.impact, head) if len(head) else np.zeros(0)
-        rare = np.flatnonzero(~common)
-        self.terms = names[rare]
-        self.of_term = np.concatenate([np.searchsorted(code[head], rare), [len(head)]])
-
-    def dense_scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Scores of all documents by the common terms, a row for each query."""
-        w = np.zeros((len(queries), len(self.dense_terms)))
-        for k, (t, v) in enumerate(queries):
-            at = np.searchsorted(self.dense_terms, t)
-            ok = at < len(self.dense_terms)
-            ok[ok] = self.dense_terms[at[ok]] == t[ok]
-            w[k, at[ok]] = v[ok]
-        return w @ self.dense
-
-    def top(self, t: np.ndarray, v: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Best ``k`` documents with a positive score, ties by place.
-
-        A block's bound is the best dense score in it plus the sum of its runs' largest impacts.
-        Blocks are scored from the highest bound down, in sets that double, until no bound
-        can reach the k-th best score so far, which is a rounded one.
+        self.of_term = np.searchsorted(code[head], np.arange(len(names) + 1))
+
+    def search(self, asked: Asked, floor: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and scores of the best ``k`` documents of each query, ties by rank, and raises ``floor`` to the k-th score.
+
+        The largest impacts of a query's terms in a block add up to the block's bound. A block whose
+        bound stays under the floor can't hold a pivot, a document that would enter the k best, and is
+        skipped with all its postings. Blocks are scored from the highest bound down, a few, some
+        more, then all that may still reach the floor, which rises in between. Documents under the
+        floor given may be left out.
         """
-        at = np.searchsorted(self.terms, t)
-        ok = at < len(self.terms)
-        ok[ok] = self.terms[at[ok]] == t[ok]
-        lo, hi = self.of_term[at[ok]], self.of_term[at[ok] + 1]
-        runs = ranges(lo, hi)
-        weight = np.repeat(v[ok], hi - lo)
-        blocks = -(-self.n // BLOCK)
-        bound = np.bincount(self.run_block[runs], weight * self.run_most[runs], blocks)
-        bound += np.maximum.reduceat(score, np.arange(0, self.n, BLOCK))
-        order, done, size, theta = np.argsort(-bound, kind="stable"), 0, 8, 0.0
-        best, found = np.zeros(0, np.int64), np.zeros(0)
-        while done < blocks and bound[order[done]] * (1 + 1e-9) + STEP >= theta and bound[order[done]] > 0:
-            chosen = np.zeros(blocks, bool)
-            chosen[order[done : done + size]] = True
-            done, size = done + size, size * 2
-            pick = chosen[self.run_block[runs]]
-            these, w = runs[pick], weight[pick]
-            each = self.run[these + 1] - self.run[these]
-            posts = ranges(self.run[these], self.run[these + 1])
-            part = np.bincount(self.doc[posts], np.repeat(w, each) * self.impact[posts], self.n) + score
-            docs = np.flatnonzero(np.repeat(chosen, BLOCK)[: self.n] & (part > 0) & (part * (1 + 1e-9) + STEP >= theta))
-            best, found = np.concatenate([best, docs]), np.concatenate([found, np.round(part[docs], 6)])
-            keep = np.lexsort((best, -found))[:k]
-            best, found = best[keep], found[keep]
-            theta = found[-1] if len(found) == k else 0.0
-        return best, found
+        at = np.searchsorted(self.names, asked.names)
+        at[at == len(self.names)] = 0
+        term_of = np.where(self.names[at] == asked.names, at, -1) if len(self.names) else np.full(len(asked.names), -1)
+        runs = np.where((term_of >= 0) & (self.column[term_of] < 0), np.diff(self.of_term)[term_of], 0) if len(self.names) else np.zeros(len(term_of), np.int64)
+        before = np.append(0, np.cumsum(runs[asked.code]))[asked.first]  # runs of the queries before each
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(out) < len(asked.number):
+            q = len(out)
+            most = int(np.searchsorted(before, before[q] + RUNS, side="right")) - 1
+            out += self._batch(asked, term_of, range(q, max(q + 1, min(most, q + TOGETHER))), floor, k)
+        return out
+
+    def _batch(self, asked: Asked, term_of: np.ndarray, queries: range, floor: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        weights, held = np.zeros((len(queries), self.dense.shape[2])), []
+        bound = np.zeros((len(queries), self.blocks))
+        for i, q in enumerate(queries):
+            part = slice(asked.first[q], asked.first[q + 1])
+            t, w = term_of[asked.code[part]], asked.weight[part]
+            t, w = t[t >= 0], w[t >= 0]
+            column = self.column[t]
+            weights[i, column[column >= 0]] = w[column >= 0]
+            t, w = t[column < 0], w[column < 0]
+            runs = ranges(self.of_term[t], self.of_term[t + 1])
+            weight = np.repeat(w, self.of_term[t + 1] - self.of_term[t])
+            block = self.run_block[runs]
+            bound[i] += np.bincount(block, weight * self.run_most[runs], self.blocks)
+            held.append((runs, block, weight))
+        bound += weights @ self.dense_most.T
+        order = np.argsort(-bound, axis=1, kind="stable")
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        done = 0
+        for size in (*ROUNDS, self.blocks):
+            live = np.zeros(bound.shape, bool)
+            np.put_along_axis(live, order[:, done : done + size], True, axis=1)
+            low = floor[queries.start : queries.stop] - STEP
+            live &= (bound > 0) & (bound * (1 + 1e-9) >= low[:, None])
+            done += size
+            if not live.any():
+                continue
+            score = np.zeros((len(queries), self.blocks, BLOCK))
+            for b in np.flatnonzero(live.any(axis=0)).tolist():
+                these = np.flatnonzero(live[:, b])
+                score[these, b] = weights[these] @ self.dense[b].T
+            for i in np.flatnonzero(live.any(axis=1)).tolist():
+                runs, block, weight = held[i]
+                pick = np.flatnonzero(live[i][block])
+                runs, all_ = runs[pick], score[i].reshape(-1)
+                start, stop = self.run[runs], self.run[runs + 1]
+                posts = ranges(start, stop)
+                all_ += np.bincount(self.doc[posts], np.repeat(weight[pick], stop - start) * self.impact[posts], len(all_))
+                docs = np.flatnonzero(all_ >= max(low[i], 1e-300))
+                places, found = np.concatenate([best[i][0], docs]), np.concatenate([best[i][1], np.round(all_[docs], 6)])
+                keep = np.lexsort((self.rank[places], -found))[:k]
+                best[i] = places[keep], found[keep]
+                if len(keep) == k:
+                    floor[queries[i]] = max(floor[queries[i]], found[keep[-1]])
+        return best
 
 
 def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """All integers of the ranges lo to hi, one range after another."""
     each = hi - lo
-    if not each.sum():
+    ends = np.cumsum(each)
+    if not len(ends) or not ends[-1]:
         return np.zeros(0, np.int64)
-    return np.repeat(lo - (np.cumsum(each) - each), each) + np.arange(each.sum())
+    return np.repeat(lo - (ends - each), each) + np.arange(ends[-1])
 
 
 def _search(batches: Iterator[pa.RecordBatch], queries: object, mean: float, k: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    asked = queries.value
+    """Best documents of the task's shards; what one shard reaches is the floor of the next."""
+    asked: Asked = queries.value
+    floor, numbers, docs, scores = asked.floor.copy(), [], [], []
     for batch in batches:
-        for blob in batch.column(2).to_pylist():
-            ids, *parts = pickle.loads(blob)
-            shard, out_q, out_d, out_s = Shard(*parts, mean), [], [], []
-            for at in range(0, len(asked), 128):
-                part = asked[at : at + 128]
-                dense = shard.dense_scores([(t, v) for _, t, v in part])
-                for (q, t, v), score in zip(part, dense, strict=True):
-                    best, found = shard.top(t, v, score, k)
-                    out_q.append(np.full(len(best), q, np.int64))
-                    out_d.append(best)
-                    out_s.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q)), pa.array(ids, kind).take(pa.array(np.concatenate(out_d))), pa.array(np.concatenate(out_s))], ["query", "doc_id", "score"])
+        for blob in batch.column(0):
+            ids, *parts = pickle.loads(blob.as_buffer())
+            shard = Shard(*parts, mean)
+            del parts
+            best = shard.search(asked, floor, k)
+            at = np.repeat(np.arange(len(best)), [len(p) for p, _ in best])
+            place, score = (np.concatenate([b[i] for b in best]) if best else np.zeros(0, np.int64) for i in (0, 1))
+            ok = score >= floor[at]
+            numbers.append(at[ok])
+            docs.append(pa.array(ids, kind).take(pa.array(shard.rank[place[ok].astype(np.int64)])))
+            scores.append(score[ok])
+    for at, ids, score in zip(numbers, docs, scores, strict=True):
+        ok = score >= floor[at]  # floors have risen since
+        yield pa.RecordBatch.from_arrays([pa.array(asked.number[at[ok]]), ids.filter(pa.array(ok)), pa.array(score[ok])], ["query", "doc_id", "score"])
 
 
 def search(docs: DataFrame, asked: F.Column, top: int = TOP, shard: int = SHARD) -> DataFrame:
@@ -172,8 +243,11 @@ def search(docs: DataFrame, asked: F.Column, top: int = TOP, shard: int = SHARD)
     A query is the row's whole text, each word as often as it occurs. Number and mean length of documents,
     and how many have each term, are over all rows, so shards' results merge exactly. Scores are
     rounded to 6 digits; ties go to the smaller doc_id, null last. The row itself is among the documents. Texts without
-    words match nothing. Repeated rows are documents of their own but one query. Query terms go to
-    the shards in sets of bounded size, one set after another.
+    words (null, empty, blank) match nothing. Repeated rows are documents of their own but one query. Bytes that
+    aren't UTF-8 read as U+FFFD, which is no word. Other columns are not read. An empty table gives no rows.
+
+    Query terms go to the shards in sets of bounded size, one set after another. An eighth of the
+    shards goes first: what a query reaches there is the floor that prunes the other shards.
     """
     spark = docs.sparkSession
     marked = docs.select("doc_id", "text", F.coalesce(asked, F.lit(False)).alias("asked"))
@@ -184,39 +258,49 @@ def search(docs: DataFrame, asked: F.Column, top: int = TOP, shard: int = SHARD)
     def of(rows: DataFrame) -> DataFrame:
         return text_bytes(rows).withColumn("text_hash", F.xxhash64("text")).mapInArrow(_terms, form)
 
-    shards = -(-marked.count() // shard)
-    if not shards:
+    count, size = marked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = max(-(-count // shard), -(-size // SHARD_BYTES))
+    if not count:
         return none
     dealt = of(marked).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(shards)).cast("int"))
-    index = materialize(dealt.groupBy("shard").applyInPandas(_store, "n long, size long, blob binary"), "index")
+    index = materialize(dealt.groupBy("shard").applyInPandas(_store, "shard int, n long, size long, blob binary"), "index")
     del dealt
     release(spark)
     n, total = index.agg(F.sum("n"), F.sum("size")).first()
     if not total:
         return none
     words = of(marked.where("asked")).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("doc_id", "text_hash", F.col("x.terms").alias("term"), F.col("x.counts").alias("tf"))
-    df = index.mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    df = index.select("blob").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asks = words.join(df, "term").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("term", (idf * F.col("tf")).alias("w")))).alias("x"))
     asks = materialize(asks.select("doc_id", F.col("x.term").alias("terms"), F.col("x.w").alias("w"), F.monotonically_increasing_id().alias("query")), "queries")
     del words, df
     release(spark)
-    found = None
     sets = asks.agg(F.greatest(F.ceil(F.count("*") / QUERIES), F.ceil(F.coalesce(F.sum(F.size("terms")), F.lit(0)) * 16 / QUERY_BYTES))).first()[0]
+    early, found = -(-shards // 8), []
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     for k in range(sets):
-        part = asks.where(F.pmod(F.xxhash64("query"), F.lit(sets)) == k).select("query", "terms", "w").collect()
-        held = [(r["query"], np.array(r["terms"], np.int64), np.array(r["w"])) for r in part]
-        del part
-        if not held:
+        part = asks.where(F.pmod(F.xxhash64("query"), F.lit(sets)) == k).select("query", "terms", "w").toArrow()
+        if not part.num_rows:
             continue
-        sent = spark.sparkContext.broadcast(held)
-        got = materialize(index.mapInArrow(partial(_search, queries=sent, mean=total / n, k=top, kind=to_arrow_type(kind)), f"query long, doc_id {kind.simpleString()}, score double"), "hits")
-        sent.destroy()
-        found = got if found is None else found.unionByName(got)
-    if found is None:
+        held = Asked.of([(q, t.values.to_numpy(), w.values.to_numpy()) for q, t, w in zip(*(part.column(i) if i else part.column(i).to_pylist() for i in range(3)), strict=True)])
+        del part
+        for wave in (F.col("shard") < early, F.col("shard") >= early):
+            sent = spark.sparkContext.broadcast(held)
+            hits = index.where(wave).select("blob").mapInArrow(partial(_search, queries=sent, mean=total / n, k=top, kind=to_arrow_type(kind)), f"query long, doc_id {kind.simpleString()}, score double")
+            hits = materialize(hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top), "hits")
+            sent.destroy()
+            found.append(hits)
+            if shards == early:
+                break
+            reached = {r["query"]: r["score"] for r in hits.where(F.col("rank") == top).select("query", "score").collect()}
+            held.floor = np.array([reached.get(q, 0.0) for q in held.number.tolist()])
+    if not found:
         return none
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
-    best = found.withColumn("rank", rank).where(F.col("rank") <= top)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    best = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return best.join(asks.select("query", F.col("doc_id").alias("query_id")), "query").select("query_id", "rank", "doc_id", "score")
 
 

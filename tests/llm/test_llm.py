@@ -354,31 +354,57 @@ def test_bands_reach_recall():
 # --- 9 search
 
 
-def test_search_is_exact(spark):
-    rows = [(i, t) for i, t in odd_rows() if i is not None] + [(None, "word1 word2")] + [(r[0] + 100, r[1]) for r in docs_of()[:120]]
+def search_by_hand(rows, k=10):
+    """query, rank, document and score by scoring every pair; queries are distinct rows whose id divides by 20."""
     count = [Counter(search.TERM.findall((t or "").lower())) for _, t in rows]
     size = [sum(c.values()) for c in count]
     mean, df = sum(size) / len(rows), Counter(t for c in count for t in c)
-    want = Counter()
+    out = []
     for q in dict.fromkeys(r for r in rows if r[0] is not None and r[0] % 20 == 0):
-        score = []
+        score, asked = [], Counter(search.TERM.findall((q[1] or "").lower()))
         for (d, _), c, n in zip(rows, count, size, strict=True):
-            s = sum(k * math.log(1 + (len(rows) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * n / mean)) for t, k in Counter(search.TERM.findall((q[1] or "").lower())).items() if t in c)
+            s = sum(k * math.log(1 + (len(rows) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * n / mean)) for t, k in asked.items() if t in c)
             if s > 0:
-                score.append((-round(s, 5), d is None, d or 0, d))
-        for s in sorted(score)[:10]:
-            want[(q[0], s[3])] += 1
+                score.append((-round(s, 6), d is None, d or 0, d))
+        out += [(q[0], rank, s[3], round(-s[0], 4)) for rank, s in enumerate(sorted(score)[:k], 1)]
+    return sorted(out, key=str)
+
+
+def found_by(df):
+    return sorted(((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 4)) for r in df.collect()), key=str)
+
+
+def test_search_is_exact(spark):
+    rows = [(i, t) for i, t in odd_rows() if i is not None] + [(None, "word1 word2")] + [(r[0] + 100, r[1]) for r in docs_of()[:120]]
+    rows += [(300 + i, "word5 word6 word7") for i in range(60)] + [(400, " ".join(f"long{i % 9000}" for i in range(60_000)))]
+    want = search_by_hand(rows)
     for shard in (8192, 20):
-        got = Counter((r["query_id"], r["doc_id"]) for r in search.search(frame(spark, rows), F.col("doc_id") % 20 == 0, shard=shard).collect())
-        assert got == want
+        assert found_by(search.search(frame(spark, rows), F.col("doc_id") % 20 == 0, shard=shard)) == want
     assert search.search(frame(spark, []), F.lit(True)).count() == 0
+    assert search.search(frame(spark, [(20, None), (40, " ")]), F.lit(True)).count() == 0
+    raw = spark.createDataFrame([(20, b"a \xff b"), (21, b"\xff"), (22, b"b")], "doc_id long, text binary").selectExpr("doc_id", "cast(text as string) as text")
+    assert [r[:3] for r in found_by(search.search(raw, F.col("doc_id") == 20))] == [(20, 1, 20), (20, 2, 22)]
 
 
-def test_search_ties_beyond_one_block():
+@pytest.mark.parametrize("texts", [["the same words"] * 90, ["the same words", "the same", "words the"] * 40, [f"the the the {'a ' * (i % 7)}" for i in range(400)]])
+def test_search_of_common_terms_only(spark, texts):
+    rows = list(enumerate(texts))
+    for shard in (8192, 30):
+        assert found_by(search.search(frame(spark, rows), F.col("doc_id") % 20 == 0, shard=shard)) == search_by_hand(rows)
+
+
+def stored(texts):
     import pickle
 
     import pandas as pd
 
+    t = [search.terms(x.encode()) for x in texts]
+    pdf = pd.DataFrame({"doc_id": range(len(t)), "text_hash": 0, "terms": [a for a, _ in t], "counts": [c for _, c in t], "size": [int(c.sum()) for _, c in t], "shard": 0})
+    _, rank, sizes, *parts = pickle.loads(search._store(pdf)["blob"][0])
+    return search.Shard(rank, sizes, *parts, sizes.mean())
+
+
+def test_search_ties_beyond_one_block():
     rng = np.random.default_rng(3)
     kinds = [f"p{k} q{k} r{k}" for k in range(12)]
     texts = [f"x{i} y{i % 997} z" for i in range(6000)]
@@ -388,18 +414,36 @@ def test_search_ties_beyond_one_block():
             texts[i] = text
         for i in at[300:]:  # raise the bounds of some blocks, so these come first, but score less than a copy
             texts[i] = f"p{k} p{k}"
-    t = [search.terms(x.encode()) for x in texts]
-    pdf = pd.DataFrame({"doc_id": range(6000), "text_hash": 0, "terms": [a for a, _ in t], "counts": [c for _, c in t], "size": [int(c.sum()) for _, c in t]})
-    _, *parts = pickle.loads(search._store(pdf)["blob"][0])
-    shard = search.Shard(*parts, parts[0].mean())
-    for text in kinds:
-        ids, counts = search.terms(text.encode())
-        for weight in (1.0, 2.3456781, 3.1415926, 7.7777777):
-            v = counts * weight
-            best, found = shard.top(ids, v, shard.dense_scores([(ids, v)])[0], 10)
-            copies = [i for i, x in enumerate(texts) if x == text][:10]
+    shard = stored(texts)
+    for weight in (1.0, 2.3456781, 3.1415926, 7.7777777):
+        asked = search.Asked.of([(k, ids, counts * weight) for k, (ids, counts) in enumerate(search.terms(x.encode()) for x in kinds)])
+        for text, (place, found) in zip(kinds, shard.search(asked, np.zeros(len(kinds)), 10), strict=True):
             assert len(set(found)) == 1
-            assert best.tolist() == copies
+            assert shard.rank[place].tolist() == [i for i, x in enumerate(texts) if x == text][:10]
+
+
+def test_search_keeps_ties_of_one_text_at_any_place():
+    shard = stored(["one two"] * 640)
+    asked = search.Asked.of([(0, ids, counts * 1.2345678) for ids, counts in [search.terms(b"one two")]])
+    for k in (1, 7):
+        (place, _), floor = shard.search(asked, np.zeros(1), k)[0], np.zeros(1)
+        assert shard.rank[place].tolist() == list(range(k))
+        shard.search(asked, floor, k)
+        (again, _) = shard.search(asked, floor, k)[0]  # a floor that copies just reach leaves them in
+        assert shard.rank[again].tolist() == list(range(k))
+
+
+def test_search_prunes_blocks(monkeypatch):
+    """Alike documents lie together, so a query of one kind scores few blocks of the others, with few runs held at a time too."""
+    texts = [" ".join(f"{'abcdefgh'[i % 8]}{j}" for j in range(i % 5, 20)) for i in range(4096)]
+    shard = stored(texts)
+    asked = search.Asked.of([(i, ids, counts * 1.0) for i, (ids, counts) in enumerate(search.terms(texts[i].encode()) for i in range(40))])
+    many = shard.search(asked, np.zeros(40), 10)
+    monkeypatch.setattr(search, "RUNS", 10)
+    few = shard.search(asked, np.zeros(40), 10)
+    for q in range(40):
+        assert many[q][0].tolist() == few[q][0].tolist()
+        assert shard.rank[many[q][0]].tolist() == [i for i in range(4096) if texts[i] == texts[q]][:10]
 
 
 # --- 10 URL filter
