@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -37,11 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none (a test on one machine) a temporary folder is chosen and
-    set, so that later calls agree.
+    Only where the session names none and runs on one machine (a test) a temporary folder is chosen
+    and set, so that later calls agree; on a cluster that would lose rows, so it is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="talweg-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)
@@ -53,12 +56,22 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
 
     This cuts the lineage and survives lost executors; unlike ``checkpoint()`` the files are
     columnar and compressed. Each call takes a folder of its own, which the owner of the shared
-    folder clears like any checkpoint.
+    folder clears like any checkpoint, unless ``discard`` removes it before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from ``materialize`` that no plan reads any more, and let Spark drop shuffles of finished jobs."""
+    for df in tables:
+        spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release(tables[0].sparkSession)
 
 
 def shuffle_width(spark: SparkSession) -> int:
