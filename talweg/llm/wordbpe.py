@@ -7,6 +7,7 @@ packed little-endian unsigned 32-bit ids; a text is then a lookup per chunk.
 
 from __future__ import annotations
 
+import json
 from array import array
 
 import regex
@@ -48,7 +49,7 @@ class WordEncoder:
         """Encode chunks that aren't cached; plain ones by way of their letters, digits and signs."""
         pieces, chunks, whole = self.pieces, self.chunks, []
         for chunk in missing:
-            s = chunk.decode()
+            s = chunk.decode("utf-8", "replace")
             if (not s.isascii() and not PLAIN.fullmatch(s)) or not s.isprintable() or "<|" in s:
                 whole.append(chunk)
                 continue
@@ -62,7 +63,7 @@ class WordEncoder:
                     ids += known
             chunks[chunk] = ids
         if whole:
-            for chunk, e in zip(whole, self.tokenizer.encode_batch([c.decode() for c in whole], add_special_tokens=False), strict=True):
+            for chunk, e in zip(whole, self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in whole], add_special_tokens=False), strict=True):
                 chunks[chunk] = array("I", e.ids).tobytes()
 
     def trim(self) -> None:
@@ -86,11 +87,36 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+class TextEncoder:
+    """Any other tokenizer file: whole texts through the library."""
+
+    def __init__(self, path: str) -> None:
+        one_thread()
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Packed ids of each text; bytes that aren't UTF-8 read as U+FFFD."""
+        return [array("I", self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes() for t in texts]
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer file splits and normalises as ``WordEncoder`` does: chunk by chunk, in lower case."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    steps = [n.get("type") for n in (file.get("normalizer") or {}).get("normalizers", ())]
+    cuts = (file.get("pre_tokenizer") or {}).get("pretokenizers", ())
+    split = [c.get("pattern", {}).get("Regex") for c in cuts if c.get("type") == "Split" and c.get("behavior") == "Removed" and c.get("invert")]
+    plain = [c for c in cuts if c.get("type") == "ByteLevel" and not c.get("add_prefix_space") and not c.get("use_regex")]
+    return steps == ["NFC", "Replace", "Lowercase"] and split == [SPLIT.pattern] and len(plain) == 1 and len(cuts) == 2
+
+
+_ENCODERS: dict[str, WordEncoder | TextEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """This worker's encoder for a tokenizer file."""
+def encoder(path: str) -> WordEncoder | TextEncoder:
+    """This worker's encoder for a tokenizer file: by cached words where the file allows that, else by whole texts."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = WordEncoder(path) if by_words(path) else TextEncoder(path)
     return _ENCODERS[path]

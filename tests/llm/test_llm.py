@@ -246,18 +246,38 @@ def test_packing(spark):
     assert packing.pack_documents(frame(spark, []), packing.tokenizer_file()).count() == 0
 
 
-def test_exchange_between_buckets(spark):
+def test_ids_of_odd_bytes_and_other_files(spark):
+    from tokenizers import Tokenizer
+
+    raw = [b"ok \xff\xfe word", b"\xe4\xb8 cut", b"", b"a\xc3", None]
+    docs = spark.createDataFrame(list(enumerate(raw)), "doc_id long, text binary").selectExpr("doc_id", "cast(text as string) as text")
+    other = packing.tokenizer_file("byte_bpe_50k.json")
+    for path in (packing.tokenizer_file(), other):
+        plain = Tokenizer.from_file(path)
+        want = sorted((i, zlib.crc32(np.array([*plain.encode((t or b"").decode("utf-8", "replace"), add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, t in enumerate(raw))
+        assert sorted((r["doc_id"], r["ids_crc32"]) for r in packing.pack_documents(docs, path).collect()) == want
+
+
+@pytest.mark.parametrize("bucket_items", [100, 1000, 16_384])
+def test_exchange_between_buckets(spark, bucket_items):
     sizes = [int(x) for x in np.random.default_rng(4).integers(1, 2049, 3000)]
-    pieces = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, length long")
-    got = packing.pack(pieces, bucket_items=100).collect()
-    assert len(got) == 3000 and max(Counter(r["sequence_id"] for r in got).values()) >= 1
-    fill = Counter()
+    own = "uid long, length long, bucket string, fill int, gap int, OFFSET long"
+    pieces = spark.createDataFrame([(i, n, f"b{i}", i, -i, 5) for i, n in enumerate(sizes)], own)
+    packed = packing.pack(pieces, bucket_items=bucket_items)
+    got = packed.collect()
+    assert packed.columns == ["uid", "length", "bucket", "fill", "gap", "sequence_id", "offset"]
+    assert sorted(r[:5] for r in got) == [(i, n, f"b{i}", i, -i) for i, n in enumerate(sizes)]
+    by = defaultdict(list)
     for r in got:
-        fill[r["sequence_id"]] += r["length"]
-    assert max(fill.values()) <= 2048
-    assert packing.lower_bound(np.array(sizes)) <= len(fill) <= packing.lower_bound(np.array(sizes)) * 1.06  # buckets of 100 are tiny
-    one = {r["sequence_id"] for r in packing.pack(pieces).collect()}
-    assert len(one) <= packing.lower_bound(np.array(sizes)) * 1.02
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in by.values():
+        ends = np.cumsum([n for _, n in sorted(places)])
+        assert [o for o, _ in sorted(places)] == [0, *ends[:-1].tolist()] and ends[-1] <= 2048
+    bound = packing.lower_bound(np.array(sizes))
+    assert packing.certificate(packed).first()[:] == (len(by), bound, len(by) - bound)
+    assert len(by) <= bound * (1.06 if bucket_items == 100 else 1.02)
+    alone = sum(packing.best_fit_decreasing(np.array(sizes[i : i + bucket_items]))[0].max() + 1 for i in range(0, 3000, bucket_items))
+    assert len(by) <= alone * 1.01
 
 
 def test_bound_never_exceeds_packing():
