@@ -9,8 +9,9 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from talweg.llm.common import one_thread, table, text_bytes
+from talweg.llm.common import one_thread, ship, table
 
 RULES = ("majority", "start")
 
@@ -54,41 +55,54 @@ def line_bounds(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], at[after[after < len(raw)]]])
 
 
-def _count(batches: Iterator[pa.RecordBatch], path: str, rule: str) -> Iterator[pa.RecordBatch]:
+def whole(parts: list[bytes | None]) -> tuple[bytes, list[int]]:
+    """One valid UTF-8 text of all parts and the first character of each; bytes that aren't UTF-8 become U+FFFD."""
+    read = [(p or b"").decode("utf-8", "replace") for p in parts]
+    firsts = np.cumsum([0, *map(len, read)])[:-1].tolist()
+    return "".join(read).encode(), firsts
+
+
+def _count(batches: Iterator[pa.RecordBatch], path: str, rule: str, by_line: bool) -> Iterator[pa.RecordBatch]:
     enc, sizes = _encoding(path)
     for batch in batches:
         rows = []
-        for text in batch.column(1).to_pylist():
-            ids = np.asarray(enc.encode_to_numpy(text.decode("utf-8", "replace"), disallowed_special=()))
+        for parts in batch.column(1).to_pylist():
+            text, firsts = whole(parts)
+            ids = np.asarray(enc.encode_to_numpy(text.decode(), disallowed_special=()))
             raw = np.frombuffer(text, np.uint8)
             if not len(raw):
-                rows.append((0, 0, 0, 0, []))
+                rows.append((0, 0, 0 if by_line else len(parts), 0, [] if by_line else [0] * len(parts)))
                 continue
             at = np.cumsum((raw & 0xC0) != 0x80) - 1
             stop = np.cumsum(sizes[ids])
             starts, ends = at[stop - sizes[ids]], at[stop - 1] + 1  # tokens of part of a character span all of it
-            bounds = line_bounds(raw, at)
+            bounds = line_bounds(raw, at) if by_line else np.array(firsts)
             section, crossing = attribute(starts, ends, bounds, rule)
             rows.append((int(at[-1]) + 1, len(ids), len(bounds), int(crossing.sum()), np.bincount(section, minlength=len(bounds))))
         chars, tokens, sections, crossed, each = zip(*rows, strict=True) if rows else ((),) * 5
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (chars, tokens, sections, crossed)), pa.array(each, pa.list_(pa.int32()))], ["doc_id", "n_chars", "n_tokens", "n_sections", "n_crossing", "section_tokens"])
 
 
-def count_tokens(docs: DataFrame, ranks: str, rule: str = "majority") -> DataFrame:
+def count_tokens(docs: DataFrame, ranks: str, rule: str = "majority", fields: list[str] | None = None) -> DataFrame:
     """``doc_id, n_chars, n_tokens, n_sections, n_crossing, section_tokens`` of each document.
 
-    Sections are the text's lines, each with its line feed. The array has each section's
-    tokens in order and sums to ``n_tokens``. A null or empty text has no sections and no tokens;
-    repeated rows are counted alike; a null doc_id is kept; other columns are not read.
+    Sections are the lines of ``text``, each with its line feed; or, where ``fields`` names columns, these
+    columns' texts, which are encoded as one document, one after another with nothing between. The array
+    has each section's tokens in order and sums to ``n_tokens``. A null or empty text has no sections and no
+    tokens, a null or empty field has none of the tokens; bytes that aren't UTF-8 read as U+FFFD; a text of any length
+    is one encoding; repeated rows are counted alike; a null doc_id is kept; an empty table gives no rows; other columns are
+    not read.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {', '.join(RULES)}")
-    src = text_bytes(docs)
+    ship(docs.sparkSession)
+    src = docs.select("doc_id", F.array(*(F.col(c).cast("string").cast("binary") for c in fields or ["text"])).alias("parts"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(partial(_count, path=ranks, rule=rule), f"doc_id {kind}, n_chars long, n_tokens long, n_sections long, n_crossing long, section_tokens array<int>")
+    return src.mapInArrow(partial(_count, path=ranks, rule=rule, by_line=not fields), f"doc_id {kind}, n_chars long, n_tokens long, n_sections long, n_crossing long, section_tokens array<int>")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``count_tokens`` by line of every text of ``documents``."""
     import public_tokenizers
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))

@@ -116,6 +116,32 @@ def test_token_attribution(spark):
         tokencounts.count_tokens(frame(spark, rows), path, "none")
 
 
+def test_token_attribution_of_fields_and_odd_bytes(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    enc, _ = tokencounts._encoding(path)
+    raw = [(1, b"bad \xff\xfe end\n\xe4\xb8", b"tail"), (2, None, b""), (3, b"inter", b"national words"), (None, b"", b"only"), (3, b"x " * 50_000, None)]
+    docs = spark.createDataFrame(raw, "doc_id long, text binary, title binary").selectExpr("doc_id", "cast(text as string) as text", "cast(title as string) as title")
+    lines = {str(r["doc_id"]): r for r in tokencounts.count_tokens(docs.where("doc_id < 3"), path).collect()}
+    read = raw[0][1].decode("utf-8", "replace")
+    assert lines["1"]["n_chars"] == len(read) and lines["1"]["n_tokens"] == len(enc.encode_ordinary(read)) == sum(lines["1"]["section_tokens"]) and lines["1"]["n_sections"] == 2
+    assert lines["2"][1:] == (0, 0, 0, 0, [])
+    for rule in tokencounts.RULES:
+        got = tokencounts.count_tokens(docs, path, rule, ["text", "title"]).collect()
+        for (i, a, b), r in zip(raw, got, strict=True):
+            parts, n, at = [(x or b"").decode("utf-8", "replace") for x in (a, b)], [0, 0], 0
+            owner = [k for k, p in enumerate(parts) for c in p for _ in c.encode()]
+            chars = [k for k, c in enumerate("".join(parts)) for _ in c.encode()]
+            for token in enc.encode_ordinary("".join(parts)):
+                size = len(enc.decode_single_token_bytes(token))
+                held = {chars[j]: owner[j] for j in range(at, at + size)}
+                n[owner[at] if rule == "start" else max(sorted(set(held.values())), key=list(held.values()).count)] += 1
+                at += size
+            assert r["doc_id"] == i and list(r["section_tokens"]) == n and r["n_tokens"] == sum(n) and r["n_sections"] == 2
+    assert tokencounts.count_tokens(docs.limit(0), path).count() == 0
+
+
 # --- 3 classifier
 
 
