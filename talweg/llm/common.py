@@ -51,8 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def materialize(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, in folders by the column ``by`` if given, and read it back.
 
     This cuts the lineage and survives lost executors; unlike ``checkpoint()`` the files are
     columnar and compressed. Each call takes a folder of its own, which the owner of the shared
@@ -60,7 +60,7 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

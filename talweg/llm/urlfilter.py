@@ -16,7 +16,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 TRACKING = r"[?&]utm_source="
 #: Bits of a level for each of its keys (about one key in a hundred is mistaken) and bits that a key sets.
 BITS_PER_KEY, BITS_OF_KEY = 12, 4
-#: Bits that all levels may have together (32 MB); a longer list is matched by a semi-join instead.
+#: Bits of one cascade's first level at most on average (32 MB): a longer list is dealt by key to several cascades.
 MAX_BITS = 1 << 28
 
 
@@ -74,8 +74,8 @@ def build_level(keys: DataFrame, n: int, number: int, bits_per_key: int) -> Leve
     return level
 
 
-def build_cascade(universe: DataFrame, bits_per_key: int = BITS_PER_KEY, max_bits: int = MAX_BITS) -> list[Level] | None:
-    """Levels over ``universe`` (distinct ``key``, boolean ``listed``); None if they would pass ``max_bits``.
+def build_cascade(universe: DataFrame, bits_per_key: int = BITS_PER_KEY) -> list[Level]:
+    """Levels over ``universe`` (distinct ``key``, boolean ``listed``).
 
     Level 0 holds the listed keys, level 1 the unlisted keys that level 0 takes for listed,
     level 2 the listed keys that level 1 takes for unlisted, and so on until nothing is mistaken.
@@ -83,11 +83,7 @@ def build_cascade(universe: DataFrame, bits_per_key: int = BITS_PER_KEY, max_bit
     """
     levels: list[Level] = []
     side, other = universe.where("listed").select("key"), universe.where("not listed").select("key")
-    total = 0
     while n := side.count():
-        total += n * bits_per_key
-        if total > max_bits:
-            return None
         level = build_level(side, n, len(levels), bits_per_key)
         levels.append(level)
         side, other = materialize(other.where(level.has(F.col("key"))), "mistaken"), side
@@ -107,23 +103,32 @@ def judge_urls(pages: DataFrame, listed: Column, rules: tuple = RULES, bits_per_
 
     ``listed`` is a condition on ``url``: if any row of a key (host and path) meets it, the key is
     on the list. A rule that fits gives the verdict; else listed keys are blocked and others allowed.
-    A null url, or one without ://, has the empty key and no rule. Repeated rows are each judged;
-    empty tables give no rows; other columns are not read.
+    A null url, or one without ://, has the empty key and no rule. Repeated rows are each judged, a null
+    page_id as any other; URLs may have any length; empty tables give no rows; other columns are not read.
+
+    Each cascade's levels are bounded in size, so a task holds no more of them however long the list: the keys
+    are dealt by hash to as many cascades as ``max_bits`` asks for, and each judges the rows of its own keys.
     """
     rows = with_parts(pages.select("page_id", "url", listed.alias("listed")))
     rows = rows.withColumn("key", F.concat("host", "path"))
     universe = materialize(rows.groupBy("key").agg(F.coalesce(F.bool_or("listed"), F.lit(False)).alias("listed")), "keys")
-    levels = build_cascade(universe, bits_per_key, max_bits)
+    parts = max(1, -(-universe.where("listed").count() * bits_per_key // max_bits))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    if levels is None:
-        hits = universe.where("listed").select("key", F.lit(True).alias("hit"))
-        rows = rows.join(hits, "key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    rows = rows.select("page_id", "host", "path", "key")
+    if parts == 1:
+        judged = [rows.withColumn("hit", member(build_cascade(universe, bits_per_key), F.col("key")))]
     else:
-        rows = rows.withColumn("hit", member(levels, F.col("key")))
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"))
+        part = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(parts)).cast("int").alias("part")
+        universe, rows = (materialize(x.select("*", part), "parts", "part") for x in (universe, rows))
+        judged = [rows.where(F.col("part") == k).withColumn("hit", member(build_cascade(universe.where(F.col("part") == k), bits_per_key), F.col("key"))) for k in range(parts)]
+    every = judged[0]
+    for more in judged[1:]:
+        every = every.unionByName(more)
+    return every.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``judge_urls`` over all of ``pages``; keys of tracked URLs are listed."""
     return judge_urls(table(spark, sf_dir, "pages"), F.col("url").rlike(TRACKING))
 
 

@@ -501,8 +501,11 @@ def test_url_filter(spark):
     got = sorted((str(r["page_id"]), r["host"], r["path"], r["rule"] or "", r["verdict"]) for r in urlfilter.judge_urls(docs, F.col("url").rlike(urlfilter.TRACKING)).collect())
     want = [(1, "", "", "", "allow"), (2, "", "", "", "allow"), (3, "a.net", "", "", "allow"), (4, "a.net", "/x", "net/", "block"), (5, "www.example.net", "/en/1", "example.net/en/", "allow"), (6, "example.com", "/de/1", "example.com/de/", "block"), (7, "x.org", "/fr/", "org/fr/", "allow"), (8, "y.com", "/1", "", "block"), (9, "y.com", "/1", "", "block"), (None, "y.com", "/2", "", "allow"), (9, "y.com", "/1", "", "block"), (11, "", "", "", "allow"), (12, "notnet", "/", "", "allow")]
     assert got == sorted((str(w[0]), *w[1:]) for w in want)
-    join = urlfilter.judge_urls(docs, F.col("url").rlike(urlfilter.TRACKING), max_bits=0)
-    assert sorted((str(r["page_id"]), r["host"], r["path"], r["rule"] or "", r["verdict"]) for r in join.collect()) == got
+    for bits in (5, 12):
+        dealt = urlfilter.judge_urls(docs, F.col("url").rlike(urlfilter.TRACKING), max_bits=bits)
+        assert sorted((str(r["page_id"]), r["host"], r["path"], r["rule"] or "", r["verdict"]) for r in dealt.collect()) == got
+    long_ = spark.createDataFrame([(1, "http://h.com/" + "p" * 100_000 + "?utm_source=1"), (2, "http://h.com/" + "p" * 100_000), (3, "http://h.com/" + "p" * 99_999)], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in urlfilter.judge_urls(long_, F.col("url").rlike(urlfilter.TRACKING)).collect()} == {1: "block", 2: "block", 3: "allow"}
     assert urlfilter.judge_urls(docs.limit(0), F.lit(True)).count() == 0
 
 
