@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm.common import free_name, materialize, table
+from talweg.llm.common import discard, free_name, materialize, table
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Share of all tokens to keep, and the power that flattens each marginal's own shares into targets.
 FRACTION, TEMPER = 0.75, 0.8
-#: Cells that are raked on the driver at most (a few tens of bytes each); more are raked by Spark.
+#: Cells that are raked on the driver at most (a few tens of bytes each); more are raked by Spark, to the same weights.
 DRIVER_CELLS = 100_000
 ROUNDS, TOLERANCE, SEED = 200, 1e-7, 11
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,86 +50,114 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
     return w
 
 
-def goals(sums: np.ndarray, fraction: float, temper: float, wanted: dict | None, names: list) -> np.ndarray:
-    """Tokens that each value of one marginal should have: its given share, or its own share to the power ``temper``."""
-    share = np.array([wanted.get(n, 0.0) for n in names], float) if wanted else np.where(sums > 0, sums, 0) ** temper
-    return share / max(share.sum(), 1e-300) * fraction * sums.sum()
+def targets_of(marginals: DataFrame, fraction: float, temper: float, wanted: DataFrame | None) -> DataFrame:
+    """``marginals`` (``dimension, value, tokens``) with ``goal``, the tokens that each value should have.
+
+    Shares come from ``wanted`` (``dimension, value, share``) for the dimensions it names, 0 for values it lacks, and
+    else from the value's own tokens to the power ``temper``; they are scaled to ``fraction`` of all tokens.
+    """
+    own = F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(temper))).otherwise(0.0)
+    if wanted is None:
+        rows = marginals.withColumn("share", own)
+    else:
+        given = wanted.groupBy("dimension", F.coalesce(F.col("value").cast("string"), F.lit("(null)")).alias("value")).agg(F.sum("share").cast("double").alias("share"))
+        named = given.select("dimension", F.lit(True).alias("named")).distinct()
+        rows = marginals.join(given, ["dimension", "value"], "left").join(named, "dimension", "left")
+        rows = rows.withColumn("share", F.when(F.col("named"), F.coalesce("share", F.lit(0.0))).otherwise(own)).drop("named")
+    total = rows.groupBy("dimension").agg(F.greatest(F.sum("share"), F.lit(1e-300)).alias("shares"), F.sum("tokens").alias("every"))
+    return rows.join(total, "dimension").select("dimension", "value", "tokens", (F.col("share") / F.col("shares") * fraction * F.col("every")).alias("goal"))
 
 
-def rake_frames(cells: DataFrame, dims: list[str], fraction: float, temper: float, wanted: dict, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def marginals_of(cells: DataFrame, dims: list[str], *more: Column) -> DataFrame:
+    """``dimension, value, tokens`` of cells, and more sums over them."""
+    values = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dims)))
+    return cells.withColumn("m", values).groupBy("m.dimension", "m.value").agg(F.sum("tokens").alias("tokens"), *more)
+
+
+def rake_frames(cells: DataFrame, dims: list[str], goals: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``rake`` for any number of cells: one aggregation and join for each marginal, a written table for each round."""
-    spark, goal = cells.sparkSession, {}
-    for d in dims:
-        sums = cells.groupBy(d).agg(F.sum("tokens").alias("sum"))
-        given = wanted.get(d)
-        if given:
-            share = sums.join(spark.createDataFrame([(str(k), float(v)) for k, v in given.items()], f"{d} string, share double"), d, "left").fillna(0.0, ["share"])
-        else:
-            share = sums.withColumn("share", F.pow(F.col("sum").cast("double"), F.lit(temper)))
-        total = share.agg(F.sum("share").alias("all"), F.sum("sum").alias("tokens")).first()
-        goal[d] = materialize(share.select(d, (F.col("share") / F.lit(max(total["all"], 1e-300)) * fraction * total["tokens"]).alias("goal")), "goal")
     now = materialize(cells.withColumn("w", F.col("tokens").cast("double")), "cells")
     for _ in range(rounds):
         step = now.withColumn("before", F.col("w"))
         for d in dims:
-            scale = step.groupBy(d).agg(F.sum("w").alias("sum")).join(goal[d], d).select(d, F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(0.0).alias("by"))
+            goal = goals.where(F.col("dimension") == d).select(F.col("value").alias(d), "goal")
+            scale = step.groupBy(d).agg(F.sum("w").alias("sum")).join(goal, d).select(d, F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(0.0).alias("by"))
             step = step.join(scale, d).withColumn("w", F.col("w") * F.col("by")).drop("by")
         step = materialize(step.withColumn("w", F.least("w", F.col("tokens").cast("double"))), "cells")
         end = step.agg(F.max(F.abs(F.col("w") - F.col("before"))).alias("moved"), F.max("w").alias("most")).first()
+        discard(now)
         now = step.drop("before")
+        now.stored_at = step.stored_at
         if end["moved"] <= tolerance * max(end["most"], 1):
             break
     return now
 
 
-def with_mix(docs: DataFrame, name: str, topic: Column | None = None, fraction: float = FRACTION, temper: float = TEMPER, wanted: dict | None = None, seed: int = SEED, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+def rake_rows(cells: DataFrame, dims: list[str], goals: DataFrame) -> DataFrame:
+    """``rake_frames`` on the driver, for a number of cells that the caller has bounded; so are the goals."""
+    rows = sorted(cells.collect(), key=lambda r: tuple(r[d] for d in dims))
+    goal = {(r["dimension"], r["value"]): r["goal"] for r in goals.collect()}
+    codes, targets = [], []
+    for d in dims:
+        names = {v: k for k, v in enumerate(sorted({r[d] for r in rows}))}
+        codes.append(np.array([names[r[d]] for r in rows], np.int64))
+        targets.append(np.array([goal[d, v] for v in names], float))
+    w = rake(np.array([r["tokens"] for r in rows], float), codes, targets)
+    return cells.sparkSession.createDataFrame([(*(r[d] for d in dims), r["tokens"], float(x)) for r, x in zip(rows, w, strict=True)], ", ".join(f"{d} string" for d in dims) + ", tokens long, w double")
+
+
+def with_mix(docs: DataFrame, name: str, topic: Column | None = None, fraction: float = FRACTION, temper: float = TEMPER, wanted: DataFrame | None = None, seed: int = SEED, driver_cells: int = DRIVER_CELLS, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with a struct column ``name``: source, lang, topic, n_tokens, prob, weight, kept.
 
     Tokens are blank-separated words. Token weights of the cells source x language x topic are raked
-    to each marginal's target (``wanted[dimension][value]`` shares, else tempered own shares) over
-    ``fraction`` of all tokens; a cell's probability is its raked share of what it holds, so expected
-    kept tokens meet the targets, and a document is kept if a hash of its doc_id falls below. Weight
-    is 1 / prob. Null attributes are the value "(null)"; a null doc_id hashes as 0; repeated
-    rows are decided alike. Texts without words take their cell's probability, 1 if the cell has no
-    tokens. An empty table gives no rows. Other columns pass through.
+    to each marginal's target over ``fraction`` of all tokens: shares by the table ``wanted`` (``dimension, value, share``) for
+    the dimensions it names, else tempered own shares. A cell's probability is its raked share of what it holds, so expected
+    kept tokens meet the targets as far as the cells reach (``mix_report`` tells how far), and a document is kept if a hash of its doc_id
+    falls below. Weight is 1 / prob, null where prob is 0. ``topic`` is a column of the caller's own, else the text's shape. Null attributes
+    are the value "(null)"; a null doc_id is a value of its own; repeated rows are decided alike. Texts without words, null or
+    empty, take their cell's probability, 1 if the cell has no tokens; a text of any length is counted whole. An empty table gives no rows. Columns of
+    ``keep`` (else all) pass through, whatever their names, but one called ``name`` is set anew.
+
+    Texts are read once: rows are written with their counts and read again for the verdict.
     """
-    spark = docs.sparkSession
+    spark, dims = docs.sparkSession, list(DIMENSIONS)
+    own = [c for c in keep or docs.columns if c.lower() != name.lower()]
     n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    plain = {d: F.coalesce(F.col(d).cast("string"), F.lit("(null)")).alias(d) for d in ("source", "lang")}
-    base = docs.withColumn(name, F.struct(n.alias("n_tokens"), *plain.values()))
-    kind = topic if topic is not None else topic_of(F.col("text"), F.col(f"{name}.n_tokens"))
-    base = base.withColumn(name, F.struct(f"{name}.*", kind.alias("topic")))
-    dims, wanted = list(DIMENSIONS), wanted or {}
-    cells = materialize(base.select(f"{name}.*").groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    if cells.count() <= driver_cells:
-        rows = sorted(cells.collect(), key=lambda r: tuple(r[d] for d in dims))
-        tokens = np.array([r["tokens"] for r in rows], float)
-        codes, targets = [], []
-        for d in dims:
-            names = sorted({r[d] for r in rows})
-            code = np.array([names.index(r[d]) for r in rows], np.int64)
-            codes.append(code)
-            targets.append(goals(np.bincount(code, weights=tokens, minlength=len(names)), fraction, temper, wanted.get(d), names))
-        w = rake(tokens, codes, targets)
-        made = [(*(r[d] for d in dims), float(x / t) if t else 1.0) for r, x, t in zip(rows, w, tokens, strict=True)]
-        prob = spark.createDataFrame(made, ", ".join(f"m_{d} string" for d in dims) + ", prob double")
-    else:
-        raked = rake_frames(cells, dims, fraction, temper, wanted)
-        prob = raked.select(*(F.col(d).alias(f"m_{d}") for d in dims), F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0).alias("prob"))
-    even = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("0")), F.lit(seed)), 11) * F.lit(2.0**-53)
-    mark = f"{name}_p"
-    prob = prob.withColumnRenamed("prob", mark)
-    on = reduce(Column.__and__, [F.col(f"{name}.{d}") == F.col(f"m_{d}") for d in dims])
-    out = base.join(prob, on)
-    return out.withColumn(name, F.struct(f"{name}.*", F.col(mark).alias("prob"), (1 / F.when(F.col(mark) > 0, F.col(mark))).alias("weight"), (even < F.col(mark)).alias("kept"))).select(*docs.columns, name)
+    plain = [F.coalesce(F.col(d).cast("string"), F.lit("(null)")).alias(d) for d in ("source", "lang")]
+    base = docs.select(F.struct(*(F.col(c) for c in own)).alias("row"), F.struct("doc_id", "text").alias("x"), *plain, n.alias("n_tokens"), *([F.coalesce(topic.cast("string"), F.lit("(null)")).alias("topic")] if topic is not None else []))
+    if topic is None:
+        base = base.withColumn("topic", topic_of(F.col("x.text"), F.col("n_tokens")))
+    base = materialize(base.select("row", *dims, "n_tokens", F.xxhash64(F.col("x.doc_id").cast("string"), F.lit(seed)).alias("even")), "mix")
+    cells = materialize(base.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    goals = materialize(targets_of(marginals_of(cells, dims), fraction, temper, wanted), "goals")
+    few = cells.count() <= driver_cells
+    raked = (rake_rows if few else rake_frames)(cells, dims, goals)
+    prob = raked.select(*dims, F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0).alias("prob"))
+    out = base.join(F.broadcast(prob) if few else prob, dims)  # few: the cells' number has just been checked
+    even = F.shiftrightunsigned(F.col("even"), 11) * F.lit(2.0**-53)
+    mix = F.struct(*dims, "n_tokens", "prob", (1 / F.when(F.col("prob") > 0, F.col("prob"))).alias("weight"), (even < F.col("prob")).alias("kept"))
+    return out.select(*([F.col(f"row.`{c}`") for c in own] if own else []), mix.alias(name))
+
+
+def mix_report(mixed: DataFrame, name: str, fraction: float = FRACTION, temper: float = TEMPER, wanted: DataFrame | None = None) -> DataFrame:
+    """``dimension, value, tokens, goal, expected, kept, residual`` of what ``with_mix`` gave.
+
+    Expected sums prob times tokens, kept the tokens of documents kept; residual is expected less
+    goal, far from 0 where a value's cells hold too little.
+    """
+    rows = mixed.select(*(F.col(f"{name}.{d}").alias(d) for d in DIMENSIONS), F.col(f"{name}.n_tokens").alias("tokens"), (F.col(f"{name}.n_tokens") * F.col(f"{name}.prob")).alias("e"), F.when(F.col(f"{name}.kept"), F.col(f"{name}.n_tokens")).otherwise(0).alias("k"))
+    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.sum("e").alias("e"), F.sum("k").alias("k"))
+    sums = marginals_of(cells, list(DIMENSIONS), F.sum("e").alias("expected"), F.sum("k").alias("kept"))
+    goals = targets_of(sums.select("dimension", "value", "tokens"), fraction, temper, wanted)
+    return goals.join(sums.drop("tokens"), ["dimension", "value"]).select("dimension", "value", "tokens", "goal", "expected", "kept", (F.col("expected") - F.col("goal")).alias("residual"))
 
 
 def sample(docs: DataFrame, **options: object) -> DataFrame:
     """The documents that the mix keeps, with their own columns."""
     name = free_name(docs, "mix")
-    return with_mix(docs, name, **options).where(F.col(f"{name}.kept")).select(*docs.columns)
+    return with_mix(docs, name, **options).where(F.col(f"{name}.kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return with_mix(docs, "mix").select("doc_id", "mix.*")
+    """``with_mix`` over all of ``documents``: the verdict on each."""
+    return with_mix(table(spark, sf_dir, "documents"), "mix", keep=["doc_id"]).select("doc_id", "mix.*")

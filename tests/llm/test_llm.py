@@ -172,22 +172,71 @@ def test_raking_meets_targets():
     rng = np.random.default_rng(2)
     codes = [np.repeat([0, 1, 2], 4), np.tile([0, 1, 2, 3], 3)]
     tokens = rng.integers(500, 1500, 12).astype(float)
-    goals = [mixing.goals(np.bincount(c, tokens), 0.5, 0.9, None, list(range(c.max() + 1))) for c in codes]
+    goals = [(lambda s: s / s.sum() * 0.5 * tokens.sum())(np.bincount(c, tokens) ** 0.9) for c in codes]
     w = mixing.rake(tokens, codes, goals)
     assert (w <= tokens + 1e-9).all()
     for c, g in zip(codes, goals, strict=True):
         assert np.allclose(np.bincount(c, w), g, rtol=1e-5)
 
 
-def test_mix(spark):
-    docs = frame(spark, odd_rows() + [(r[0] + 100, r[1]) for r in docs_of()])
-    a = mixing.with_mix(docs, "mix")
-    b = mixing.with_mix(docs, "mix", driver_cells=0)
-    pick = lambda d: sorted((str(r["doc_id"]), r["mix"]["n_tokens"], round(r["mix"]["prob"], 6), r["mix"]["kept"]) for r in d.collect())
-    assert pick(a) == pick(b) and a.count() == docs.count()
-    assert {r["mix"]["lang"] for r in a.collect()} == {"en", "(null)"}
-    out = mixing.sample(docs)
-    assert out.columns == docs.columns and out.count() == a.where("mix.kept").count()
+def mix_by_hand(rows, fraction, temper, wanted):
+    """Probability of each cell by dictionary loops: rows of (source, lang, topic, tokens)."""
+    held, every = defaultdict(float), sum(r[3] for r in rows)
+    for r in rows:
+        held[r[:3]] += r[3]
+    goal = []
+    for i, d in enumerate(mixing.DIMENSIONS):
+        own = defaultdict(float)
+        for c, t in held.items():
+            own[c[i]] += t
+        share = {v: wanted[d].get(v, 0.0) if d in wanted else t**temper if t else 0.0 for v, t in own.items()}
+        goal.append({v: s / max(sum(share.values()), 1e-300) * fraction * every for v, s in share.items()})
+    w = dict(held)
+    for _ in range(200):
+        before = dict(w)
+        for i in range(3):
+            now = defaultdict(float)
+            for c, x in w.items():
+                now[c[i]] += x
+            w = {c: x * goal[i][c[i]] / now[c[i]] if now[c[i]] else 0.0 for c, x in w.items()}
+        w = {c: min(x, held[c]) for c, x in w.items()}
+        if max(abs(w[c] - before[c]) for c in w) <= 1e-7 * max(1, *w.values()):
+            break
+    return {c: w[c] / held[c] if held[c] else 1.0 for c in held}, goal
+
+
+@pytest.mark.parametrize("driver_cells", [100_000, 0])
+def test_mix(spark, driver_cells):
+    import re
+
+    rows = odd_rows() + [(r[0] + 100, r[1]) for r in docs_of()]
+    docs = frame(spark, rows)
+    given = {"source": {"s0": 0.3, "s1": 0.7}}
+    wanted = spark.createDataFrame([("source", "s0", 0.3), ("source", "s1", 0.7), ("source", "none", 0.0)], "dimension string, value string, share double")
+    for tables, shares in ((None, {}), (wanted, given)):
+        topic = F.when(F.length("text") % 3 == 0, "a").when(F.length("text") % 3 == 1, "b")
+        mixed = mixing.with_mix(docs, "mix", topic, 0.4, 0.8, tables, driver_cells=driver_cells)
+        got = mixed.collect()
+        kind = lambda t: "(null)" if t is None or len(t) % 3 == 2 else "ab"[len(t) % 3]
+        cells = [(f"s{(i or 0) % 2}", "en" if i != 3 else "(null)", kind(t), len(re.findall(mixing.WORD, t or ""))) for i, t in rows]
+        prob, goal = mix_by_hand(cells, 0.4, 0.8, shares)
+        assert Counter((str(r["doc_id"]), *r["mix"][:4], round(r["mix"]["prob"], 5)) for r in got) == Counter((str(i), *c, round(prob[c[:3]], 5)) for (i, _), c in zip(rows, cells, strict=True))
+        for r in mixing.mix_report(mixed, "mix", 0.4, 0.8, tables).collect():
+            d = mixing.DIMENSIONS.index(r["dimension"])
+            mine = [(c[3], prob[c[:3]]) for c in cells if c[d] == r["value"]]
+            assert abs(r["goal"] - goal[d][r["value"]]) < 1e-3 and abs(r["expected"] - sum(n * p for n, p in mine)) < 1e-2 and abs(r["expected"] - r["goal"] - r["residual"]) < 1e-6
+
+
+def test_mix_keeps_by_probability(spark):
+    rows = odd_rows() + [(r[0] + 100, r[1]) for r in docs_of()]
+    docs = frame(spark, rows)
+    out, mixed = mixing.sample(docs), mixing.with_mix(docs, "text", keep=["doc_id", "text", "row"])
+    assert mixed.columns == ["doc_id", "row", "text"] and mixed.count() == len(rows)
+    assert out.columns == docs.columns and out.count() == mixed.where("text.kept").count()
+    alike = defaultdict(set)
+    for r in mixed.collect():
+        alike[r["doc_id"], *r["text"][:3]].add(r["text"]["kept"])
+    assert all(len(v) == 1 for v in alike.values())
     assert mixing.sample(docs.limit(0)).count() == 0
 
 
