@@ -17,8 +17,8 @@ from talweg.llm.common import ship, table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RCDATA = frozenset("title textarea".split())
-UNSEEN = frozenset("head title script style template noscript iframe noembed noframes datalist object svg math audio video canvas select option optgroup".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul caption thead tbody tfoot tr td th".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes datalist object audio video canvas desc metadata defs annotation annotation-xml".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul caption thead tbody tfoot tr td th option optgroup".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset article section".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
 #: Opening the key ends the nearest open element of the set, unless a barrier stands between.
@@ -32,17 +32,26 @@ IMPLIED_ENDS = {
     "thead": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
-    "option": ({"option"}, {"select", "datalist"}),
+    "option": ({"option"}, {"select", "datalist", "optgroup"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
 P_BARRIERS = frozenset("td th table caption button object html body".split())
 SCOPE = frozenset("table td th caption html template".split())
 TABLE_PARTS = frozenset("table caption thead tbody tfoot tr td th".split())
 TABLE_SCOPE = frozenset("table html template".split())
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Input types that show no text of their own.
+WORDLESS = frozenset("hidden password checkbox radio file image color range".split())
+MARKUP = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z]|/(?![a-zA-Z]))")
+COMMENT_END = re.compile(r"--!?>")
+NAME = re.compile(r"[^\s/>]+")
+PLAIN = re.compile(r"[^>=]*")
+GAP = re.compile(r"=\s*")
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 BLANK = re.compile(r"[ \t\n\r\f]+")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)\Z")
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-zA-Z-]+)", re.I)
 
 
 class Node:
@@ -61,6 +70,48 @@ def attributes(source: str) -> dict[str, str]:
     return out
 
 
+class Tags:
+    """Reads one tag or comment after another; each sign of the page is looked at a bounded number of times."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.size = source, len(source)
+        self.last = {q: source.rfind(q) for q in "\"'>"}
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Start, end, whether it closes, name (empty: shows nothing) and attributes of the next one."""
+        m = MARKUP.search(self.source, at)
+        if not m:
+            return None
+        lead, start, at = m[0], m.start(), m.end()
+        if lead == "<!--":
+            if self.source.startswith((">", "->"), at):
+                return start, self.source.index(">", at) + 1, False, "", ""
+            end = COMMENT_END.search(self.source, at)
+            return start, end.end() if end else self.size, False, "", ""
+        if not lead[-1].isalpha():
+            return start, self.after(at), False, "", ""
+        closing = lead[1] == "/"
+        name = NAME.match(self.source, start + 1 + closing)
+        at = name.end()
+        while True:
+            at = PLAIN.match(self.source, at).end()
+            if at >= self.size or self.source[at] == ">":
+                break
+            at = GAP.match(self.source, at).end()
+            quote = self.source[at : at + 1]
+            if quote in ("'", '"'):
+                if self.last[quote] <= at:  # never closed: the tag ends at the next >, so that text stays text
+                    at = self.after(at) - 1
+                    break
+                at = self.source.index(quote, at + 1) + 1
+        at = min(at, self.size)
+        return start, min(at + 1, self.size), closing, name[0].lower(), self.source[name.end() : at]
+
+    def after(self, at: int) -> int:
+        """Past the next >, or the end."""
+        return self.source.index(">", at) + 1 if self.last[">"] >= at else self.size
+
+
 def build(source: str) -> Node:
     """Tree of a page: implied end tags are added, stray end tags ignored, rows get a table section only if written."""
     root = Node("#page", {})
@@ -87,17 +138,17 @@ def build(source: str) -> Node:
         stack.append(node)
         opened[node.name] = opened.get(node.name, 0) + 1
 
+    tags = Tags(source)
     while at < size:
-        m = TOKEN.search(source, at)
-        if not m:
+        found = tags.next(at)
+        if not found:
             text(source[at:])
             break
-        text(source[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        text(source[at : found[0]])
+        _, at, closing, name, rest = found
+        if not name:
             continue
-        name = m[2].lower()
-        if m[1]:
+        if closing:
             if name == "br":
                 stack[-1].kids.append(Node("br", {}))
             elif name == "p" and not opened.get("p"):
@@ -119,7 +170,7 @@ def build(source: str) -> Node:
             push(row)
         elif name == "body" or (name in BLOCK and name not in ("html", "body")):
             end({"head"}, {"html", "body"})
-        node = Node(name, attributes(m[3]) if m[3].strip(" \t\r\n\f/") else {})
+        node = Node(name, attributes(rest) if rest.strip(" \t\r\n\f/") else {})
         stack[-1].kids.append(node)
         if name in VOID:
             continue
@@ -133,10 +184,63 @@ def build(source: str) -> Node:
     return root
 
 
-def hidden(node: Node) -> bool:
-    """Elements that show nothing: by name, the hidden attribute, or a style that hides them."""
+def styles_of(root: Node) -> dict[str, list[tuple]]:
+    """Rules of the page's style elements that show or hide, by the last part of a simple selector (``p``, ``.c``, ``#i``, ``p.c``, ``*``).
+
+    A rule is its weight, order, element name or none, classes, ids and declarations. Selectors of several steps and blocks of at-rules are left out.
+    """
+    out: dict[str, list[tuple]] = {}
+    todo, order = [root], 0
+    while todo:
+        node = todo.pop()
+        todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
+        if node.name != "style" or not node.kids:
+            continue
+        css = CSS_COMMENT.sub("", node.kids[0])
+        at = depth = 0
+        head = ""
+        for m in re.finditer(r"[{}]", css):
+            if m[0] == "{":
+                if not depth:
+                    head = css[at : m.start()].rpartition(";")[2]
+                depth, at = depth + 1, m.end()
+                continue
+            depth = max(0, depth - 1)
+            said = {k.lower(): v.lower() for k, v in DECLARED.findall(css[at : m.start()])} if not depth else {}
+            at = m.end()
+            if not said or head.strip().startswith("@"):
+                continue
+            for one in head.split(","):
+                simple = SELECTOR.match(one.strip())
+                if not one.strip() or not simple:
+                    continue
+                parts = re.findall(r"[.#][\w-]+", simple[2])
+                classes, ids = {p[1:] for p in parts if p[0] == "."}, {p[1:] for p in parts if p[0] == "#"}
+                name = (simple[1] or "*").lower()
+                order += 1
+                out.setdefault(parts[-1] if parts else name, []).append(((len(ids), len(classes), name != "*"), order, name, classes, ids, said))
+    return out
+
+
+def shown(node: Node, rules: dict[str, list[tuple]], visible: bool) -> tuple[bool, bool]:
+    """Whether an element takes part in the layout, and whether its own text is visible (inherited unless said).
+
+    Unseen by name, the hidden attribute, then rules by weight and order, then its own style.
+    """
     a = node.attrs
-    return node.name in UNSEEN or ("hidden" in a and a["hidden"].lower() != "until-found") or ("style" in a and bool(HIDING.search(a["style"])))
+    if node.name in UNSEEN or (node.name == "input" and a.get("type", "").lower() == "hidden"):
+        return False, False
+    said = {"display": "none"} if "hidden" in a and a["hidden"].lower() != "until-found" else {}
+    if rules:
+        classes = a.get("class", "").split()
+        keys = ["*", node.name, *(f".{c}" for c in classes), *([f"#{a['id']}"] if "id" in a else [])]
+        fits = [r for k in keys for r in rules.get(k, ()) if r[2] in ("*", node.name) and r[3] <= set(classes) and r[4] <= {a.get("id")}]
+        for r in sorted(fits, key=lambda r: r[:2]):
+            said |= r[5]
+    if "style" in a:
+        said |= {k.lower(): v.lower() for k, v in DECLARED.findall(a["style"])}
+    seen = said.get("visibility", "inherit")
+    return said.get("display") != "none", visible if seen == "inherit" else seen not in ("hidden", "collapse")
 
 
 class Page:
@@ -195,28 +299,54 @@ class Page:
             self.gap = max(self.gap, gap)
 
 
-def lay_out(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of cells (lines, columns spanned) as text with aligned columns, two spaces apart."""
-    width: list[int] = []
+def span_of(value: str, most: int) -> int:
+    """Columns or rows that an attribute says, as the standard reads and bounds it; 1 if it says no number."""
+    digits = re.match(r"\s*\+?(\d+)", value, re.A)
+    return min(int(digits[1][:9]), most) if digits else 1
+
+
+def grid(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, list[str], int]]]:
+    """First column, lines and columns spanned of each row's cells; columns that a cell of an earlier row still covers are passed over."""
+    busy: list[int] = []
+    out = []
+    for row in rows:
+        col, placed = 0, []
+        for lines, across, down in row:
+            while col < len(busy) and busy[col]:
+                col += 1
+            busy += [0] * (col + across - len(busy))
+            busy[col : col + across] = [max(b, down) for b in busy[col : col + across]]
+            placed.append((col, lines, across))
+            col += across
+        busy = [max(0, b - 1) for b in busy]
+        out.append(placed)
+    return out
+
+
+def lay_out(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of cells (lines, columns and rows spanned) as text with aligned columns, two spaces apart."""
+    placed = grid(rows)
+    width = [0] * max((c[0] + c[2] for row in placed for c in row), default=0)
     for spanning in (False, True):
-        for row in rows:
-            col = 0
-            for lines, span in row:
-                width += [0] * (col + span - len(width))
+        for row in placed:
+            for col, lines, span in row:
                 need = max(map(len, lines), default=0)
                 if not spanning and span == 1:
                     width[col] = max(width[col], need)
                 elif spanning and span > 1:
                     width[col + span - 1] += max(0, need - sum(width[col : col + span]) - 2 * (span - 1))
-                col += span
+    starts = [0]
+    for w in width:
+        starts.append(starts[-1] + w + 2)
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            col, parts = 0, []
-            for lines, span in row:
-                parts.append((lines[k] if k < len(lines) else "").ljust(sum(width[col : col + span]) + 2 * (span - 1)))
-                col += span
-            out.append("  ".join(parts).rstrip())
+    for row in placed:
+        for k in range(max((len(lines) for _, lines, _ in row), default=0)):
+            line, size = [], 0
+            for col, lines, _ in row:
+                if k < len(lines) and lines[k]:
+                    line += [" " * (starts[col] - size), lines[k]]
+                    size = starts[col] + len(lines[k])
+            out.append("".join(line))
     return out
 
 
@@ -225,25 +355,33 @@ def render(source: str) -> str:
 
     Blocks start on lines of their own, paragraphs and the like are set off by a blank line, list
     items bear a dash or their number and are indented by depth, preformatted text keeps its blanks, and
-    cells of a table are padded to columns. No recursion: depth of nesting has no limit.
+    cells of a table are padded to columns, below the columns that they belong to where others span rows. What is not
+    displayed is left out with all it holds; invisible text leaves its place to visible text within. Closed
+    details are read as open. No recursion: depth of nesting has no limit.
     """
     page, pages, tables, lists = Page(), [], [], []
-    todo: list[tuple] = [("in", build(source), False)]
+    root = build(source)
+    rules = styles_of(root) if "<style" in source.lower() else {}
+    todo: list[tuple] = [("in", root, False, True)]
     while todo:
-        step, node, pre = todo.pop()
+        step, node, pre, visible = todo.pop()
         if isinstance(node, str):
-            page.write(node, pre)
+            if visible:
+                page.write(node, pre)
             continue
         name = node.name
         if step == "in":
-            if hidden(node) or (name == "input" and node.attrs.get("type", "").lower() == "hidden"):
+            displayed, visible = shown(node, rules, visible)
+            if not displayed:
                 continue
+            if name == "input" and visible and node.attrs.get("type", "").lower() not in WORDLESS:
+                page.write(node.attrs.get("value", ""), False)
             if name == "br":
                 page.newline(force=True)
                 continue
             if name == "hr":
                 page.block(0)
-                page._put("---")
+                page._put("---" if visible else "")
                 page.block(0)
                 continue
             if name == "table":
@@ -276,14 +414,14 @@ def render(source: str) -> str:
                 page.indent.append("  ")
             elif name == "blockquote":
                 page.indent.append("> ")
-            todo.append(("out", node, pre))
-            inner = pre or name == "pre"
-            todo += [("in", kid, inner) for kid in reversed(node.kids)]
+            todo.append(("out", node, pre, visible))
+            inner = pre or name in ("pre", "textarea")
+            todo += [("in", kid, inner, visible) for kid in reversed(node.kids)]
             continue
         if name in ("td", "th") and tables:
             page.newline()
-            span = node.attrs.get("colspan", "1")
-            cell = (page.lines, max(1, min(int(span), 1000)) if span.isdigit() and len(span) < 5 else 1)
+            down = span_of(node.attrs.get("rowspan", "1"), 65_534)
+            cell = (page.lines, max(1, span_of(node.attrs.get("colspan", "1"), 1000)), down or 65_534)
             page, lists = pages.pop()
             tables[-1][-1].append(cell)
             continue

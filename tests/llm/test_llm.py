@@ -381,12 +381,59 @@ def test_bound_never_exceeds_packing():
         ("</p>x</br>y", "x\ny"),
         ("<div>a<div>b</div>c</div>", "a\nb\nc"),
         ("x <b> y</b> z", "x y z"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<td>d</table>", "a  b\n   c  d"),
+        ("<table><tr><td>a<td colspan=2>wide one<tr><td rowspan=0>b<td>c<td>d<tr><td>e<td colspan=99999999999>f</table>", "a  wide one\nb  c  d\n   e  f"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>", "yes"),
+        ("<style>/* p{} */ .h, p#i.x {display:none} .v{display:block} @media print{.p{display:none}} a b{display:none}</style><p class='a h'>no<p class=p>yes<p id=i class=x>no<p id=i>two<p class='h v'>three", "yes\n\ntwo\n\nthree"),
+        ("<style>.h{display:none}</style><p class=h style='display:block'>x<p hidden>no", "x"),
+        ("<svg><title>no</title><text>label</text></svg><math><mi>x</mi></math>", "labelx"),
+        ("<select><option>one<option>two</select><input value=go type=submit><input type=hidden value=no>", "one\ntwo\ngo"),
+        ("<a href=\"x>text</a> more", "text more"),
+        ("<a title=\"a > b\" x='>' y=\">c", "c"),
+        ("a</ b>c<!-->d<? e >f<!doctype html>g", "acdfg"),
     ],
 )
 def test_render(source, text):
     assert htmltext.render(source) == text
 
 
+@pytest.mark.parametrize("part", ["<a x=\"", "<a x='\" ", "<a \"'", "<!--", "</", "<a x=\"'>", "<p", "<td>", "<style>p{", "<li><ul>", "&amp", "<!", "<select><option>"])
+def test_odd_pages_take_little_time(part):
+    import time
+
+    began = time.process_time()
+    htmltext.render(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < (2 if "\"" in part else 20)
+
+
+def test_cells_lie_below_their_columns():
+    """Against a plain grid of taken places: each cell's text starts where its first column does."""
+    rnd = random.Random(8)
+    for _ in range(200):
+        rows = [[([f"{r}.{c}" * rnd.randint(1, 3)], rnd.randint(1, 3), rnd.randint(1, 3)) for c in range(rnd.randint(0, 4))] for r in range(5)]
+        taken, want = set(), {}
+        for r, row in enumerate(rows):
+            col = 0
+            for lines, across, down in row:
+                while (r, col) in taken:
+                    col += 1
+                want[lines[0], r] = col
+                taken |= {(r + i, col + j) for i in range(down) for j in range(across)}
+                col += across
+        out = htmltext.lay_out(rows)
+        filled = [r for r, row in enumerate(rows) if row]
+        place: dict[int, int] = {}
+        for line, r in zip(out, filled, strict=True):
+            cells = [(lines[0], want[lines[0], r]) for lines, _, _ in rows[r]]
+            assert line.split() == [t for t, _ in cells]
+            at = 0
+            for t, col in cells:
+                at = line.index(t, at)
+                assert place.setdefault(col, at) == at
+                at += len(t)
+        assert [place[c] for c in sorted(place)] == sorted(place.values())
+
+
 def test_pages(spark):
     rows = [(1, None, "u"), (None, "<p>x", "u"), (2, "<div>" * 3000 + "deep", "u"), (2, "<div>" * 3000 + "deep", "u")]
     got = Counter((r["page_id"], r["text"]) for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id long, html string, text string")).collect())
