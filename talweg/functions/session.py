@@ -19,10 +19,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet in the folder of ``spark.checkpoint.dir`` and read back: cuts lineage, survives lost executors."""
+    """``df`` written as Parquet in the folder of ``spark.checkpoint.dir`` and read back: cuts lineage, survives lost executors.
+
+    Without that setting, a temporary folder serves on one machine; on a cluster it is an error.
+    """
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="talweg-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)

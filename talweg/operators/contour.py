@@ -262,6 +262,11 @@ def slices(parts: DataFrame, samples: int = 1800, periodic: bool = True) -> Data
     return s.withColumn("layer_number", F.row_number().over(Window.partitionBy("mesh_id").orderBy("level", "layer")) - 1)
 
 
+def collection_length(segs: DataFrame) -> DataFrame:
+    """``mesh_id, n_levels, total_length`` over all segments of each mesh."""
+    return segs.groupBy("mesh_id").agg(F.countDistinct("layer").alias("n_levels"), F.sum("len").alias("total_length"))
+
+
 def summary(slices_: DataFrame) -> DataFrame:
     """Slices, those with several components, the most components (1 at least) and the levels where they split."""
     many = F.col("component_count") > 1

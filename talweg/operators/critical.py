@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talweg.operators.geodesic import Graph, mesh_arcs
+from talweg.functions.session import written
+from talweg.operators.fields import normalized, smoothed
+from talweg.operators.geodesic import Graph, mesh_arcs, to_side
 from talweg.operators.topology import boundary_vertices, both_ways, weighted_edges
 from talweg.sources.tubes import Mesh
 
@@ -220,6 +222,65 @@ def persistent(critical: DataFrame, field: DataFrame, threshold: float) -> DataF
     return j.select("mesh_id", "vid", F.when(F.col("value_gap") < threshold, "regular").otherwise(F.col("critical_type")).alias("critical_type"), "changes", "confidence")
 
 
+def scored(mesh: Mesh, found: DataFrame, r: DataFrame, strategy: str = "confidence") -> DataFrame:
+    """``mesh_id, vid, score`` of the saddles among critical points, by which the best of a cluster is chosen.
+
+    ``confidence`` or ``conf``; ``saliency`` or ``contrast``; any other strategy scores all alike.
+    """
+    saddles = found.where("critical_type = 'saddle'")
+    if strategy.lower() in ("saliency", "contrast"):
+        return saddles.select("mesh_id", "vid").join(saliency(mesh.faces, r), ["mesh_id", "vid"]).withColumnRenamed("saliency", "score")
+    score = F.col("confidence") if strategy.lower() in ("confidence", "conf") else F.lit(0.0)
+    return saddles.select("mesh_id", "vid", score.alias("score"))
+
+
+def detect(mesh: Mesh, value: DataFrame, eps: float = 1e-12, adaptive: bool = True, odd_saddles: bool = False, normalize: bool = True, smooth: int = 0, weight: float = 0.5, clip: float = 0.0, clip_by_edge: bool = False, strategy: str = "confidence", persistence: float = 0.0) -> DataFrame:
+    """``mesh_id, vid, critical_type, changes, confidence`` of a field (columns of ``value``: value), step by step.
+
+    The field is normalised and smoothed ``smooth`` times, vertices are judged, saddles within ``clip`` (a length, or
+    median edges of their mesh) give way to the best of them by ``strategy``, and critical points
+    whose value gap is under ``persistence`` go. What goes becomes regular.
+    """
+    r = normalized(value) if normalize else value.select("mesh_id", "vid", F.col("value").alias("r"))
+    if smooth > 0:
+        again = smoothed(r.withColumnRenamed("r", "value"), both_ways(weighted_edges(mesh)), boundary_vertices(mesh.faces), smooth, weight)
+        r = written(again.withColumnRenamed("value", "r"), "smoothed")
+    found = critical_points(mesh, r, eps, adaptive, odd_saddles)
+    if clip > 0 or persistence > 0:
+        found = written(found, "critical")  # read several times from here on
+    if clip > 0:
+        kept = saddle_clusters(mesh, scored(mesh, found, r, strategy), clip, clip_by_edge).select("mesh_id", F.col("kept").alias("vid")).distinct().withColumn("stays", F.lit(True))
+        gone = (F.col("critical_type") == "saddle") & F.col("stays").isNull()
+        found = found.join(kept, ["mesh_id", "vid"], "left").withColumn("critical_type", F.when(gone, "regular").otherwise(F.col("critical_type"))).drop("stays")
+    return persistent(found, r, persistence) if persistence > 0 else found
+
+
+def multi_scale_saddles(mesh: Mesh, value: DataFrame, levels: int = 3, share: float = 0.6, smooth: int = 2, persistence: float = 0.0, **options: object) -> DataFrame:
+    """``mesh_id, vid, votes``: saddles that at least ``share`` of ``levels`` runs of ``detect`` find; run k smooths k + 1 times as much and asks for k hundredths more persistence."""
+    value = written(value.select("mesh_id", "vid", "value"), "field")
+    return consensus([detect(mesh, value, smooth=smooth * (k + 1), persistence=persistence + 0.01 * k, **options) for k in range(levels)], share)
+
+
+def annotated(found: DataFrame) -> DataFrame:
+    """``mesh_id, vid, morse_index, critical_type, critical_confidence``: attributes of a graph's nodes; regular vertices have index -1."""
+    index = F.when(F.col("critical_type") == "minimum", 0).when(F.col("critical_type") == "saddle", 1).when(F.col("critical_type") == "maximum", 2).otherwise(-1)
+    return found.select("mesh_id", "vid", index.alias("morse_index"), "critical_type", F.col("confidence").alias("critical_confidence"))
+
+
+def saddle_radii(mesh: Mesh, sided: DataFrame, saddles: DataFrame) -> DataFrame:
+    """``saddles`` with ``radius``: the way along edges to the nearer of the sides' vertices (``sided``)."""
+    way = to_side(mesh.vertices, both_ways(weighted_edges(mesh)), sided.where("boundary_side in ('lower', 'upper')"))
+    return saddles.join(way.withColumnRenamed("value", "radius"), ["mesh_id", "vid"])
+
+
+def given_radii(saddles: DataFrame, radii: list[float]) -> DataFrame:
+    """``saddles`` with ``radius``: the given ones in order of id; a mesh with another number of saddles is an error."""
+    n = F.count("*").over(Window.partitionBy("mesh_id"))
+    k = F.row_number().over(Window.partitionBy("mesh_id").orderBy("vid"))
+    wrong = F.raise_error(F.lit(f"{len(radii)} radii are given, one for each saddle is needed")).cast("double")
+    return saddles.withColumn("radius", F.when(n != len(radii), wrong).otherwise(F.get(F.array(*(F.lit(float(x)) for x in radii)), k - 1)))
+
+
 def _cluster(arcs: pd.DataFrame, saddles: pd.DataFrame, threshold: float, by_edge: bool) -> pd.DataFrame:
     if not len(saddles):
         return pd.DataFrame({"mesh_id": [], "vid": [], "kept": []})
@@ -227,16 +288,24 @@ def _cluster(arcs: pd.DataFrame, saddles: pd.DataFrame, threshold: float, by_edg
         threshold *= float(arcs.loc[arcs["u"] >= 0, "weight"].median())  # each edge is there twice, which leaves the median
     ids, score = saddles["vid"].tolist(), dict(zip(saddles["vid"], saddles["score"], strict=True))
     group = {s: s for s in ids}
+
+    def root(x: int) -> int:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
     if len(ids) > 1 and 0 < threshold < np.inf:
         g = Graph(arcs.loc[arcs["u"] >= 0], int(arcs["n"].iloc[0]))
         for s in ids:
             d = g.distances([s], threshold)
             for t in ids:
-                if d[t] <= threshold and group[t] != group[s]:
-                    old, new = max(group[s], group[t]), min(group[s], group[t])
-                    group = {k: new if v == old else v for k, v in group.items()}
-    best = {c: max((t for t in ids if group[t] == c), key=lambda t: (score[t], -t)) for c in set(group.values())}
-    return pd.DataFrame({"mesh_id": saddles["mesh_id"].iloc[0], "vid": ids, "kept": [best[group[s]] for s in ids]})
+                if d[t] <= threshold and (a := root(s)) != (b := root(t)):
+                    group[max(a, b)] = min(a, b)
+    best: dict[int, int] = {}
+    for t in sorted(ids, key=lambda t: (-score[t], t)):
+        best.setdefault(root(t), t)
+    return pd.DataFrame({"mesh_id": saddles["mesh_id"].iloc[0], "vid": ids, "kept": [best[root(s)] for s in ids]})
 
 
 def saddle_clusters(mesh: Mesh, saddles: DataFrame, threshold: float, by_edge: bool = False) -> DataFrame:
@@ -245,7 +314,7 @@ def saddle_clusters(mesh: Mesh, saddles: DataFrame, threshold: float, by_edge: b
     ``by_edge``: the threshold counts in median edges of the saddles' own mesh. Unless it is positive and finite, all saddles stay.
     """
     arcs = both_ways(weighted_edges(mesh))
-    s = saddles.groupBy("mesh_id")
+    s = saddles.select(*(F.col(c).alias(c) for c in ("mesh_id", "vid", "score"))).groupBy("mesh_id")
     return mesh_arcs(mesh.vertices, arcs).groupBy("mesh_id").cogroup(s).applyInPandas(partial(_cluster, threshold=threshold, by_edge=by_edge), "mesh_id int, vid int, kept int")
 
 
@@ -267,9 +336,7 @@ def _conform(arcs: pd.DataFrame, marks: pd.DataFrame, n: float, eps: float) -> p
     reach = np.array([g.distances([x]) for x in s]).reshape(len(s), g.n)
     with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
         if s:
-            radius = np.minimum(reach[:, ids["lower"]].min(axis=1), reach[:, ids["upper"]].min(axis=1))
-            given = marks.loc[marks["role"] == "saddle", "radius"].to_numpy(float)
-            radius = np.where(np.isnan(given), radius, given)
+            radius = marks.loc[marks["role"] == "saddle", "radius"].to_numpy(float)
             pull = 1 / np.sinh(np.maximum(np.sqrt(np.maximum(reach.T + radius**n - radius, 0)), 1e-12))
             pull = pull / (pull.sum(axis=1, keepdims=True) + 1e-12)
         least = {}
@@ -284,12 +351,14 @@ def _conform(arcs: pd.DataFrame, marks: pd.DataFrame, n: float, eps: float) -> p
 
 
 def conforming_field(mesh: Mesh, sided: DataFrame, saddles: DataFrame, n: float = 2.0, eps: float = 1e-9) -> DataFrame:
-    """0 at the upper side, 1 at the lower, bent round the saddles (``mesh_id, vid`` and optionally ``radius``).
+    """0 at the upper side, 1 at the lower, bent round the saddles (``mesh_id, vid`` and optionally ``radius``, else ``saddle_radii``).
 
     Each side's distance is the least, over its vertices, of the way there plus the saddles' weighted
     ways; unreachable vertices are NaN. A mesh that lacks a side is an error.
     """
-    radius = F.col("radius").cast("double") if "radius" in saddles.columns else F.lit(None).cast("double")
+    if "radius" not in saddles.columns:
+        saddles = saddle_radii(mesh, sided, saddles.select("mesh_id", "vid"))
+    radius = F.col("radius").cast("double")
     marks = sided.select("mesh_id", "vid", F.col("boundary_side").alias("role"), F.lit(None).cast("double").alias("radius")).unionByName(saddles.select("mesh_id", "vid", F.lit("saddle").alias("role"), radius.alias("radius")))
     arcs = mesh_arcs(mesh.vertices, both_ways(weighted_edges(mesh)))
     return arcs.groupBy("mesh_id").cogroup(marks.orderBy("mesh_id", "vid").groupBy("mesh_id")).applyInPandas(partial(_conform, n=n, eps=eps), "mesh_id int, vid int, value double")

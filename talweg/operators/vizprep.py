@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talweg.operators.geodesic import to_side
 from talweg.sources.tubes import Mesh
 
 #: Polynomial coefficients, lowest power first, that approximate the turbo colour map.
@@ -82,6 +83,39 @@ def color_range(df: DataFrame, column: str = "value") -> DataFrame:
     return df.agg(F.min(ok).alias("cmin"), F.max(ok).alias("cmax"))
 
 
+def bounded(values: DataFrame, least: float | None = None, most: float | None = None, column: str = "value") -> DataFrame:
+    """Values of a metric held between the given bounds, as they are drawn on a mesh."""
+    v = F.col(column)
+    v = F.greatest(v, F.lit(float(least))) if least is not None else v
+    return values.withColumn(column, F.least(v, F.lit(float(most))) if most is not None else v)
+
+
+def require_sides(sided: DataFrame) -> DataFrame:
+    """``sided`` if it has rows; a view of sides that no mesh has is an error."""
+    if sided.isEmpty():
+        raise RuntimeError("boundary sides are needed: label them first")
+    return sided
+
+
+def require_saddles(critical: DataFrame) -> DataFrame:
+    """The saddles among annotated vertices (``critical_type``); a view of saddles that no mesh has is an error."""
+    found = critical.where("critical_type = 'saddle'")
+    if found.isEmpty():
+        raise RuntimeError("saddle annotations are needed: detect critical points first")
+    return found
+
+
+def side_view(mesh: Mesh, arcs: DataFrame, sided: DataFrame, side: str) -> DataFrame:
+    """``mesh_id, vid, x, y, z, value``: vertices with their distance to the lower or upper side."""
+    d = to_side(mesh.vertices, arcs, require_sides(sided).where(F.col("boundary_side") == side))
+    return mesh.vertices.join(d, ["mesh_id", "vid"])
+
+
+def saddles_view(mesh: Mesh, arcs: DataFrame, critical: DataFrame) -> DataFrame:
+    """``mesh_id, vid, x, y, z, value``: vertices with their distance to the nearest saddle."""
+    return mesh.vertices.join(to_side(mesh.vertices, arcs, require_saddles(critical).select("mesh_id", "vid")), ["mesh_id", "vid"])
+
+
 def save_html(mesh: Mesh, field: DataFrame, mesh_id: int, path: str, title: str = "mesh") -> Path:
     """One mesh as a page that draws itself on a canvas, no scripts from elsewhere."""
     v = mesh.vertices.where(F.col("mesh_id") == mesh_id).join(colored(field), ["mesh_id", "vid"]).orderBy("vid").collect()

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from talweg.functions.session import written
 from talweg.operators import contour, critical, export, fields, geodesic, topology, vizprep
 from talweg.plans.methods import METHODS, Engine
 from talweg.sources.tubes import Mesh, tubes
@@ -86,7 +88,36 @@ BLOCKS = {
       (select ds.mesh_id, t as vid, min(ds.d + weight) as d from ds join sym on sym.mesh_id = ds.mesh_id and s = ds.vid
         left join recurring.ds o on o.mesh_id = sym.mesh_id and o.vid = t where o.d is null or ds.d + weight < o.d group by all)""",
 }
-KEYED = {"ds": "ds(mesh_id, vid, d) using key (mesh_id, vid)", "dl": "dl(mesh_id, vid, d) using key (mesh_id, vid)", "du": "du(mesh_id, vid, d) using key (mesh_id, vid)", "dn": "dn(mesh_id, boundary_number, vid, d) using key (mesh_id, boundary_number, vid)"}
+BLOCKS |= {
+    "dv": """select mesh_id, vid, cast(0 as double) as d from v where vid in (0, 105) union
+      (select dv.mesh_id, t as vid, min(dv.d + weight) as d from dv join sym on sym.mesh_id = dv.mesh_id and s = dv.vid
+        left join recurring.dv o on o.mesh_id = sym.mesh_id and o.vid = t where o.d is null or dv.d + weight < o.d group by all)""",
+    "sad": "select mesh_id, vid from crit where critical_type = 'saddle'",
+    "dm": """select mesh_id, vid as src, vid, cast(0 as double) as d from (select mesh_id, vid from sad union select mesh_id, vid from sv) union
+      (select dm.mesh_id, dm.src, t as vid, min(dm.d + weight) as d from dm join sym on sym.mesh_id = dm.mesh_id and s = dm.vid
+        left join recurring.dm o on o.mesh_id = sym.mesh_id and o.src = dm.src and o.vid = t where o.d is null or dm.d + weight < o.d group by all)""",
+    "srad": "select dm.mesh_id, dm.src as s, min(d) as radius from dm join sad on sad.mesh_id = dm.mesh_id and sad.vid = dm.src join sv on sv.mesh_id = dm.mesh_id and sv.vid = dm.vid group by all",
+    "pullraw": """select dm.mesh_id, dm.vid, dm.src as s, 1 / sinh(greatest(sqrt(greatest(d + radius * radius - radius, 0)), 1e-12)) as w
+      from dm join srad on srad.mesh_id = dm.mesh_id and srad.s = dm.src""",
+    "pull": "select mesh_id, vid, s, w / (sum(w) over (partition by mesh_id, vid) + 1e-12) as w from pullraw",
+    "bent": """select a.mesh_id, a.vid, sv.boundary_side as side, a.src as b, a.d + coalesce((select sum(p.w * r.d) from pull p join dm r on r.mesh_id = p.mesh_id and r.src = p.s and r.vid = a.src where p.mesh_id = a.mesh_id and p.vid = a.vid), 0) as d
+      from dm a join sv on sv.mesh_id = a.mesh_id and sv.vid = a.src""",
+    "least_": "select mesh_id, vid, min(d) filter (side = 'lower') as lo, min(d) filter (side = 'upper') as up from bent group by all",
+    "near_": "select mesh_id, src as s, vid as t from dm where d <= cast(1.8 as double) and exists (select 1 from sad x where x.mesh_id = dm.mesh_id and x.vid = dm.src) and exists (select 1 from sad y where y.mesh_id = dm.mesh_id and y.vid = dm.vid)",
+    "grp": """select mesh_id, vid, vid as kept from sad union
+      (select near_.mesh_id, near_.t as vid, min(grp.kept) as kept from grp join near_ on near_.mesh_id = grp.mesh_id and near_.s = grp.vid
+        join recurring.grp o on o.mesh_id = near_.mesh_id and o.vid = near_.t where grp.kept < o.kept group by all)""",
+    "ends": """select mesh_id, layer, fid, round_even(x0, 6) + 0.0 as x, round_even(y0, 6) + 0.0 as y, round_even(z0, 6) + 0.0 as z from seg
+      union all select mesh_id, layer, fid, round_even(x1, 6) + 0.0, round_even(y1, 6) + 0.0, round_even(z1, 6) + 0.0 from seg""",
+    "beside": "select distinct p.mesh_id, p.layer, p.fid as s, q.fid as t from ends p join ends q using (mesh_id, layer, x, y, z) where p.fid <> q.fid",
+    "comp": """select mesh_id, layer, fid, fid as root from seg union
+      (select b.mesh_id, b.layer, b.t as fid, min(comp.root) as root from comp join beside b on b.mesh_id = comp.mesh_id and b.layer = comp.layer and b.s = comp.fid
+        join recurring.comp o on o.mesh_id = b.mesh_id and o.layer = b.layer and o.fid = b.t where comp.root < o.root group by all)""",
+    "part_": "select mesh_id, layer, level, root, count(*) as n, sum(len) as len from comp join seg using (mesh_id, layer, fid) group by all",
+    "slice_": "select mesh_id, layer, level, count(*) as component_count, sum(len) as total_length from part_ group by all",
+}
+KEYED = {"dv": "dv(mesh_id, vid, d) using key (mesh_id, vid)", "dm": "dm(mesh_id, src, vid, d) using key (mesh_id, src, vid)", "grp": "grp(mesh_id, vid, kept) using key (mesh_id, vid)",
+    "comp": "comp(mesh_id, layer, fid, root) using key (mesh_id, layer, fid)", "ds": "ds(mesh_id, vid, d) using key (mesh_id, vid)", "dl": "dl(mesh_id, vid, d) using key (mesh_id, vid)", "du": "du(mesh_id, vid, d) using key (mesh_id, vid)", "dn": "dn(mesh_id, boundary_number, vid, d) using key (mesh_id, boundary_number, vid)"}
 
 
 def sql(text: str) -> str:
@@ -130,6 +161,24 @@ def query(name: str, text: str | None = None) -> Callable[[Callable[[Mesh], Data
     return add
 
 
+#: Levels that pass no vertex of the gentle tubes, whose contours are simple curves: on the rough ones, contours touch at vertices and SQL can't follow the walk there.
+GENTLE = [0.26, 0.47, 0.73]
+
+
+def gentle(name: str, text: str) -> Callable[[Callable[[Mesh], DataFrame]], Callable]:
+    """Like ``query``, over tubes of small amplitude and ``GENTLE`` levels."""
+
+    def add(f: Callable[[Mesh], DataFrame]) -> Callable:
+        said = sql(text)
+        for old, new in (("+ cast(0.3 as double)", "+ cast(0.05 as double)"), ("(0, cast(0.25 as double))", "(0, cast(0.26 as double))"), ("(2, cast(0.75 as double))", "(2, cast(0.73 as double))")):
+            assert old in said, old
+            said = said.replace(old, new)
+        CATALOG[name] = (lambda spark, sf_dir: f(tubes(spark, sf_dir, amp=0.05)), said)
+        return f
+
+    return add
+
+
 query("mesh_vertices", "select mesh_id, vid, x, y, round(z, 6) as z from v")(lambda m: r6(m.vertices, "z"))
 query("mesh_faces", "select mesh_id, fid, a, b, c from f")(lambda m: m.faces)
 query("edge_incidence", "select mesh_id, u, w as v, n_faces from e")(lambda m: topology.edges(m.faces))
@@ -162,7 +211,7 @@ query("iso_segments_planar", "select mesh_id, layer, fid, round(x0, 6) + 0.0 as
     lambda m: r6(contour.segments(m, zr(m), LEVELS).select("mesh_id", "layer", "fid", *(F.col(f"p{i}.{c}").alias(f"{c}{i}") for i in (0, 1) for c in "xyz"), "len"), "x0", "y0", "z0", "x1", "y1", "z1", "len"))
 query("iso_length_by_level", "select mesh_id, layer, level, count(*) as n_segments, round(sum(len), 6) as len_sum, round(sum(g * len), 6) as wgrad_sum from seg join fg using (mesh_id, fid) group by all")(lambda m: r6(contour.level_sums(contour.segments(m, zr(m), LEVELS)), "len_sum", "wgrad_sum"))
 query("layer_numbers", "select mesh_id, layer, level, cast(row_number() over (partition by mesh_id order by level) - 1 as int) as layer_number from (select distinct mesh_id, layer, level from seg)")(
-    lambda m: contour.segments(m, zr(m), LEVELS).select("mesh_id", "layer", "level").distinct().withColumn("layer_number", F.row_number().over(Window.partitionBy("mesh_id").orderBy("level")) - 1))
+    lambda m: contour.slices(_parts(m), 10).select("mesh_id", "layer", "level", "layer_number"))
 query("endpoint_buckets", """select mesh_id, layer, x, y, z, count(*) as n_ends from (select mesh_id, layer, round_even(x0, 6) + 0.0 as x, round_even(y0, 6) + 0.0 as y, round_even(z0, 6) + 0.0 as z from seg
   union all select mesh_id, layer, round_even(x1, 6) + 0.0, round_even(y1, 6) + 0.0, round_even(z1, 6) + 0.0 from seg) group by all""")(lambda m: contour.endpoint_buckets(contour.segments(m, zr(m), LEVELS)).withColumns({c: F.col(c) + F.lit(0.0) for c in "xyz"}))
 query("one_ring", "select mesh_id, vid, count(*) as degree, string_agg(cast(n as varchar), ',' order by n) as ring from ring group by all")(lambda m: critical.one_rings(m.faces).select("mesh_id", "vid", F.size("ring").cast("long").alias("degree"), F.array_join(F.col("ring").cast("array<string>"), ",").alias("ring")))
@@ -170,6 +219,18 @@ query("link_sign_changes", "select mesh_id, vid, changes, critical_type from cri
 query("critical_planar", "select mesh_id, critical_type, count(*) as n from crit group by all")(lambda m: critical.link_sign_changes(m.faces, zr(m)).groupBy("mesh_id", "critical_type").agg(F.count("*").alias("n")))
 query("critical_planar_all")(lambda m: critical.critical_points(m, zr(m)).groupBy("mesh_id", "critical_type").agg(F.count("*").alias("n")))
 query("critical_points")(lambda m: r6(critical.critical_points(m, zr(m)), "confidence"))
+query("critical_points_untied", "select mesh_id, vid, changes, critical_type from crit")(
+    lambda m: critical.critical_points(m, zr(m), 1e-12, adaptive=False).join(critical.link_sign_changes(m.faces, zr(m)).select("mesh_id", "vid"), ["mesh_id", "vid"], "left_semi").select("mesh_id", "vid", "changes", "critical_type"))
+query("annotated_untied", """select mesh_id, vid, cast(case critical_type when 'minimum' then 0 when 'saddle' then 1 when 'maximum' then 2 else -1 end as int) as morse_index, critical_type from crit""")(
+    lambda m: critical.annotated(critical.link_sign_changes(m.faces, zr(m)).withColumn("confidence", F.lit(1.0))).drop("critical_confidence"))
+query("persistent_untied", """select mesh_id, vid, case when gap < cast(0.01 as double) then 'regular' else critical_type end as critical_type from crit left join (select mesh_id, vid,
+  least(coalesce(r - lag(r) over w, cast('inf' as double)), coalesce(lead(r) over w - r, cast('inf' as double))) as gap from crit join r using (mesh_id, vid) where critical_type <> 'regular' window w as (partition by mesh_id order by r, vid)) using (mesh_id, vid)""")(
+    lambda m: critical.persistent(critical.link_sign_changes(m.faces, zr(m)).withColumn("confidence", F.lit(1.0)), zr(m), 0.01).select("mesh_id", "vid", "critical_type"))
+query("morse_check_untied", """select mesh_id, cast(mi as bigint) as n_minimum, cast(sa as bigint) as n_saddle, cast(ma as bigint) as n_maximum, chi, ma - sa + mi as morse, abs(ma - sa + mi - chi) <= 2 as valid from
+  (select mesh_id, count(*) filter (critical_type = 'minimum') as mi, count(*) filter (critical_type = 'saddle') as sa, count(*) filter (critical_type = 'maximum') as ma from crit group by all)
+  join (select mesh_id, n_vertices - n_edges + n_faces as chi from (select mesh_id, count(*) as n_vertices from v group by all)
+  join (select mesh_id, count(*) as n_edges from e group by all) using (mesh_id) join (select mesh_id, count(*) as n_faces from f group by all) using (mesh_id)) using (mesh_id)""")(
+    lambda m: critical.morse_check(critical.link_sign_changes(m.faces, zr(m)), topology.euler(m)))
 query("morse_check")(lambda m: critical.morse_check(critical.critical_points(m, zr(m)), topology.euler(m)))
 query("adaptive_eps", """select mesh_id, vid, round(greatest(1e-12, least(cast(0.1 as double) * gaps[1 + cast(floor(cast(0.1 as double) * (len(gaps) - 1)) as int)], cast(0.01 as double) * (hi - lo))), 9) as eps from
   (select p.mesh_id, p.vid, list(abs(p.r - q.r) order by abs(p.r - q.r)) as gaps, greatest(max(p.r), max(q.r)) as hi, least(min(p.r), min(q.r)) as lo from rv p join rv q on p.mesh_id = q.mesh_id and p.vid = q.vid and p.n < q.n group by all)""")(
@@ -194,7 +255,7 @@ query("nearest_boundary", """select mesh_id, vid, cast(arg_min(boundary_number,
     lambda m: r6(geodesic.nearest_loop(m.vertices, _arcs(m), topology.side_vertices(m)), "dist_to_lower", "dist_to_upper"))
 query("between_field", "select mesh_id, vid, round(dl.d / (dl.d + du.d + 2.220446049250313e-16), 6) as value from dl join du using (mesh_id, vid)")(
     lambda m: r6(geodesic.between(*(geodesic.to_side(m.vertices, _arcs(m), topology.side_vertices(m, s)) for s in ("lower", "upper"))), "value"))
-query("geodesic_to_vertex")(lambda m: r6(geodesic.distances(m.vertices, _arcs(m), m.vertices.where("vid in (0, 105)").select("mesh_id", F.lit(0).alias("source"), "vid")), "d"))
+query("geodesic_to_vertex", "select mesh_id, cast(0 as int) as source, vid, round(d, 6) as d from dv")(lambda m: r6(geodesic.distances(m.vertices, _arcs(m), m.vertices.where("vid in (0, 105)").select("mesh_id", F.lit(0).alias("source"), "vid")), "d"))
 
 
 def _untied_saddles(m: Mesh) -> DataFrame:
@@ -206,8 +267,7 @@ def _saddles(m: Mesh) -> DataFrame:
 
 
 def _radius(m: Mesh, saddles: DataFrame) -> DataFrame:
-    lo, up = (geodesic.to_side(m.vertices, _arcs(m), topology.side_vertices(m, s)).withColumnRenamed("value", n) for s, n in (("lower", "lo"), ("upper", "up")))
-    return saddles.join(lo, ["mesh_id", "vid"]).join(up, ["mesh_id", "vid"]).select("mesh_id", "vid", F.least("lo", "up").alias("radius"))
+    return critical.saddle_radii(m, topology.side_vertices(m), saddles.select("mesh_id", "vid"))
 
 
 #: Queries with SQL take the saddles that SQL can tell, at vertices without near-equal neighbours; those named _all take all saddles.
@@ -227,8 +287,12 @@ def _nearest(m: Mesh, of: DataFrame) -> DataFrame:
     return geodesic.nearest_nodes(m.vertices, of.select("mesh_id", F.col("vid").alias("pid"), (F.col("x") + 0.3).alias("x"), (F.col("y") - 0.2).alias("y"), (F.col("z") + 0.1).alias("z")))
 
 
-query("collection_length", "select mesh_id, count(distinct layer) as n_levels, round(sum(len), 6) as total_length from seg group by all")(lambda m: r6(contour.segments(m, zr(m), LEVELS).groupBy("mesh_id").agg(F.countDistinct("layer").alias("n_levels"), F.sum("len").alias("total_length")), "total_length"))
+query("collection_length", "select mesh_id, count(distinct layer) as n_levels, round(sum(len), 6) as total_length from seg group by all")(lambda m: r6(contour.collection_length(contour.segments(m, zr(m), LEVELS)), "total_length"))
 query("saddle_clusters")(lambda m: critical.saddle_clusters(m, critical.critical_points(m, zr(m)).where("critical_type = 'saddle'").select("mesh_id", "vid", F.col("confidence").alias("score")), 1.8))
+query("saddle_clusters_untied", "select mesh_id, vid, kept from grp")(lambda m: critical.saddle_clusters(m, _untied_saddles(m).select("mesh_id", "vid", F.lit(0.0).alias("score")), 1.8))
+query("conforming_field_untied", "select mesh_id, vid, round(up / (up + lo + 1e-9), 6) as value from least_")(
+    lambda m: r6(critical.conforming_field(m, topology.side_vertices(m), _untied_saddles(m).select("mesh_id", "vid")), "value"))
+query("multi_scale_saddles")(lambda m: critical.multi_scale_saddles(m, fields.coordinate(m), 3, 0.6, 1))
 query("conforming_field")(lambda m: r6(METHODS["conformal"](Engine(m)), "value"))
 query("nearest_vertex_to_centroid", """select mesh_id, boundary_number, vid, round(sqrt(d2), 6) as distance from (select meta.mesh_id, boundary_number, vid, d2, row_number() over (partition by meta.mesh_id, boundary_number order by round(d2, 9), vid) as k from
   (select meta.mesh_id, boundary_number, v.vid, (x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz) as d2 from meta join v on v.mesh_id = meta.mesh_id) meta) where k = 1""")(
@@ -236,10 +300,8 @@ query("nearest_vertex_to_centroid", """select mesh_id, boundary_number, vid, rou
 
 
 def _near_centroid(m: Mesh) -> DataFrame:
-    meta = topology.loop_metadata(m, topology.boundary_loops(m))
-    d2 = sum((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "xyz")
-    best = meta.join(m.vertices, "mesh_id").groupBy("mesh_id", "boundary_number").agg(F.min(F.struct(F.round(d2, 9).alias("k"), "vid", d2.alias("d2"))).alias("b"))
-    return best.select("mesh_id", "boundary_number", "b.vid", F.sqrt("b.d2").alias("distance"))
+    meta = topology.loop_metadata(m, topology.boundary_loops(m)).withColumnsRenamed({f"c{c}": f"m{c}" for c in "xyz"})
+    return export.nearest_vertex(meta, m, ["mesh_id", "boundary_number"])
 
 
 def _saddle_points(m: Mesh, saddles: DataFrame) -> DataFrame:
@@ -253,10 +315,9 @@ query("saddle_histogram_all")(lambda m: r6(_histogram(m, _saddles(m)), "mean_dis
 
 
 def _histogram(m: Mesh, saddles: DataFrame) -> DataFrame:
-    j = contour.segments(m, zr(m), LEVELS).select("mesh_id", "layer", "fid", "p0").join(_saddle_points(m, saddles), "mesh_id")
-    d2 = sum((F.col(f"p0.{c}") - F.col(c)) * (F.col(f"p0.{c}") - F.col(c)) for c in "xyz")
-    near = j.groupBy("mesh_id", "layer", "fid").agg(F.min(F.struct(F.round(d2, 9).alias("k"), "vid", d2.alias("d2"))).alias("b"))
-    return near.groupBy("mesh_id", "layer", "b.vid").agg(F.count("*").alias("n"), F.avg(F.sqrt("b.d2")).alias("mean_distance"))
+    """Each layer's first ends as the points of one component."""
+    starts = contour.segments(m, zr(m), LEVELS).groupBy("mesh_id", "layer").agg(F.collect_list("p0").alias("points")).withColumn("component_id", F.lit(0))
+    return export.nearest_saddles(starts, _saddle_points(m, saddles)).select("mesh_id", "layer", "vid", "n", "mean_distance")
 
 
 query("arc_length_cumulative", """select mesh_id, boundary_number, vid, round(sum(step) over (partition by mesh_id, boundary_number order by vid), 6) as along from (select mesh_id, boundary_number, vid,
@@ -279,23 +340,55 @@ def _parts(m: Mesh, levels: list[float] | None = None) -> DataFrame:
 
 
 query("segment_components")(lambda m: _parts(m).select("mesh_id", "layer", "component_id", "is_closed", F.size("points").alias("n_points"), F.round("curve_length", 6).alias("curve_length")))
-query("slice_summary")(lambda m: contour.summary(contour.slices(_parts(m), 50)))
+gentle("segment_components_gentle", "select mesh_id, layer, n + 1 as n_points, closed = 1 as is_closed, round(len, 6) as curve_length from part_ join (select mesh_id, layer, root, min(cast(k = 2 as int)) as closed from (select mesh_id, layer, root, x, y, z, count(*) as k from ends join comp using (mesh_id, layer, fid) group by all) group by all) using (mesh_id, layer, root)")(
+    lambda m: r6(_parts(m, GENTLE).select("mesh_id", "layer", F.size("points").cast("long").alias("n_points"), "is_closed", "curve_length"), "curve_length"))
+gentle("slice_summary", """select mesh_id, count(*) as total_slices, count(*) filter (component_count > 1) as bifurcation_slices, cast(max(component_count) as int) as max_components,
+  array_to_string(list(cast(round(level, 2) as varchar) order by level) filter (component_count > 1), ',') as bifurcation_levels from slice_ group by all""")(
+    lambda m: contour.summary(contour.slices(_parts(m, GENTLE), 50)).withColumn("bifurcation_levels", F.nullif(F.array_join(F.transform("bifurcation_levels", lambda x: x.cast("string")), ","), F.lit(""))))
+gentle("slice_totals_gentle", "select mesh_id, cast(row_number() over (partition by mesh_id order by level) - 1 as int) as layer_number, cast(component_count as int) as component_count, round(total_length, 6) as total_length from slice_")(
+    lambda m: r6(contour.slices(_parts(m, GENTLE), 50).select("mesh_id", "layer_number", "component_count", "total_length"), "total_length"))
 query("resampled_curves")(lambda m: contour.slices(_parts(m), 50).select("mesh_id", "layer_number", "component_count", F.round("total_length", 6).alias("total_length"), F.size("curve").alias("n_points"), F.round(contour.polyline_length("curve"), 6).alias("length")))
 query("adaptive_levels")(lambda m: contour.adaptive_levels(m, zr(m), HEIGHT).select("mesh_id", F.posexplode("levels").alias("layer", "level")))
-query("slices_json")(lambda m: _documents(m).select("mesh_id", F.get_json_object("document", "$.meta.slice_count").alias("slices"), (F.length("document") > 0).alias("written")))
+SLICE = "struct<meta:struct<slice_count:bigint,mesh:struct<vertex_count:bigint,face_count:bigint>>,slices:array<struct<layer_number:int,component_count:int,total_length:double,components:array<struct<length:double>>>>>"
+gentle("slices_json", """select mesh_id, count(*) over (partition by mesh_id) as slice_count, n_vertices, n_faces, cast(row_number() over (partition by mesh_id order by level) - 1 as int) as layer_number,
+  cast(component_count as int) as component_count, round(total_length, 6) as total_length, round(longest, 6) as longest from slice_
+  join (select mesh_id, layer, max(len) as longest from part_ group by all) using (mesh_id, layer)
+  join (select mesh_id, count(*) as n_vertices from v group by all) using (mesh_id) join (select mesh_id, count(*) as n_faces from f group by all) using (mesh_id)""")(
+    lambda m: r6(
+        _documents(m).select("mesh_id", F.from_json("document", SLICE).alias("d"))
+        .select("mesh_id", F.col("d.meta.slice_count").alias("slice_count"), F.col("d.meta.mesh.vertex_count").alias("n_vertices"), F.col("d.meta.mesh.face_count").alias("n_faces"), F.explode("d.slices").alias("s"))
+        .select("mesh_id", "slice_count", "n_vertices", "n_faces", "s.layer_number", "s.component_count", "s.total_length", F.array_max("s.components.length").alias("longest")), "total_length", "longest"))
 
 
 def _documents(m: Mesh) -> DataFrame:
     sides = topology.side_vertices(m).select("mesh_id", "vid", "boundary_side", "boundary_number")
-    return export.slice_documents(contour.slices(_parts(m), 50), _parts(m), export.component_topology(_parts(m), m, sides, _saddle_points(m, _saddles(m))))
-
-
-query("field_json")(lambda m: export.field_documents(m, fields.coordinate(m)))
+    saddles, parts = _saddle_points(m, _saddles(m)), written(_parts(m, GENTLE), "parts")
+    return export.slice_documents(contour.slices(parts, 50), parts, export.component_topology(parts, m, sides, saddles), saddles, m)
+
+
+FIELD = "struct<meta:struct<vertex_count:bigint,face_count:bigint,field_statistics:struct<min:double,max:double,mean:double,std:double,`range`:double>,bounding_box:struct<min:array<double>,max:array<double>>>,scalar_field:array<double>,faces:array<array<int>>>"
+query("field_json", """select mesh_id, count(*) as n_vertices, any_value(n_faces) as n_faces, round(min(z), 6) as min, round(max(z), 6) as max, round(avg(z), 6) as mean, round(stddev_pop(z), 6) as std, round(max(z) - min(z), 6) as "range",
+  max(x) as max_x, count(*) as n_values, round(sum(z * (vid + 1)), 6) as weighted, any_value(corner_sum) as corner_sum from v join (select mesh_id, count(*) as n_faces, cast(sum(a + 2 * b + 3 * c) as bigint) as corner_sum from f group by all) using (mesh_id) group by mesh_id""")(
+    lambda m: r6(
+        export.field_documents(m, fields.coordinate(m)).select("mesh_id", F.from_json("document", FIELD).alias("d"))
+        .select("mesh_id", F.col("d.meta.vertex_count").alias("n_vertices"), F.col("d.meta.face_count").alias("n_faces"), "d.meta.field_statistics.*", F.get("d.meta.bounding_box.max", F.lit(0)).alias("max_x"), F.size("d.scalar_field").cast("long").alias("n_values"),
+            F.aggregate(F.transform("d.scalar_field", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x).alias("weighted"),
+            F.aggregate(F.transform("d.faces", lambda t: t[0] + 2 * t[1] + 3 * t[2]), F.lit(0).cast("long"), lambda s, x: s + x).alias("corner_sum")), "min", "max", "mean", "std", "range", "weighted"))
+query("graphml_edges", """select el.mesh_id, '<edge source="' || el.u || '" target="' || el.w || '"><data key="edge_n_faces">' || n_faces || '</data><data key="edge_edge_type">' ||
+  case when n_faces = 1 and p.boundary_number = q.boundary_number then 'boundary' else 'interior' end || '</data></edge>' as line from el
+  left join sv p on p.mesh_id = el.mesh_id and p.vid = el.u left join sv q on q.mesh_id = el.mesh_id and q.vid = el.w""")(
+    lambda m: export.graphml_lines(m.vertices, topology.labelled_edges(m).select("mesh_id", "u", "v", "n_faces", "edge_type")).where("kind = 1").select("mesh_id", "line"))
 query("graphml")(lambda m: export.graphml_lines(m.vertices, topology.labelled_edges(m).drop("n_faces")))
 query("edge_traces", """select el.mesh_id, el.u, el.w as v, case when n_faces = 1 and p.boundary_number = q.boundary_number then p.boundary_side else 'internal' end as trace
   from el left join sv p on p.mesh_id = el.mesh_id and p.vid = el.u left join sv q on q.mesh_id = el.mesh_id and q.vid = el.w""")(lambda m: vizprep.edge_traces(m, topology.labelled_edges(m)).select("mesh_id", "u", "v", "trace"))
 query("node_colors", """select v.mesh_id, v.vid, cast(case boundary_side when 'lower' then 0 when 'upper' then 1 else 0.5 end as double) as color from v left join sv on sv.mesh_id = v.mesh_id and sv.vid = v.vid""")(lambda m: vizprep.node_colors(m, topology.side_vertices(m)).select("mesh_id", "vid", "color"))
-query("colored_vertices")(lambda m: vizprep.colored(fields.coordinate(m)))
+_t = "case when hi - lo <= 1e-8 + 1e-5 * abs(hi) then cast(0 as double) else (z - lo) / (hi - lo) end as t"
+_hue = ", ".join(f"cast(floor(least(greatest({reduce(lambda s, c: f'({s}) * t + cast({c} as double)', reversed(k), 'cast(0 as double)')}, 0), 1) * 255) as int) as {n}" for k, n in zip(vizprep.TURBO, ("red", "green", "blue"), strict=True))
+query("colored_vertices", f"select mesh_id, vid, {_hue}, cast(255 as int) as alpha from (select mesh_id, vid, {_t} from v join zr using (mesh_id)) t")(lambda m: vizprep.colored(fields.coordinate(m)))
+for _side, _block in (("lower", "dl"), ("upper", "du")):
+    query(f"{_side}_view", f"select mesh_id, vid, x, y, round(z, 6) as z, round(d, 6) as value from v join {_block} using (mesh_id, vid)")(lambda m, s=_side: r6(vizprep.side_view(m, _arcs(m), topology.side_vertices(m), s), "z", "value"))
+query("saddles_view_untied", "select mesh_id, vid, x, y, round(z, 6) as z, round(d, 6) as value from v join ds using (mesh_id, vid)")(lambda m: r6(vizprep.saddles_view(m, _arcs(m), critical.link_sign_changes(m.faces, zr(m))), "z", "value"))
+query("scaled_field", "select mesh_id, vid, round(case when hi - lo < 1e-12 then 0 else (z - lo) / (hi - lo) end, 6) as value from v join zr using (mesh_id)")(lambda m: r6(vizprep.scaled_field(fields.coordinate(m)), "value"))
 query("slice_lines")(lambda m: vizprep.slice_lines(_parts(m), contour.slices(_parts(m), 50)))
 for _name in sorted(METHODS):
     query(f"method_{_name}")(lambda m, k=_name: Engine(m, {"iso_slices": {"samples": 50}}).run(k, HEIGHT * 10).slices.select("mesh_id", "layer_number", F.round("level", 6).alias("level"), "component_count", F.round("total_length", 6).alias("total_length")))

@@ -7,11 +7,12 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow.fs import FileSystem
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from talweg.functions.session import ship
+from talweg.functions.session import ship, written
 from talweg.sources.tubes import Mesh
 
 
@@ -103,21 +104,32 @@ def parse(path: str, data: bytes) -> tuple[list, list]:
     return v, f
 
 
-def _rows(batches, part: str):
+def _rows(batches):
+    """Vertices and faces of each file, read once: place, and what a vertex or a face has."""
     for pdf in batches:
         for mesh_id, path, data in zip(pdf["mesh_id"], pdf["path"], pdf["content"], strict=True):
-            rows = parse(path, bytes(data))[part == "faces"]
-            yield pd.DataFrame([(mesh_id, i, *r) for i, r in enumerate(rows)], columns=["mesh_id", "vid", "x", "y", "z"] if part == "vertices" else ["mesh_id", "fid", "a", "b", "c"])
+            v, f = parse(path, bytes(data))
+            for face, rows, cols in ((False, v, ["x", "y", "z"]), (True, f, ["a", "b", "c"])):
+                out = pd.DataFrame(rows, columns=cols).rename_axis("place").reset_index().assign(mesh_id=mesh_id, face=face)
+                yield out.reindex(columns=["mesh_id", "face", "place", "x", "y", "z", "a", "b", "c"]).astype({c: "Int64" for c in "abc"})
 
 
-def load_meshes(spark: SparkSession, path: str) -> Mesh:
-    """All mesh files of a path or glob, one mesh each, numbered by order of path; vertex order is kept."""
+def mesh_names(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``mesh_id, path`` of the files that ``load_meshes`` reads, numbered by order of path. Only paths are sorted."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.select((F.row_number().over(Window.orderBy("path")) - 1).alias("mesh_id"), "path")
+
+
+def load_meshes(spark: SparkSession, path: str | list[str]) -> Mesh:
+    """All mesh files of paths or a glob, one mesh each, numbered by order of path; vertex order is kept.
+
+    Files come through Spark's reader, so any store works. Each is parsed once, into a written table of both parts.
+    """
     ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    names = sorted(r["path"] for r in files.select("path").collect())
-    ids = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "path string, mesh_id int")
-    files = files.join(ids, "path").select("mesh_id", "path", "content")
-    return Mesh(files.mapInPandas(lambda b: _rows(b, "vertices"), "mesh_id int, vid int, x double, y double, z double"), files.mapInPandas(lambda b: _rows(b, "faces"), "mesh_id int, fid int, a int, b int, c int"))
+    files = files.join(mesh_names(spark, path), "path").select("mesh_id", "path", "content")
+    rows = written(files.mapInPandas(_rows, "mesh_id int, face boolean, place int, x double, y double, z double, a int, b int, c int"), "meshes")
+    return Mesh(rows.where("not face").select("mesh_id", F.col("place").alias("vid"), "x", "y", "z"), rows.where("face").select("mesh_id", F.col("place").alias("fid"), "a", "b", "c"))
 
 
 class MeshSource(DataSource):
@@ -142,7 +154,8 @@ class MeshReader(DataSourceReader):
         return [InputPartition(self.path)]
 
     def read(self, partition: InputPartition):
-        with open(partition.value.removeprefix("file://"), "rb") as f:
+        store, path = FileSystem.from_uri(partition.value)  # a path or the address of any store that Arrow knows
+        with store.open_input_stream(path) as f:
             rows = parse(partition.value, f.read())[self.faces]
         yield from ((i, *r) for i, r in enumerate(rows))
 

@@ -247,3 +247,93 @@ def test_config(tmp_path):
     (tmp_path / "c.yaml").write_text("iso_slices: {samples: 7}")
     assert cfg.defaults(cfg.yaml_overrides(str(tmp_path / "c.yaml")))["iso_slices"]["samples"] == 7
     assert cfg.DEFAULTS["iso_slices"]["samples"] == 1800
+    (tmp_path / "v.yaml").write_text("global: {auto_open: false}\niso_slices: {line_width: 1}")
+    got = cfg.view_section("iso_slices", str(tmp_path / "v.yaml"))
+    assert got["line_width"] == 1 and got["auto_open"] is False and got["save_html"] is False and cfg.VIEWS["iso_slices"]["line_width"] == 2.5
+    (tmp_path / "list.yaml").write_text("[1, 2]")
+    assert cfg.yaml_overrides(str(tmp_path / "list.yaml")) == {}
+
+
+def smoothed_by_hand(m, value, times):
+    faces = [(r["a"], r["b"], r["c"]) for r in m.faces.collect()]
+    near, seen = {}, Counter()
+    for t in faces:
+        for a, b in ((0, 1), (1, 2), (2, 0)):
+            near.setdefault(t[a], set()).add(t[b])
+            near.setdefault(t[b], set()).add(t[a])
+            seen[frozenset((t[a], t[b]))] += 1
+    fixed = {v for e, n in seen.items() if n == 1 for v in e}
+    for _ in range(times):
+        value = {v: x if v in fixed or v not in near else 0.5 * x + 0.5 * np.mean([value[u] for u in near[v]]) for v, x in value.items()}
+    return value, near, fixed
+
+
+def test_options_of_saddles(spark):
+    """Smoothing, persistence, strategies, several scales and radii, each against the steps done by hand."""
+    m = tubes(spark, SF)
+    raw = {r["vid"]: r["value"] for r in fields.coordinate(m).collect()}
+    lo, hi = min(raw.values()), max(raw.values())
+    unit = {v: (x - lo) / (hi - lo) for v, x in raw.items()}
+    runs = []
+    for k in range(3):
+        value, _, _ = smoothed_by_hand(m, unit, k + 1)
+        r = spark.createDataFrame([(0, v, float(x)) for v, x in value.items()], "mesh_id int, vid int, r double")
+        found = {x["vid"]: x["critical_type"] for x in critical.critical_points(m, r).collect()}
+        kinds = [v for v, t in found.items() if t != "regular"]
+        gap = {v: min((abs(value[v] - value[u]) for u in kinds if u != v), default=math.inf) for v in kinds}
+        runs.append({v for v in kinds if found[v] == "saddle" and gap[v] >= 0.01 * k})
+        if k == 1:
+            got = critical.detect(m, fields.coordinate(m), smooth=k + 1, persistence=0.01 * k).where("critical_type = 'saddle'")
+            assert {x["vid"] for x in got.collect()} == runs[k]
+    votes = Counter(v for run in runs for v in run)
+    one = Engine(m, {"critical_points": {"multi_scale": True, "smooth_field": True, "smooth_iterations": 1, "clip_saddles_geodesic_threshold": 0, "min_consensus": 0.6}})
+    assert {x["vid"] for x in one.saddles().collect()} == {v for v, n in votes.items() if n >= 2}
+
+
+def test_strategies_and_radii(spark):
+    m = tubes(spark, SF)
+    r = fields.normalized(fields.coordinate(m))
+    all_ = critical.critical_points(m, r)
+    salient = {x["vid"]: x["saliency"] for x in critical.saliency(m.faces, r).collect()}
+    by = {k: {x["vid"]: x["score"] for x in critical.scored(m, all_, r, k).collect()} for k in ("confidence", "saliency", "none")}
+    assert set(by["none"].values()) == {0.0} and all(by["saliency"][v] == salient[v] for v in by["saliency"])
+    for k in by:
+        kept = {x["kept"] for x in critical.saddle_clusters(m, critical.scored(m, all_, r, k), 1.5, True).collect()}
+        got = critical.detect(m, fields.coordinate(m), clip=1.5, clip_by_edge=True, strategy=k).where("critical_type = 'saddle'")
+        assert {x["vid"] for x in got.collect()} == kept
+    saddles = spark.createDataFrame([(0, 50), (0, 90)], "mesh_id int, vid int")
+    assert [x["radius"] for x in critical.given_radii(saddles, [1.0, 2.0]).orderBy("vid").collect()] == [1.0, 2.0]
+    with pytest.raises(Exception, match="radii are given"):
+        critical.given_radii(saddles, [1.0]).collect()
+    index = {"minimum": 0, "saddle": 1, "maximum": 2, "regular": -1}
+    assert all(x["morse_index"] == index[x["critical_type"]] for x in critical.annotated(all_).collect())
+
+
+def test_default_run_and_views(spark, tmp_path):
+    import json
+    from xml.etree import ElementTree
+
+    from talweg.plans.methods import export_name, run_default
+
+    m = tubes(spark, SF, amp=0.05)
+    _, summary, files = run_default(m, {"general": {"slicing_method": "planar_z"}, "iso_slices": {"samples": 20, "layer_height": 2}, "exports": {"export_directory": str(tmp_path)}}, {0: "tube"})
+    assert files == [str(tmp_path / export_name("tube", 2, "planar_z"))] == [str(tmp_path / "tube_lh2_planar_z.json")]
+    doc = json.loads((tmp_path / "tube_lh2_planar_z.json").read_text())
+    assert doc["meta"]["slice_count"] == summary.first()["total_slices"] and doc["meta"]["mesh"] == {"vertex_count": 200, "face_count": 352}
+    (tmp_path / "file").write_text("")
+    _, _, files = run_default(m, {"general": {"slicing_method": "planar_z"}, "iso_slices": {"samples": 20, "layer_height": 2}, "exports": {"export_directory": str(tmp_path / "file")}})
+    assert len(files) == 1 and files[0].startswith("not written")
+    export.save_graphml(export.graphml_lines(Engine(m).nodes(), topology.labelled_edges(m)), 0, str(tmp_path / "g.xml"))
+    root = ElementTree.parse(tmp_path / "g.xml").getroot()
+    ns = "{http://graphml.graphdrawing.org/xmlns}"
+    assert {k.get("attr.name") for k in root.findall(f"{ns}key")} >= {"morse_index", "critical_type", "boundary_side", "weight"}
+    assert len(root.find(f"{ns}graph").findall(f"{ns}node")) == 200
+    field = json.loads(export.field_documents(m, fields.coordinate(m)).first()["document"])
+    assert field["meta"]["vertex_count"] == 200 and field["meta"]["face_count"] == 352 and set(field) == {"meta", "vertices", "scalar_field", "faces"}
+    arcs = topology.both_ways(topology.weighted_edges(m))
+    assert vizprep.side_view(m, arcs, topology.side_vertices(m), "lower").where("value = 0").count() == topology.side_vertices(m, "lower").count()
+    with pytest.raises(RuntimeError, match="sides"):
+        vizprep.side_view(m, arcs, topology.side_vertices(m).limit(0), "lower")
+    with pytest.raises(RuntimeError, match="saddle"):
+        vizprep.saddles_view(m, arcs, critical.critical_points(m, fields.normalized(fields.coordinate(m))).where("false"))
+    assert [r["value"] for r in vizprep.bounded(spark.createDataFrame([(1.0,), (5.0,), (None,)], "value double"), 2, 4).collect()][:2] == [2.0, 4.0]
