@@ -16,17 +16,18 @@ from pyspark.sql import functions as F
 
 #: Byte values that separate words: space and the controls from tab to carriage return.
 BLANKS = b" \t\n\x0b\x0c\r"
-#: Bytes of an Arrow batch: Spark's own bound of 64 MB is much for a worker that holds several forms of each text.
-BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+#: Rows and bytes of an Arrow batch: Spark's own bounds of 10,000 and 64 MB are much for a worker that makes several rows or forms of each.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304")}
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, if they share that folder; bound the bytes of the session's Arrow batches."""
+    """Let Python workers import this package from where the driver has it, if they share that folder; bound the session's Arrow batches."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{root}:{env.get('PYTHONPATH', '')}".rstrip(":")
-    if spark.conf.get(BATCH) == "67108864b":  # the default: a session's own choice stands
-        spark.conf.set(BATCH, str(BATCH_BYTES))
+    for name, (default, ours) in BATCH.items():
+        if spark.conf.get(name) == default:  # a session's own choice stands
+            spark.conf.set(name, ours)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
