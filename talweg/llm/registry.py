@@ -22,6 +22,7 @@ MODULES = {
 }
 #: Query name -> module and name of its SQL.
 ORACLE = {
+    "op5_suffix_array_dedup": ("suffixdup", "OP5_SQL"),
     "op8_ngram_jaccard_join": ("neardup", "OP8_SQL"),
     "op9_topk_search": ("search", "OP9_SQL"),
     "op10_url_filter": ("urlfilter", "OP10_SQL"),

@@ -412,3 +412,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **si
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+OP5_SQL = """
+with t as (select row_number() over () as d, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+c as (select d, j, substr(h, 2 * j + 1, 910) as c from (select d, h, unnest(range(0, strlen(h) // 2, 256)) as j from t)),
+g as (select d, j + o as i, md5_number(substr(c, 2 * o + 1, 400)) as g from (select d, j, c, unnest(range(0, greatest(strlen(c) // 2 - 199, 0))) as o from c)),
+again as (select g from g group by g having count(*) > 1),
+s as (select d, i, case when i - lag(i) over (partition by d order by i) <= 200 then 0 else 1 end as starts from g semi join again using (g)),
+n as (select d, i, sum(starts) over (partition by d order by i) as k from s),
+r as (select d, min(i) as s, max(i) + 200 as e from n group by d, k),
+b as (select d, s, e, coalesce(lag(e) over (partition by d order by s), 0) as before from r),
+p as (
+  select d, count(*) as n_spans, sum(e - s) as n_removed, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' order by s) || substr(any_value(h), 2 * max(e) + 1) as kept
+  from b join t using (d) group by d)
+select doc_id, cast(strlen(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+from t left join p using (d)
+"""

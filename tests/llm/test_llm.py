@@ -269,6 +269,14 @@ def test_repeats(spark, sizes):
     assert cut.where("n_chars <> length(text)").count() == 0 and cut.where("text is null").count() == 1
 
 
+def test_repeats_equal_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = sorted(tuple(str(r[c]) for c in cols) for r in suffixdup.op5_suffix_array_dedup(spark, SF).collect())
+    assert got == sorted(tuple(map(str, r)) for r in con.sql(f"select {', '.join(cols)} from ({suffixdup.OP5_SQL})").fetchall())
+
+
 def test_suffix_buckets():
     rnd = random.Random(1)
     for _ in range(20):
