@@ -329,6 +329,7 @@ def consensus(runs: list[DataFrame], share: float = 0.6) -> DataFrame:
 
 def _conform(arcs: pd.DataFrame, marks: pd.DataFrame, n: float, eps: float) -> pd.DataFrame:
     g = Graph(arcs.loc[arcs["u"] >= 0], int(arcs["n"].iloc[0]))
+    marks = marks.sort_values("vid")
     ids = {k: marks.loc[marks["role"] == k, "vid"].tolist() for k in ("lower", "upper", "saddle")}
     if not ids["lower"] or not ids["upper"]:
         raise RuntimeError("both a lower and an upper side are needed")
@@ -361,4 +362,4 @@ def conforming_field(mesh: Mesh, sided: DataFrame, saddles: DataFrame, n: float
     radius = F.col("radius").cast("double")
     marks = sided.select("mesh_id", "vid", F.col("boundary_side").alias("role"), F.lit(None).cast("double").alias("radius")).unionByName(saddles.select("mesh_id", "vid", F.lit("saddle").alias("role"), radius.alias("radius")))
     arcs = mesh_arcs(mesh.vertices, both_ways(weighted_edges(mesh)))
-    return arcs.groupBy("mesh_id").cogroup(marks.orderBy("mesh_id", "vid").groupBy("mesh_id")).applyInPandas(partial(_conform, n=n, eps=eps), "mesh_id int, vid int, value double")
+    return arcs.groupBy("mesh_id").cogroup(marks.groupBy("mesh_id")).applyInPandas(partial(_conform, n=n, eps=eps), "mesh_id int, vid int, value double")

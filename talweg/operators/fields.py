@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talweg.sources.tubes import Mesh
@@ -15,7 +15,8 @@ def axis_distance(mesh: Mesh, axis: str) -> DataFrame:
     """Coordinate above the mesh's least along one axis."""
     if axis not in ("x", "y", "z"):
         raise ValueError("axis must be x, y or z")
-    return mesh.vertices.select("mesh_id", "vid", (F.col(axis) - F.min(axis).over(Window.partitionBy("mesh_id"))).alias("value"))
+    least = mesh.vertices.groupBy("mesh_id").agg(F.min(axis).alias("least"))
+    return mesh.vertices.select("mesh_id", "vid", axis).join(least, "mesh_id").select("mesh_id", "vid", (F.col(axis) - F.col("least")).alias("value"))
 
 
 def coordinate(mesh: Mesh, axis: str = "z") -> DataFrame:
@@ -25,15 +26,16 @@ def coordinate(mesh: Mesh, axis: str = "z") -> DataFrame:
 def normalized(field: DataFrame) -> DataFrame:
     """``mesh_id, vid, r``: values scaled to [0, 1] per mesh; NaN is ignored in the range and stays NaN; no range: 0.
 
-    Meshes whose range isn't finite are an error, raised when the rows are read.
+    Meshes whose range isn't finite are an error, raised when the rows are read. The range is aggregated
+    before it meets the rows, so one huge mesh stays spread; ``field`` is planned twice, so write a costly one first.
     """
-    v, w = F.col("value"), Window.partitionBy("mesh_id")
+    v, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
     real = F.when(~F.isnan(v), v)
-    lo, hi = F.min(real).over(w), F.max(real).over(w)
+    ranges = field.groupBy("mesh_id").agg(F.min(real).alias("lo"), F.max(real).alias("hi"))
     bad = lo.isNull() | (F.abs(lo) == float("inf")) | (F.abs(hi) == float("inf"))
     scaled = F.when(F.isnan(v), v).otherwise(F.least(F.greatest((v - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0)))
     r = F.when(bad, F.raise_error(F.lit("field has no finite range")).cast("double")).when(hi - lo <= 0, 0.0).otherwise(scaled)
-    return field.select("mesh_id", "vid", r.alias("r"))
+    return field.select("mesh_id", "vid", "value").join(ranges, "mesh_id").select("mesh_id", "vid", r.alias("r"))
 
 
 def field_stats(field: DataFrame) -> DataFrame:

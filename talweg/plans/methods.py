@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talweg.functions import config as cfg
+from talweg.functions.session import written
 from talweg.operators import contour, critical, export, fields, geodesic, topology
 from talweg.sources.tubes import Mesh
 
@@ -29,7 +30,7 @@ def method(name: str) -> Callable[[Field], Field]:
 
 @dataclass
 class Result:
-    """Lazy tables of one run, and what was asked for."""
+    """Tables of one run (field and components are written, the others lazy), and what was asked for."""
 
     field: DataFrame
     levels: DataFrame
@@ -90,7 +91,7 @@ class Engine:
         return rows.join(critical.annotated(self.critical(axis)), ["mesh_id", "vid"], "left") if cfg.to_bool(self.config["critical_points"]["annotate"], True) else rows
 
     def run(self, name: str | None = None, height: float | None = None) -> Result:
-        """Slices by the named (or configured) method."""
+        """Slices by the named (or configured) method. Several later steps read the field and the components, so both are written once."""
         key = str(name or self.config["general"]["slicing_method"]).strip().lower()
         if key not in METHODS:
             raise ValueError(f"unknown method {key!r}; there are {', '.join(sorted(METHODS))}")
@@ -99,11 +100,11 @@ class Engine:
         clip = cfg.to_floats(iso["dr_clip"], (1e-4, 0.2))
         clip = tuple(clip) if len(clip) == 2 else (1e-4, 0.2)
         tol = cfg.to_float(iso["edge_tol"], 1e-6)
-        value = METHODS[key](self)
+        value = written(METHODS[key](self), "field")
         r = fields.normalized(value)
         levels = contour.adaptive_levels(self.mesh, r, height, cfg.to_float(iso["controller_blend"], 0.5), clip, cfg.to_int(iso["max_levels"], 100_000), cfg.to_bool(iso["include_end"], True), tol)
         segs = contour.segments(self.mesh, r, levels, tol)
-        parts = contour.components(segs, contour.orientation_hints(self.mesh, r), max(2, cfg.to_int(iso["min_component_points"], 3)), cfg.to_int(iso["dedupe_decimals"], 6))
+        parts = written(contour.components(segs, contour.orientation_hints(self.mesh, r), max(2, cfg.to_int(iso["min_component_points"], 3)), cfg.to_int(iso["dedupe_decimals"], 6)), "parts")
         slices = contour.slices(parts, cfg.to_int(iso["samples"], 200), cfg.to_bool(iso["periodic"], True))
         return Result(value, levels, parts, slices, {"requested_method": key, "requested_layer_height": height})
 
@@ -146,7 +147,7 @@ def conformal(e: Engine) -> DataFrame:
     axis, saddles = cfg.to_axis(s["axis_for_boundary"]), e.saddles(cfg.to_axis(s["axis_for_boundary"]))
     if radii := cfg.to_floats(s["radii_per_saddle"], ()):
         saddles = critical.given_radii(saddles, radii)
-    return critical.conforming_field(e.mesh, topology.side_vertices(e.mesh, axis=axis), saddles, cfg.to_float(s["n"], 2.0), cfg.to_float(s["eps"], 1e-9))
+    return critical.conforming_field(e.mesh, topology.side_vertices(e.mesh, axis=axis), written(saddles, "saddles"), cfg.to_float(s["n"], 2.0), cfg.to_float(s["eps"], 1e-9))
 
 
 def export_name(mesh_name: str, height: float, method_name: str) -> str:
