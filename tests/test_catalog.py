@@ -6,6 +6,8 @@ import pytest
 from talweg.plans import catalog
 
 SF = "/root/testdata/sf0.001"
+#: The one mesh of the smallest tables has no saddle that two scales find; the ten of these have.
+MORE = {"multi_scale_saddles": "/root/testdata/sf0.01"}
 
 
 def plain(frame):
@@ -26,4 +28,4 @@ def test_equals_sql(spark, name):
 
 @pytest.mark.parametrize("name", [n for n, (_, text) in catalog.CATALOG.items() if not text])
 def test_has_rows(spark, name):
-    assert catalog.CATALOG[name][0](spark, SF).count() > 0
+    assert catalog.CATALOG[name][0](spark, MORE.get(name, SF)).count() > 0
