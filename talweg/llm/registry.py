@@ -19,6 +19,7 @@ MODULES = {
     "op8_ngram_jaccard_join": "neardup",
     "op9_topk_search": "search",
     "op10_url_filter": "urlfilter",
+    "op13_warc_assembly": "warc",
 }
 #: Query name -> module and name of its SQL.
 ORACLE = {
@@ -26,6 +27,7 @@ ORACLE = {
     "op8_ngram_jaccard_join": ("neardup", "OP8_SQL"),
     "op9_topk_search": ("search", "OP9_SQL"),
     "op10_url_filter": ("urlfilter", "OP10_SQL"),
+    "op13_warc_assembly": ("warc", "OP13_SQL"),
 }
 
 
