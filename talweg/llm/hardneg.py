@@ -112,11 +112,11 @@ def index(rows: DataFrame, dim: int, n: int, block: int = BLOCK, lists: int | No
 
 
 def products(a: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """Exact inner products of rows; in doubles while these hold them, else in Python's numbers, held to what a long can hold."""
+    """Exact inner products of rows; in doubles while these hold them, else in Python's numbers, held to within 2^63 - 1."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(z).max(initial=0)) * max(1, a.shape[1])
     if most < 2.0**53:
         return (a.astype(float) @ z.T.astype(float)).astype(np.int64)
-    return np.clip(a.astype(object) @ z.T.astype(object), -(2**63), 2**63 - 1).astype(np.int64)
+    return np.clip(a.astype(object) @ z.T.astype(object), 1 - 2**63, 2**63 - 1).astype(np.int64)
 
 
 @dataclass
@@ -243,7 +243,7 @@ def mine(rows: DataFrame, anchors: Column, positives: int = POSITIVES, negatives
     labels whose score lies between ``low`` and ``high`` hundredths of the positive's. Rows with a null label or vector, or a
     null or non-finite component, take no part; missing components of shorter vectors are zero; null ids come
     last and are no anchors unless ``anchors`` says so. Rows that repeat an id are rows of their own, anchors
-    each. Positives without negatives give no row, nor does an empty table. Products beyond a long are held to its range. Other columns are not read.
+    each. Positives without negatives give no row, nor does an empty table. Products beyond a long are held to its range, less its least value. Other columns are not read.
 
     Anchors go to all blocks in sets of bounded size, so the work grows with the product of anchors and rows, less what the bounds spare.
     """

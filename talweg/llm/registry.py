@@ -19,6 +19,7 @@ MODULES = {
     "op8_ngram_jaccard_join": "neardup",
     "op9_topk_search": "search",
     "op10_url_filter": "urlfilter",
+    "op11_ranked_search": "ranked",
     "op12_hard_negatives": "hardneg",
     "op13_warc_assembly": "warc",
 }
@@ -28,6 +29,7 @@ ORACLE = {
     "op8_ngram_jaccard_join": ("neardup", "OP8_SQL"),
     "op9_topk_search": ("search", "OP9_SQL"),
     "op10_url_filter": ("urlfilter", "OP10_SQL"),
+    "op11_ranked_search": ("ranked", "OP11_SQL"),
     "op12_hard_negatives": ("hardneg", "OP12_SQL"),
     "op13_warc_assembly": ("warc", "OP13_SQL"),
 }
