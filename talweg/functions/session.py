@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,19 +19,37 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{root}:{env.get('PYTHONPATH', '')}".rstrip(":")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet in the folder of ``spark.checkpoint.dir`` and read back: cuts lineage, survives lost executors.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Without that setting, a temporary folder serves on one machine; on a cluster it is an error.
+    Only where the session names none and runs on one machine (a test) a temporary folder is chosen
+    and set, so that later calls agree; on a cluster that would lose rows, so it is an error.
     """
-    spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="talweg-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)
-    path = f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return at.rstrip("/")
+
+
+def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet in the shared folder, in folders by the column ``by`` if given, and read back: cuts lineage, survives lost executors.
+
+    Each call takes a folder of its own, which the owner of the shared folder clears like any checkpoint, unless ``discard`` removes it before.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path, partitionBy=by)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from ``written`` that no plan reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talweg.functions.session import written
+from talweg.operators.graph import PART, components
 from talweg.sources.tubes import Mesh
 
 
@@ -53,11 +53,11 @@ def boundary_vertices(faces: DataFrame) -> DataFrame:
     return boundary_edges(faces).select("mesh_id", F.explode(F.array("u", "v")).alias("vid")).distinct()
 
 
-def median_edge(mesh: Mesh) -> DataFrame:
-    """Median edge length of each mesh; 1.0 for a mesh without edges and fewer than two vertices, else the median distance to the nearest vertex."""
+def median_edge(mesh: Mesh, sample: int = 5000) -> DataFrame:
+    """Median edge length of each mesh. A mesh without edges takes the median distance to the nearest other one among its first ``sample`` vertices, 1.0 if these are fewer than two."""
     got = weighted_edges(mesh).groupBy("mesh_id").agg(F.percentile("weight", F.lit(0.5)).alias("median_edge"))
     lone = mesh.vertices.select("mesh_id").distinct().join(got, "mesh_id", "left_anti")
-    first = mesh.vertices.join(lone, "mesh_id", "left_semi").where("vid < 5000")
+    first = mesh.vertices.join(lone, "mesh_id", "left_semi").where(F.col("vid") < sample)
     near = first.alias("a").join(first.alias("b"), (F.col("a.mesh_id") == F.col("b.mesh_id")) & (F.col("a.vid") != F.col("b.vid")), "left")
     gap = near.select("a.mesh_id", "a.vid", F.sqrt(sum((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in "xyz")).alias("d")).groupBy("mesh_id", "vid").agg(F.min("d").alias("d"))
     return got.unionByName(gap.groupBy("mesh_id").agg(F.coalesce(F.percentile("d", F.lit(0.5)), F.lit(1.0)).alias("median_edge")))
@@ -89,25 +89,19 @@ def _labels(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"mesh_id": pdf["mesh_id"].iloc[0], "vid": vids, "label": [find(x) for x in vids]})
 
 
-def component_labels(e: DataFrame, huge: bool = False) -> DataFrame:
+def component_labels(e: DataFrame, huge: bool = False, part: int = PART) -> DataFrame:
     """``mesh_id, vid, label``: the least vertex of each vertex's component.
 
     Meshes are independent, so by default each is labelled in one task by union-find over the
-    given edges; ``huge`` spreads a single large mesh instead, by rounds of least labels
-    of neighbours and jumps to the label's own label.
+    given edges; ``huge`` spreads large meshes instead, in a number of rounds that grows with the
+    logarithm of their vertices.
     """
     if not huge:
         return e.select("mesh_id", "u", "v").groupBy("mesh_id").applyInPandas(_labels, "mesh_id int, vid int, label int")
-    arcs = written(both_ways(e.select("mesh_id", "u", "v", F.lit(0.0).alias("weight"))).select("mesh_id", "u", "v"), "arcs")
-    label = written(arcs.groupBy("mesh_id", F.col("u").alias("vid")).agg(F.least(F.first("u"), F.min("v")).alias("label")), "labels")
-    while True:
-        near = arcs.join(label.withColumnRenamed("vid", "v"), ["mesh_id", "v"]).groupBy("mesh_id", F.col("u").alias("vid")).agg(F.min("label").alias("near"))
-        hop = label.select("mesh_id", F.col("vid").alias("near"), F.col("label").alias("next"))
-        new = label.join(near, ["mesh_id", "vid"]).withColumn("near", F.least("label", "near")).join(hop, ["mesh_id", "near"], "left")
-        new = written(new.select("mesh_id", "vid", F.col("label").alias("old"), F.least("near", F.coalesce("next", "near")).alias("label")), "labels")
-        if new.where("old <> label").isEmpty():
-            return new.select("mesh_id", "vid", "label")
-        label = new.drop("old")
+    node = lambda k: F.shiftleft(F.col("mesh_id").cast("long"), 32) + F.col(k)
+    found = components(e.select(node("u").alias("a"), node("v").alias("b")), part)
+    vid = lambda c: (F.col(c) - F.shiftleft(F.shiftright(c, 32), 32)).cast("int")
+    return found.select(F.shiftright("node", 32).cast("int").alias("mesh_id"), vid("node").alias("vid"), vid("root").alias("label"))
 
 
 def boundary_loops(mesh: Mesh, huge: bool = False) -> DataFrame:

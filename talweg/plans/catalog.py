@@ -116,7 +116,11 @@ BLOCKS |= {
     "part_": "select mesh_id, layer, level, root, count(*) as n, sum(len) as len from comp join seg using (mesh_id, layer, fid) group by all",
     "slice_": "select mesh_id, layer, level, count(*) as component_count, sum(len) as total_length from part_ group by all",
 }
-KEYED = {"dv": "dv(mesh_id, vid, d) using key (mesh_id, vid)", "dm": "dm(mesh_id, src, vid, d) using key (mesh_id, src, vid)", "grp": "grp(mesh_id, vid, kept) using key (mesh_id, vid)",
+BLOCKS["part_of"] = """select mesh_id, vid, vid as label from (select distinct mesh_id, u as vid from e union select distinct mesh_id, w from e) union
+      (select o.mesh_id, o.vid, min(part_of.label) as label from part_of join sym on sym.mesh_id = part_of.mesh_id and s = part_of.vid
+        join recurring.part_of o on o.mesh_id = sym.mesh_id and o.vid = t where part_of.label < o.label group by all)"""
+KEYED = {"part_of": "part_of(mesh_id, vid, label) using key (mesh_id, vid)",
+    "dv": "dv(mesh_id, vid, d) using key (mesh_id, vid)", "dm": "dm(mesh_id, src, vid, d) using key (mesh_id, src, vid)", "grp": "grp(mesh_id, vid, kept) using key (mesh_id, vid)",
     "comp": "comp(mesh_id, layer, fid, root) using key (mesh_id, layer, fid)", "ds": "ds(mesh_id, vid, d) using key (mesh_id, vid)", "dl": "dl(mesh_id, vid, d) using key (mesh_id, vid)", "du": "du(mesh_id, vid, d) using key (mesh_id, vid)", "dn": "dn(mesh_id, boundary_number, vid, d) using key (mesh_id, boundary_number, vid)"}
 
 
@@ -185,6 +189,8 @@ query("edge_incidence", "select mesh_id, u, w as v, n_faces from e")(lambda m: t
 query("boundary_edges", "select mesh_id, u, w as v from be")(lambda m: topology.boundary_edges(m.faces))
 query("boundary_vertices", "select mesh_id, vid from bv")(lambda m: topology.boundary_vertices(m.faces))
 query("boundary_loops", "select mesh_id, vid, boundary_number from loop")(lambda m: topology.boundary_loops(m))
+query("mesh_components", "select mesh_id, vid, label from part_of")(lambda m: topology.component_labels(topology.edges(m.faces), huge=True))
+query("boundary_loops_huge", "select mesh_id, vid, boundary_number from loop")(lambda m: topology.boundary_loops(m, huge=True))
 query("loop_metadata", "select mesh_id, boundary_number, n_vertices, round(cx, 6) as cx, round(cy, 6) as cy, round(cz, 6) as cz from meta")(lambda m: r6(topology.loop_metadata(m, topology.boundary_loops(m)), "cx", "cy", "cz"))
 query("loop_sides", "select mesh_id, boundary_number, boundary_side from side")(lambda m: topology.loop_sides(topology.loop_metadata(m, topology.boundary_loops(m))))
 query("side_vertices", "select mesh_id, vid, boundary_number, boundary_side from sv")(lambda m: topology.side_vertices(m))
