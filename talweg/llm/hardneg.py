@@ -274,13 +274,14 @@ def mine(rows: DataFrame, anchors: Column, positives: int = POSITIVES, negatives
         common = (vectors, np.array(keys, np.int64), np.array(labels, np.int64))
         full = lambda size, v: np.full(size, v, np.int64)
         asked = Asked(*common, np.arange(m), full(m, far.min), full(m, far.max), full(m, far.min), True, positives, centroids, radius)
-        near = sorted((r["want"], r["rank"], r["id"], r["score"]) for r in _ranked(spark, blocks, asked).drop("key").collect())  # at most 5 an anchor of the set
+        near = [(r["want"], r["rank"], r["id"], r["score"]) for r in _ranked(spark, blocks, asked).collect()]  # at most 5 an anchor of the set
+        near.sort(key=lambda r: r[:2])
         if not near:
             continue
         score = [r[3] for r in near]
         least, most = (np.array([-(-low * p // 100) if bound is min else high * p // 100 for p in score], np.int64) for bound in (min, max))
         asked = Asked(*common, np.array([r[0] for r in near], np.int64), least, most, least.copy(), False, negatives, centroids, radius)
-        pairs = spark.createDataFrame(pd.DataFrame({"want": np.arange(len(near)), "anchor_id": pd.array([ids[r[0]] for r in near], "Int64"), "positive_id": pd.array([r[2] for r in near], "Int64"), "positive_score": score}), "want long, anchor_id long, positive_id long, positive_score long")
+        pairs = spark.createDataFrame([(k, ids[r[0]], r[2], r[3]) for k, r in enumerate(near)], "want long, anchor_id long, positive_id long, positive_score long")
         found = _ranked(spark, blocks, asked).join(pairs, "want")
         parts.append(materialize(found.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")), "negatives"))
     if not parts:

@@ -12,11 +12,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm.common import materialize, release, table, text_bytes
+from talweg.llm.common import discard, materialize, release, table, text_bytes
+from talweg.operators.graph import PART, components
 
 WORDS, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.999, 320
-#: Classes of a group that meet in one comparison; larger groups are dealt in blocks that meet two at a time.
-BLOCK = 512
+#: Classes and n-grams of a block: larger groups are dealt to blocks, of which two meet where they share a bucket.
+BLOCK, BLOCK_GRAMS = 512, 2_000_000
 #: A pair whose signatures agree less than this is not verified: over five standard deviations below a true pair.
 SLACK = 0.13
 
@@ -57,9 +58,10 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, hashes: int) -> Iterator[pa
     mul = rng.integers(0, 2**31, hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     add = rng.integers(0, 2**32, hashes, dtype=np.uint32)
     for batch in batches:
-        keys, signs = [], []
+        keys, signs, sizes = [], [], []
         for text in batch.column(1).to_pylist():
             grams = shingles(text, n)
+            sizes.append(len(grams))
             if not len(grams):
                 keys.append(None)
                 signs.append(None)
@@ -71,23 +73,23 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, hashes: int) -> Iterator[pa
                 v ^= v >> np.uint32(15)
                 np.minimum(least, v.min(axis=0), out=least)
             signs.append((least & np.uint32(255)).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "text_hash", "set_key", "sign"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(signs, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "text_hash", "cid", "sign", "n_grams"])
 
 
 class Forest:
     """Union-find that tells which links join two groups."""
 
     def __init__(self) -> None:
-        self.up: dict[int, int] = {}
+        self.up: dict[bytes, bytes] = {}
 
-    def find(self, x: int) -> int:
+    def find(self, x: bytes) -> bytes:
         up = self.up
         while up.setdefault(x, x) != x:
             up[x] = up[up[x]]
             x = up[x]
         return x
 
-    def join(self, a: int, b: int) -> bool:
+    def join(self, a: bytes, b: bytes) -> bool:
         a, b = self.find(a), self.find(b)
         if a == b:
             return False
@@ -95,16 +97,8 @@ class Forest:
         return True
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Only those links of a partition that join groups; what the others say follows from them."""
-    forest = Forest()
-    for batch in batches:
-        kept = [(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if forest.join(a, b)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-
 def _meet(batches: Iterator[pa.RecordBatch], rows: int, least: float, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by meeting (root, i, j): class, block, signature, gram set, documents -> for each class how many documents it links to here, and the links that join groups.
+    """Rows sorted by meeting (i, j): class, block, signature, gram set, documents -> for each class how many documents it links to here, and the links that join groups.
 
     Two classes are compared if they agree in a band and well enough in all, and linked if their
     whole gram sets are similar enough.
@@ -115,10 +109,10 @@ def _meet(batches: Iterator[pa.RecordBatch], rows: int, least: float, similarity
     def compare() -> None:
         if len(held) < 2:
             return
-        i, j, forest = now[1], now[2], Forest()
-        block, docs = np.array([r[4] for r in held]), np.array([r[7] for r in held], np.int64)
-        signs = np.frombuffer(b"".join([r[5] for r in held]), np.uint8).reshape(len(held), -1)
-        sets = [np.frombuffer(r[6], np.uint64) for r in held]
+        i, j, forest = now[0], now[1], Forest()
+        block, docs = np.array([r[3] for r in held]), np.array([r[6] for r in held], np.int64)
+        signs = np.frombuffer(b"".join([r[4] for r in held]), np.uint8).reshape(len(held), -1)
+        sets = [np.frombuffer(r[5], np.uint64) for r in held]
         others = np.zeros(len(held), np.int64)
         for k in range(len(held) - 1):
             near = np.arange(k + 1, len(held))
@@ -133,20 +127,20 @@ def _meet(batches: Iterator[pa.RecordBatch], rows: int, least: float, similarity
                 if both >= similarity * (len(x) + len(y) - both):
                     others[k] += docs[n]
                     others[n] += docs[k]
-                    if forest.join(held[k][3], held[n][3]):
-                        out.append((held[k][3], held[n][3], 0))
-        out.extend((held[k][3], None, int(others[k])) for k in np.flatnonzero(others).tolist())
+                    if forest.join(held[k][2], held[n][2]):
+                        out.append((held[k][2], held[n][2], 0))
+        out.extend((held[k][2], None, int(others[k])) for k in np.flatnonzero(others).tolist())
 
     def told() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1, 2)], ["a", "b", "others"])
+        batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.int64()))], ["a", "b", "others"])
         out.clear()
         return batch
 
     for batch in batches:
         for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if r[:3] != now:
+            if r[:2] != now:
                 compare()
-                held, now = [], r[:3]
+                held, now = [], r[:2]
             held.append(r)
         if len(out) > 50_000:
             yield told()
@@ -160,81 +154,91 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
 
 
 def classes(docs: DataFrame, words: int = WORDS, hashes: int = MOST_HASHES) -> tuple[DataFrame, DataFrame]:
-    """Documents with ``cid``, the class of their exact gram set (null: no words), and the classes with signature, size and one member."""
+    """Documents with ``cid``, the 128-bit key of their exact gram set (null: no words), and the classes with signature, size, number of grams and one member."""
     src = text_bytes(docs).withColumn("text_hash", F.xxhash64("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    signed = src.mapInArrow(partial(_sign, n=words, hashes=hashes), f"doc_id {kind}, text_hash long, set_key binary, sign binary").withColumn("cid", F.xxhash64("set_key"))
-    signed = signed.withColumn("cid", F.when(F.col("set_key").isNotNull(), F.col("cid")))
-    signed = materialize(signed.select("doc_id", "text_hash", "cid", "sign"), "signed")
-    same = signed.where("cid is not null").groupBy("cid", "sign").agg(F.count("*").alias("n_docs"), F.min(F.struct("text_hash", "doc_id")).alias("one"))
-    return signed.select("doc_id", "text_hash", "cid"), materialize(same.select("cid", "sign", "n_docs", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")), "classes")
+    signed = src.mapInArrow(partial(_sign, n=words, hashes=hashes), f"doc_id {kind}, text_hash long, cid binary, sign binary, n_grams long")
+    signed = materialize(signed, "signed")
+    same = signed.where("cid is not null").groupBy("cid", "sign", "n_grams").agg(F.count("*").alias("n_docs"), F.min(F.struct("text_hash", "doc_id")).alias("one"))
+    return signed.select("doc_id", "text_hash", "cid"), materialize(same.select("cid", "sign", "n_grams", "n_docs", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")), "classes")
 
 
-def candidate_groups(same: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``cid, root, m``: classes that agree in a band, chained into groups, with the group's size. Each bucket links its members to its least one only."""
+def buckets(same: DataFrame, bands: int, rows: int) -> DataFrame:
+    """``cid, key`` for each band of each class."""
     at = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substring(F.col("sign"), i * rows + 1, F.lit(rows)), i))
-    put = same.select("cid", F.explode(at).alias("key"))
-    shared = put.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("least")).where("m > 1")
-    stars = materialize(put.join(shared, "key").where("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct(), "stars")
-    found = components(stars)
-    sizes = found.groupBy("root").agg(F.count("*").alias("m"))
-    return materialize(found.join(sizes, "root").select(F.col("node").alias("cid"), "root", "m"), "groups")
-
-
-def thinned(links: DataFrame, most: int = 500_000) -> DataFrame:
-    """Links that still join the same groups, but few more than there are nodes: each part of about ``most`` keeps a forest."""
-    n = links.count()
-    return materialize(links.select("a", "b").coalesce(max(1, -(-n // most))).mapInArrow(_forest, "a long, b long"), "forest")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """``node, root`` of undirected links ``a, b``: least labels spread to neighbours, then each label jumps to its own label."""
-    links = thinned(links)
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    label = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"), "roots")
-    while True:
-        near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        step = label.join(near, F.col("node") == F.col("a")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        hop = label.select(F.col("node").alias("at"), F.col("root").alias("next"))
-        new = materialize(step.join(hop, F.col("root") == F.col("at"), "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")), "roots")
-        if new.where("root <> old").isEmpty():
-            return new.select("node", "root")
-        label = new.select("node", "root")
-
-
-def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    return same.select("cid", F.explode(at).alias("key"))
+
+
+def candidate_groups(same: DataFrame, bands: int, rows: int, part: int = PART) -> tuple[DataFrame, DataFrame]:
+    """``cid, root, m, grams``: classes that agree in a band, chained into groups, with the group's classes and grams; and ``key, n, least`` of buckets with several classes.
+
+    Each bucket links its members to its least one only.
+    """
+    put = buckets(same, bands, rows)
+    shared = materialize(put.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("least")).where("n > 1"), "shared")
+    stars = put.join(shared, "key").where("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b"))
+    found = components(stars, part)
+    sizes = found.join(same.select(F.col("cid").alias("node"), "n_grams"), "node").groupBy("root").agg(F.count("*").alias("m"), F.sum("n_grams").alias("grams"))
+    return materialize(found.join(sizes, "root").select(F.col("node").alias("cid"), "root", "m", "grams"), "groups"), shared
+
+
+def meetings(groups: DataFrame, shared: DataFrame, same: DataFrame, bands: int, rows: int, block: int, grams: int) -> DataFrame:
+    """``cid, block, i, j``: the block of each class in a group, once for each pair of blocks in which it meets others.
+
+    A group of at most ``block`` classes and ``grams`` grams is one block. Classes of a larger one stand with those of
+    the same largest bucket, dealt to several blocks if these are too many, and only blocks that have classes in one bucket
+    meet: along a chain, where few classes share a bucket, each block meets few others.
+    """
+    fits = (F.col("m") <= block) & (F.col("grams") <= grams)
+    whole = groups.where(fits).select("cid", F.xxhash64("root").alias("block")).select("cid", "block", F.col("block").alias("i"), F.col("block").alias("j"))
+    wide = same.join(groups.where(~fits).select("cid", "root"), "cid")
+    put = materialize(buckets(wide, bands, rows).join(shared.select("key", "n"), "key").select("cid", "key", "n"), "held")
+    home = put.groupBy("cid").agg(F.max(F.struct("n", "key")).alias("x")).select("cid", F.col("x.key").alias("home"))
+    home = wide.select("cid", "n_grams").join(home, "cid")
+    parts = home.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_grams") / grams)).alias("parts"))
+    placed = home.join(parts, "home").select("cid", F.xxhash64("home", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("parts"))).alias("block"))
+    placed = materialize(placed, "blocks")
+    there = materialize(put.join(placed, "cid").select("key", "block").distinct(), "there")
+    pairs = there.join(there.select("key", F.col("block").alias("other")), "key").where("block <= other").select(F.col("block").alias("i"), F.col("other").alias("j")).distinct()
+    turns = F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))
+    pairs = materialize(pairs.select(F.explode(turns).alias("block"), "i", "j"), "pairs")
+    met = placed.join(pairs, "block").select("cid", "block", "i", "j")
+    return whole.unionByName(met)
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK, grams: int = BLOCK_GRAMS, part: int = PART) -> DataFrame:
     """``doc_id, text_hash, root, class_id, n_links``: each document's group and links.
 
-    Root numbers the connected group, class_id is the least doc_id in it,
+    Root names the connected group, class_id is the least doc_id in it,
     n_links counts other documents at Jaccard ``similarity`` or more, copies included. Documents
     of one gram set are one class from the start; classes that agree in a band are chained into
-    groups, and within a group blocks of ``block`` classes meet two at a time. A meeting tells numbers
+    groups, and within a group blocks of about ``block`` classes and ``grams`` grams that share a bucket meet two at a time. A meeting tells numbers
     of links and a forest, so no pairs are written however many there are. A text
     without words (null, empty, blank) is linked to nothing. Repeated rows count as copies; null doc_ids
-    are kept.
+    are kept. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     bands, rows = bands_for(similarity, recall, MOST_HASHES)
     members, same = classes(docs, words, bands * rows)
-    groups = candidate_groups(same, bands, rows)
+    groups, shared = candidate_groups(same, bands, rows, part)
     release(spark)
-    used = groups.join(same, "cid")
     src = text_bytes(docs).withColumn("text_hash", F.xxhash64("text"))
+    used = same.join(groups.select("cid"), "cid")
     texts = src.join(used.select("cid", "one_id", "one_hash"), F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("text_hash") == F.col("one_hash"))).dropDuplicates(["cid"]).select("cid", "text")
-    sets = texts.mapInArrow(partial(_sets, n=words), "cid long, grams binary")
-    n = F.ceil(F.col("m") / block).cast("int")
-    mine = used.join(sets, "cid").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(3)), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    mine = mine.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "block", "sign", "grams", "n_docs")
-    mine = mine.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    told = materialize(mine.mapInArrow(partial(_meet, rows=rows, least=similarity - SLACK, similarity=similarity), "a long, b long, others long"), "links")
-    del mine, sets, texts, used
+    sets = texts.mapInArrow(partial(_sets, n=words), "cid binary, grams binary")
+    held = used.select("cid", "sign", "n_docs").join(sets, "cid")
+    mine = meetings(groups, shared, same, bands, rows, block, grams).join(held, "cid").select("i", "j", "cid", "block", "sign", "grams", "n_docs")
+    mine = mine.repartition("i", "j").sortWithinPartitions("i", "j")
+    told = materialize(mine.mapInArrow(partial(_meet, rows=rows, least=similarity - SLACK, similarity=similarity), "a binary, b binary, others long"), "links")
+    del mine, held, sets, texts, used
     release(spark)
-    roots = components(told.where("b is not null").select("a", "b"))
+    roots = components(told.where("b is not null").select("a", "b"), part)
     sized = same.select("cid", "n_docs")
     linked = told.groupBy("a").agg(F.sum("others").alias("others"))
     info = sized.join(linked, F.col("cid") == F.col("a"), "left").join(roots, F.col("cid") == F.col("node"), "left")
     info = info.select("cid", F.coalesce("root", "cid").alias("root"), (F.col("n_docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     placed = materialize(members.join(info, "cid", "left"), "placed")
+    discard(told, groups, shared)
     first = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     out = placed.join(first, "root", "left").select("doc_id", "text_hash", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out

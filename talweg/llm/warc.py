@@ -129,7 +129,7 @@ def parsed(stream: io.BufferedIOBase, name: str) -> Iterator[tuple[dict[str, lis
         while (line := stream.readline()).strip():
             said = line.decode("utf-8", "replace").rstrip("\r\n")
             if said[0] in " \t" and last:  # a folded line
-                fields[last][-1] += " " + said.strip()
+                fields[last][-1] = f"{fields[last][-1]} {said.strip()}".strip()
             else:
                 last, _, value = said.partition(":")
                 fields.setdefault(last := last.strip().lower(), []).append(value.strip())

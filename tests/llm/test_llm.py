@@ -452,7 +452,10 @@ def test_pages(spark):
 
 
 def near_by_hand(rows):
-    sets = [set(neardup.shingles((t or "").encode()).tolist()) for _, t in rows]
+    import re
+
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    sets = [set(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) > 4 else {tuple(w)} - {()} for w in words]
     near = defaultdict(set)
     for i in range(len(rows)):
         for j in range(i):
@@ -496,6 +499,26 @@ def test_near_duplicates(spark, block):
         assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block,grams,part", [(512, 2_000_000, 250_000), (16, 2_000_000, 0), (512, 700, 0)])
+def test_near_duplicates_along_a_chain(spark, block, grams, part):
+    words = [f"w{i}" for i in range(60 * 4 + 120)]
+    rows = [(i, " ".join(words[i * 4 : i * 4 + 120])) for i in range(60)] + [(900 + i, " ".join(words[:8] * 3_000)) for i in range(2)]
+    got = sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"]) for r in neardup.near_duplicates(frame(spark, rows), block=block, grams=grams, part=part).collect())
+    assert got == near_by_hand(rows)
+
+
+def test_blocks_of_a_chain_meet_few_others(spark):
+    words = [f"w{i}" for i in range(400 * 4 + 120)]
+    docs = spark.createDataFrame([(i, " ".join(words[i * 4 : i * 4 + 120])) for i in range(400)], "doc_id long, text string")
+    bands, rows = neardup.bands_for(0.8, 0.999, 320)
+    _, same = neardup.classes(docs, 5, bands * rows)
+    groups, shared = neardup.candidate_groups(same, bands, rows)
+    met = neardup.meetings(groups, shared, same, bands, rows, 32, 2_000_000)
+    assert groups.select("root").distinct().count() == 1
+    assert met.count() < 400 * 20  # all blocks of a group of 400 meeting would be far more
+    assert met.select("cid").distinct().count() == 400
+
+
 def test_bands_reach_recall():
     bands, rows = neardup.bands_for(0.8, 0.999, 320)
     assert bands * rows <= 320 and 1 - (1 - 0.8**rows) ** bands >= 0.999
