@@ -185,25 +185,35 @@ def candidate_groups(same: DataFrame, bands: int, rows: int, part: int = PART) -
 def meetings(groups: DataFrame, shared: DataFrame, same: DataFrame, bands: int, rows: int, block: int, grams: int) -> DataFrame:
     """``cid, block, i, j``: the block of each class in a group, once for each pair of blocks in which it meets others.
 
-    A group of at most ``block`` classes and ``grams`` grams is one block. Classes of a larger one stand with those of
-    the same largest bucket, dealt to several blocks if these are too many, and only blocks that have classes in one bucket
-    meet: along a chain, where few classes share a bucket, each block meets few others.
+    A group of at most ``block`` classes and ``grams`` grams is one block. A larger one is dealt to blocks in one of two ways,
+    the one that makes fewer copies of its classes: at random, where all blocks meet, which suits a group of classes all
+    alike; or classes stand with those of the same largest bucket (several blocks if these are too many), and only
+    blocks that have classes in one bucket meet, which suits a long chain, where each meets few others.
     """
-    fits = (F.col("m") <= block) & (F.col("grams") <= grams)
+    many = lambda n, g: F.greatest(F.ceil(n / block), F.ceil(g / grams))
+    part = lambda n: F.pmod(F.xxhash64("cid", F.lit(3)), n)
+    fits = many(F.col("m"), F.col("grams")) <= 1
     whole = groups.where(fits).select("cid", F.xxhash64("root").alias("block")).select("cid", "block", F.col("block").alias("i"), F.col("block").alias("j"))
-    wide = same.join(groups.where(~fits).select("cid", "root"), "cid")
-    put = materialize(buckets(wide, bands, rows).join(shared.select("key", "n"), "key").select("cid", "key", "n"), "held")
+    large = materialize(same.select("cid", "sign", "n_grams").join(groups.where(~fits).withColumn("parts", many(F.col("m"), F.col("grams"))).select("cid", "root", "m", "parts"), "cid"), "large")
+    # blocks by home bucket, and which of them share a bucket
+    put = materialize(buckets(large, bands, rows).join(shared.select("key", "n"), "key").select("cid", "key", "n"), "held")
     home = put.groupBy("cid").agg(F.max(F.struct("n", "key")).alias("x")).select("cid", F.col("x.key").alias("home"))
-    home = wide.select("cid", "n_grams").join(home, "cid")
-    parts = home.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_grams") / grams)).alias("parts"))
-    placed = home.join(parts, "home").select("cid", F.xxhash64("home", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("parts"))).alias("block"))
-    placed = materialize(placed, "blocks")
-    there = materialize(put.join(placed, "cid").select("key", "block").distinct(), "there")
-    pairs = there.join(there.select("key", F.col("block").alias("other")), "key").where("block <= other").select(F.col("block").alias("i"), F.col("other").alias("j")).distinct()
+    home = large.select("cid", "root", "n_grams").join(home, "cid")
+    parts = home.groupBy("home").agg(many(F.count("*"), F.sum("n_grams")).alias("parts"))
+    placed = materialize(home.join(parts, "home").select("cid", "root", F.xxhash64("home", part(F.col("parts"))).alias("block")), "blocks")
+    there = materialize(put.join(placed, "cid").select("root", "key", "block").distinct(), "there")
+    pairs = there.join(there.select("root", "key", F.col("block").alias("other")), ["root", "key"]).where("block <= other").select("root", F.col("block").alias("i"), F.col("other").alias("j")).distinct()
     turns = F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))
-    pairs = materialize(pairs.select(F.explode(turns).alias("block"), "i", "j"), "pairs")
-    met = placed.join(pairs, "block").select("cid", "block", "i", "j")
-    return whole.unionByName(met)
+    pairs = materialize(pairs.select("root", F.explode(turns).alias("block"), "i", "j"), "pairs")
+    sizes = placed.groupBy("root", "block").agg(F.count("*").alias("n"))
+    near = pairs.groupBy("root", "block").agg(F.count("*").alias("turns")).join(sizes, ["root", "block"]).groupBy("root").agg(F.sum(F.col("n") * F.col("turns")).alias("copies"))
+    spare = large.select("root", "m", "parts").distinct().join(near, "root").where(F.col("copies") < F.col("m") * F.col("parts")).select("root")
+    spare = materialize(spare, "chains")
+    met = placed.join(spare, "root", "left_semi").join(pairs, ["root", "block"]).select("cid", "block", "i", "j")
+    dealt = large.join(spare, "root", "left_anti").withColumn("own", part(F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    named = lambda c: F.xxhash64("root", c)
+    dealt = dealt.select("cid", named(F.col("own")).alias("block"), named(F.least("own", "other")).alias("i"), named(F.greatest("own", "other")).alias("j"))
+    return whole.unionByName(met).unionByName(dealt)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK, grams: int = BLOCK_GRAMS, part: int = PART) -> DataFrame:
