@@ -1,4 +1,4 @@
-"""Iso-segments, their lengths, stitching into components, curves and the adaptive choice of levels."""
+"""Iso-segments, their lengths, stitching into components and curves."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talweg.functions.config import layer_step
 from talweg.operators.fields import corners, gradient_norm
 from talweg.sources.tubes import Mesh
 
@@ -271,56 +270,3 @@ def summary(slices_: DataFrame) -> DataFrame:
     """Slices, those with several components, the most components (1 at least) and the levels where they split."""
     many = F.col("component_count") > 1
     return slices_.groupBy("mesh_id").agg(F.count("*").alias("total_slices"), F.sum(many.cast("int")).cast("long").alias("bifurcation_slices"), F.greatest(F.max("component_count"), F.lit(1)).alias("max_components"), F.array_sort(F.collect_list(F.when(many, F.col("level")))).alias("bifurcation_levels"))
-
-
-def _levels(pdf: pd.DataFrame, height: float, blend: float, clip: tuple[float, float], most: int, include_end: bool, tol: float) -> pd.DataFrame:
-    """The level recurrence of one mesh: exact length and weighted length at each level from the mesh's faces."""
-    pos = np.stack([np.array([[p[c] for c in "xyz"] for p in pdf[k]]) for k in ("pa", "pb", "pc")], axis=1)
-    val = np.stack([[p["r"] for p in pdf[k]] for k in ("pa", "pb", "pc")], axis=1)
-    g = pdf["g"].to_numpy()
-    fine = g[np.isfinite(g) & (g >= 0)]
-    g_eff = float(np.median(fine)) if len(fine) else 0.0
-    g_eff = g_eff if g_eff > 0 else 1.0
-    n, _, h_mod = layer_step(height, g_eff, clip)
-    lo, hi = val.min(axis=1) - tol, val.max(axis=1) + tol
-
-    def sums(level: float) -> tuple[float, float]:
-        near = np.flatnonzero((lo <= level) & (level <= hi))
-        f, p = val[near], pos[near]
-        fq, q = np.roll(f, -1, axis=1), np.roll(p, -1, axis=1)
-        off = ((f > level + tol) & (fq > level + tol)) | ((f < level - tol) & (fq < level - tol)) | (np.abs(fq - f) < tol)
-        t = (level - f) / np.where(off, 1.0, fq - f)
-        hit = ~off & (t >= -tol) & (t <= 1 + tol)
-        two = hit.sum(axis=1) >= 2
-        at = p + t[..., None] * (q - p)
-        order = np.argsort(~hit[two], axis=1, kind="stable")[:, :2]
-        ends = np.take_along_axis(at[two], order[..., None], axis=1)
-        size, w = np.linalg.norm(ends[:, 1] - ends[:, 0], axis=1), g[near][two]
-        return float(size.sum()), float((size * np.where(np.isfinite(w), w, 0)).sum())
-
-    at, out = 0.0, [0.0]
-    length, weighted = sums(at)
-    for done in range(n - 1):
-        if len(out) >= most:
-            break
-        mean = weighted / length if length > 0 and weighted > 0 else g_eff
-        rest, a = max(0.0, 1 - at), min(max(blend, 0.0), 1.0)
-        step = min(min(max((1 - a) * rest / (n - done) + a * h_mod * mean, 1e-4), 0.2), rest)
-        at += step
-        out.append(at)
-        length, weighted = sums(at)
-    if include_end and at < 1 - 1e-12:
-        out.append(1.0)
-    return pd.DataFrame({"mesh_id": [pdf["mesh_id"].iloc[0]], "levels": [out]})
-
-
-def adaptive_levels(mesh: Mesh, field: DataFrame, height: float, blend: float = 0.5, clip: tuple[float, float] = (1e-4, 0.2), most: int = 100_000, include_end: bool = True, tol: float = TOL) -> DataFrame:
-    """``mesh_id, levels``: levels from 0 to 1 whose steps follow what is left and the gradient along the last contour.
-
-    Level i + 1 needs the contour at level i, so each mesh's recurrence runs in one task over its faces;
-    all contours are then cut in one distributed pass by ``segments``.
-    """
-    if not 0 < height < float("inf"):
-        raise ValueError("layer height must be positive and finite")
-    f = corners(mesh, field).select("mesh_id", "pa", "pb", "pc", gradient_norm().alias("g"))
-    return f.groupBy("mesh_id").applyInPandas(partial(_levels, height=height, blend=blend, clip=tuple(clip), most=most, include_end=include_end, tol=tol), "mesh_id int, levels array<double>")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talweg.functions.session import written
-from talweg.operators import contour, critical, export, fields, geodesic, topology, vizprep
+from talweg.operators import contour, critical, export, fields, geodesic, levels, topology, vizprep
 from talweg.plans.methods import METHODS, Engine
 from talweg.sources.tubes import Mesh, tubes
 
@@ -119,10 +119,23 @@ BLOCKS |= {
 BLOCKS["part_of"] = """select mesh_id, vid, vid as label from (select distinct mesh_id, u as vid from e union select distinct mesh_id, w from e) union
       (select o.mesh_id, o.vid, min(part_of.label) as label from part_of join sym on sym.mesh_id = part_of.mesh_id and s = part_of.vid
         join recurring.part_of o on o.mesh_id = sym.mesh_id and o.vid = t where part_of.label < o.label group by all)"""
+BLOCKS["ls"] = "select mesh_id, g, list_sort([{'r': ar, 'x': ax, 'y': ay, 'z': az}, {'r': br, 'x': bx, 'y': by_, 'z': bz}, {'r': cr, 'x': cx, 'y': cy, 'z': cz}]) as p from fv join fg using (mesh_id, fid)"
+BLOCKS["lq"] = "select mesh_id, g, p[1] as p0, p[2] as p1, p[3] as p2, (p[2].r - p[1].r) / (p[3].r - p[1].r) as t from ls where p[3].r - p[1].r >= 1e-6"
+BLOCKS["lp"] = """select mesh_id, g, p0.r as f0, p1.r as f1, p2.r as f2, sqrt((p1.x - p0.x - t * (p2.x - p0.x)) * (p1.x - p0.x - t * (p2.x - p0.x)) + (p1.y - p0.y - t * (p2.y - p0.y)) * (p1.y - p0.y - t * (p2.y - p0.y))
+      + (p1.z - p0.z - t * (p2.z - p0.z)) * (p1.z - p0.z - t * (p2.z - p0.z))) as most from lq"""
+BLOCKS["li"] = "select mesh_id, g_eff, greatest(1, round_even(1 / least(greatest(cast(0.5 as double) * g_eff, 1e-4), cast(0.2 as double)), 0)) as n from geff"
+BLOCKS["alv"] = """select mesh_id, 0 as layer, cast(0 as double) as lv, g_eff, n from li union all
+      (select mesh_id, layer + 1, lv + least(least(greatest(0.5 * (1 - lv) / (n - layer) + 0.5 / n / g_eff * case when len > 0 and wlen > 0 then wlen / len else g_eff end, 1e-4), cast(0.2 as double)), 1 - lv), g_eff, n from
+        (select alv.mesh_id, layer, lv, alv.g_eff, n, sum(cut) as len, sum(cut * g) as wlen from alv join
+          lateral (select g, case when f1 - f0 >= 1e-6 and lv <= f1 then most * (lv - f0) / (f1 - f0) when f2 - f1 >= 1e-6 then most * (f2 - lv) / (f2 - f1) else 0 end as cut
+            from lp where lp.mesh_id = alv.mesh_id and lv between f0 and f2) on true where layer < n - 1 group by all))"""
 KEYED = {"part_of": "part_of(mesh_id, vid, label) using key (mesh_id, vid)",
     "dv": "dv(mesh_id, vid, d) using key (mesh_id, vid)", "dm": "dm(mesh_id, src, vid, d) using key (mesh_id, src, vid)", "grp": "grp(mesh_id, vid, kept) using key (mesh_id, vid)",
     "comp": "comp(mesh_id, layer, fid, root) using key (mesh_id, layer, fid)", "ds": "ds(mesh_id, vid, d) using key (mesh_id, vid)", "dl": "dl(mesh_id, vid, d) using key (mesh_id, vid)", "du": "du(mesh_id, vid, d) using key (mesh_id, vid)", "dn": "dn(mesh_id, boundary_number, vid, d) using key (mesh_id, boundary_number, vid)"}
 
+#: Blocks that a recursion reads again and again.
+MADE_ONCE = {"v", "fv", "fg", "lp", "rv", "el"}
+
 
 def sql(text: str) -> str:
     """``text`` with the building blocks that it needs before it."""
@@ -137,7 +150,7 @@ def sql(text: str) -> str:
                 add(BLOCKS[name])
 
     add(text)
-    parts = [f"{KEYED.get(n, n)} as ({BLOCKS[n]})" for n in BLOCKS if n in need]
+    parts = [f"{KEYED.get(n, n)} as {'materialized ' if n in MADE_ONCE else ''}({BLOCKS[n]})" for n in BLOCKS if n in need]
     return f"with recursive {', '.join(parts)} {text}" if parts else text
 
 
@@ -354,7 +367,18 @@ gentle("slice_summary", """select mesh_id, count(*) as total_slices, count(*) fi
 gentle("slice_totals_gentle", "select mesh_id, cast(row_number() over (partition by mesh_id order by level) - 1 as int) as layer_number, cast(component_count as int) as component_count, round(total_length, 6) as total_length from slice_")(
     lambda m: r6(contour.slices(_parts(m, GENTLE), 50).select("mesh_id", "layer_number", "component_count", "total_length"), "total_length"))
 query("resampled_curves")(lambda m: contour.slices(_parts(m), 50).select("mesh_id", "layer_number", "component_count", F.round("total_length", 6).alias("total_length"), F.size("curve").alias("n_points"), F.round(contour.polyline_length("curve"), 6).alias("length")))
-query("adaptive_levels")(lambda m: contour.adaptive_levels(m, zr(m), HEIGHT).select("mesh_id", F.posexplode("levels").alias("layer", "level")))
+query("adaptive_levels", """select mesh_id, layer, round(lv, 6) as level from alv union all select mesh_id, layer + 1, 1.0 from (select mesh_id, max(layer) as layer, max(lv) as lv from alv group by all) where lv < 1 - 1e-12""")(
+    lambda m: r6(levels.adaptive_levels(m, zr(m), HEIGHT).select("mesh_id", F.posexplode("levels").alias("layer", "level")), "level"))
+query("contour_breakpoints", """select mesh_id, round(value, 9) as value, count(*) filter (not last) as n_on, count(*) filter (last) as n_off from (
+  select mesh_id, f0 as value, false as last from lp union all select mesh_id, f2, true from lp) group by all""")(lambda m: _breakpoints(m))
+def _breakpoints(m: Mesh) -> DataFrame:
+    """Where segments of faces begin and end; what a face's middle corner changes adds up to none."""
+    faces = fields.corners(m, zr(m)).select("mesh_id", "pa", "pb", "pc", F.lit(1.0).alias("g"))
+    b = levels.breakpoints(faces, 1e-6).where("n <> 0").withColumn("value", F.round("value", 9))
+    on, off = (F.sum(F.when(F.col("after") == k, F.abs("n")).otherwise(0)) for k in (0, 1))
+    return b.groupBy("mesh_id", "value").agg(on.alias("n_on"), off.alias("n_off"))
+
+
 SLICE = "struct<meta:struct<slice_count:bigint,mesh:struct<vertex_count:bigint,face_count:bigint>>,slices:array<struct<layer_number:int,component_count:int,total_length:double,components:array<struct<length:double>>>>>"
 gentle("slices_json", """select mesh_id, count(*) over (partition by mesh_id) as slice_count, n_vertices, n_faces, cast(row_number() over (partition by mesh_id order by level) - 1 as int) as layer_number,
   cast(component_count as int) as component_count, round(total_length, 6) as total_length, round(longest, 6) as longest from slice_

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from talweg.functions import config as cfg
 from talweg.functions.session import written
 from talweg.operators import contour, critical, export, fields, geodesic, topology
+from talweg.operators.levels import adaptive_levels
 from talweg.sources.tubes import Mesh
 
 Field = Callable[["Engine"], DataFrame]
@@ -102,7 +103,7 @@ class Engine:
         tol = cfg.to_float(iso["edge_tol"], 1e-6)
         value = written(METHODS[key](self), "field")
         r = fields.normalized(value)
-        levels = contour.adaptive_levels(self.mesh, r, height, cfg.to_float(iso["controller_blend"], 0.5), clip, cfg.to_int(iso["max_levels"], 100_000), cfg.to_bool(iso["include_end"], True), tol)
+        levels = adaptive_levels(self.mesh, r, height, cfg.to_float(iso["controller_blend"], 0.5), clip, cfg.to_int(iso["max_levels"], 100_000), cfg.to_bool(iso["include_end"], True), tol)
         segs = contour.segments(self.mesh, r, levels, tol)
         parts = written(contour.components(segs, contour.orientation_hints(self.mesh, r), max(2, cfg.to_int(iso["min_component_points"], 3)), cfg.to_int(iso["dedupe_decimals"], 6)), "parts")
         slices = contour.slices(parts, cfg.to_int(iso["samples"], 200), cfg.to_bool(iso["periodic"], True))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talweg.functions import config as cfg
-from talweg.operators import contour, critical, export, fields, geodesic, topology, vizprep
+from talweg.operators import contour, critical, export, fields, geodesic, levels, topology, vizprep
 from talweg.plans import catalog
 from talweg.plans.methods import METHODS, Engine
 from talweg.sources import meshfile
@@ -99,8 +99,44 @@ def test_flat_tube_contours_are_squares(spark):
     assert round(contour.level_sums(segs).first()["len_sum"], 6) == 20
     parts = contour.components(segs, contour.orientation_hints(m, r)).collect()
     assert len(parts) == 1 and parts[0]["is_closed"] and round(parts[0]["curve_length"], 6) == 20
-    levels = contour.adaptive_levels(m, r, 1.0).first()["levels"]
-    assert levels[0] == 0 and levels[-1] == 1 and all(b > a for a, b in zip(levels, levels[1:], strict=False))
+    found = levels.adaptive_levels(m, r, 1.0).first()["levels"]
+    assert found[0] == 0 and found[-1] == 1 and all(b > a for a, b in zip(found, found[1:], strict=False))
+
+
+def levels_by_hand(m, r, height, blend):
+    """The recurrence of each mesh with the contour cut anew at each level."""
+    out = {}
+    every = contour.segments
+    for row in fields.layer_intervals(g := fields.effective_gradient(fields.face_gradients(m, r)), height).join(g, "mesh_id").collect():
+        one = Mesh(m.vertices.where(f"mesh_id = {row['mesh_id']}"), m.faces.where(f"mesh_id = {row['mesh_id']}"))
+        at, got = 0.0, [0.0]
+        for done in range(row["n_intervals"] - 1):
+            s = contour.level_sums(every(one, r, [at])).first()
+            mean = s["wgrad_sum"] / s["len_sum"] if s and s["len_sum"] > 0 and s["wgrad_sum"] > 0 else row["g_eff"]
+            rest = 1 - at
+            at += min(min(max((1 - blend) * rest / (row["n_intervals"] - done) + blend * row["h_mod"] * mean, 1e-4), 0.2), rest)
+            got.append(at)
+        out[row["mesh_id"]] = [*got, 1.0] if at < 1 - 1e-12 else got
+    return out
+
+
+@pytest.mark.parametrize("cell", [500_000, 40])
+def test_levels_equal_the_recurrence_over_contours(spark, cell):
+    """However many ranges of breakpoints a mesh is walked in."""
+    m = tubes(spark, SF)
+    r = fields.normalized(fields.coordinate(m))
+    got = {x["mesh_id"]: x["levels"] for x in levels.adaptive_levels(m, r, 2.0, 0.7, cell=cell).collect()}
+    want = levels_by_hand(m, r, 2.0, 0.7)
+    assert got.keys() == want.keys() and all(len(got[k]) == len(want[k]) and np.allclose(got[k], want[k], atol=1e-9) for k in want)
+
+
+def test_levels_of_level_and_unreached_faces(spark):
+    m = mesh(spark, [(0, 0, 0), (1, 0, 0), (0, 1, 0), (5, 5, 5)], [(0, 1, 2), (0, 1, 3)])
+    flat = m.vertices.select("mesh_id", "vid", F.lit(0.0).alias("r"))
+    found = levels.adaptive_levels(m, flat, 0.5).first()["levels"]
+    assert found[0] == 0 and found[-1] == 1
+    odd = m.vertices.select("mesh_id", "vid", F.when(F.col("vid") == 3, float("nan")).otherwise(F.col("x")).alias("r"))
+    assert levels.adaptive_levels(m, odd, 0.5).first()["levels"][-1] == 1
 
 
 def test_curves():
