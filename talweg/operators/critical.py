@@ -45,10 +45,7 @@ def pair_gaps(ring: Column) -> Column:
 
 def adaptive_eps(faces: DataFrame, field: DataFrame, least: float = 1e-12) -> DataFrame:
     """Tolerance of each vertex: a tenth of a low pair gap of its ring or a hundredth of the ring's range, the smaller, but ``least`` at least."""
-    v = ring_values(faces, field).withColumn("gaps", pair_gaps(F.col("ring")))
-    low = F.get("gaps", F.floor(0.1 * (F.size("gaps") - 1)).cast("int"))
-    own = F.greatest(F.lit(least), F.least(0.1 * low, 0.01 * (F.array_max("ring") - F.array_min("ring"))))
-    return v.select("mesh_id", "vid", F.when(F.size("ring") < 2, least).otherwise(own).alias("eps"))
+    return ring_values(faces, field).select("mesh_id", "vid", ring_tolerance(F.col("ring"), least).alias("eps"))
 
 
 def saliency(faces: DataFrame, field: DataFrame) -> DataFrame:
@@ -58,23 +55,6 @@ def saliency(faces: DataFrame, field: DataFrame) -> DataFrame:
     return v.select("mesh_id", "vid", mid.alias("saliency"))
 
 
-def link_sign_changes(faces: DataFrame, field: DataFrame, eps: float = 1e-12) -> DataFrame:
-    """Sign changes round each inner vertex without near-equal neighbours: link edges whose ends lie on different sides. No ring order is needed."""
-    r = {k: field.select("mesh_id", F.col("vid").alias(k), F.col("r").alias(f"r{k}")) for k in "vuw"}
-    j = links(faces)
-    for k in "vuw":
-        j = j.join(r[k], ["mesh_id", k])
-    du, dw = F.col("rv") - F.col("ru"), F.col("rv") - F.col("rw")
-    seen = j.groupBy("mesh_id", F.col("v").alias("vid")).agg(
-        F.sum(((du > 0) != (dw > 0)).cast("int")).alias("changes"),
-        F.bool_or((F.abs(du) <= eps) | (F.abs(dw) <= eps)).alias("tied"),
-        F.max(F.when(du > 0, 1).otherwise(0)).alias("above"),
-    )
-    inner = seen.where("not tied").join(boundary_vertices(faces), ["mesh_id", "vid"], "left_anti")
-    kind = F.when((F.col("changes") == 0) & (F.col("above") == 1), "maximum").when(F.col("changes") == 0, "minimum").when(F.col("changes") >= 4, "saddle").otherwise("regular")
-    return inner.select("mesh_id", "vid", F.col("changes").cast("int").alias("changes"), kind.alias("critical_type"))
-
-
 def ring_order(pairs: list[tuple[int, int]]) -> list[int] | None:
     """Neighbours along the link, from its smallest end (or smallest of a cycle); None if the link isn't one path or cycle."""
     beside: dict[int, set[int]] = {}
@@ -123,6 +103,7 @@ def angle_order(center: np.ndarray, places: dict[int, np.ndarray], pairs: list[t
     return sorted(ids, key=lambda u: (math.atan2((places[u] - center) @ b, (places[u] - center) @ t), u))
 
 
+#: Fixed values of the confidence: 1e-10 beside a mean, 0.5 for one-sided rings, 0.1 a change off four, 0.7 for rings in parts.
 def confidence_of(d: np.ndarray, changes: int, eps: float, whole: bool) -> float:
     """Strength of the differences times how well they fit the kind, scaled into [0, 1]."""
     size = np.abs(d)
@@ -181,11 +162,67 @@ def _classify(batches, eps: float, adaptive: bool, odd_saddles: bool):
         yield pd.DataFrame({"mesh_id": pdf["mesh_id"], "vid": pdf["vid"], "critical_type": kinds, "changes": counts, "confidence": scores})
 
 
+def settled(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` and new columns that are computed once: filters on them are not pushed below, where they'd repeat their expressions."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def ring_tolerance(ring: Column, least: float) -> Column:
+    """A tenth of a low pair gap of the ring's values or a hundredth of their range, the smaller, but ``least`` at least."""
+    gaps = pair_gaps(ring)
+    low = F.get(gaps, F.floor(0.1 * (F.size(gaps) - 1)).cast("int"))
+    return F.when(F.size(ring) < 2, least).otherwise(F.greatest(F.lit(least), F.least(0.1 * low, 0.01 * (F.array_max(ring) - F.array_min(ring)))))
+
+
+def link_order(around: str, ring: str) -> Column:
+    """Neighbours along the link of ``around`` (structs with ``u, w``), from its smallest end, or smallest of a cycle; shorter than ``ring`` (all of them) if the link isn't one path or cycle.
+
+    A fold over the array of pairs: from where it stands, it steps to the least neighbour not yet met.
+    """
+    pairs = F.col(around)
+    beside = lambda at: F.array_union(F.transform(F.filter(pairs, lambda x: x["u"] == at), lambda x: x["w"]), F.transform(F.filter(pairs, lambda x: x["w"] == at), lambda x: x["u"]))
+    ends = F.filter(ring, lambda n: F.size(beside(n)) == 1)
+    first = F.coalesce(F.array_min(ends), F.array_min(ring))
+
+    def step(path: Column, _: Column) -> Column:
+        to = F.array_min(F.array_except(beside(F.element_at(path, -1)), path))
+        return F.when(to.isNull(), path).otherwise(F.array_append(path, to))
+
+    return F.aggregate(F.slice(ring, 2, F.size(ring)), F.array(first), step)
+
+
+def mean_of(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
+
+
+def median_of(values: Column) -> Column:
+    sorted_, n = F.array_sort(values), F.size(values)
+    return (F.get(sorted_, F.floor((n - 1) / 2).cast("int")) + F.get(sorted_, F.floor(n / 2).cast("int"))) / 2
+
+
+def ring_confidence(d: str, changes: str, eps: str) -> Column:
+    """As ``confidence_of``, for a whole ring's differences."""
+    size = F.transform(d, lambda x: F.abs(x))
+    strong = F.filter(size, lambda x: x > F.col(eps))
+    signal, mean = median_of(strong), mean_of(F.col(d))
+    spread = F.sqrt(mean_of(F.transform(d, lambda x: (x - mean) * (x - mean))))
+    up, down = F.size(F.filter(d, lambda x: x > F.col(eps))), F.size(F.filter(d, lambda x: x < -F.col(eps)))
+    c = F.col(changes)
+    fit = (
+        F.when(c == 0, F.greatest(F.lit(0.0), 1 - spread / (mean_of(size) + 1e-10)))
+        .when(c == 2, F.when((up > 0) & (down > 0), F.least(up, down) / F.greatest(up, down)).otherwise(0.5))
+        .when(c % 2 == 0, 1 / (1 + F.abs(c - 4) * 0.1)).otherwise(0.0)
+    )
+    return F.when(F.coalesce(signal, F.lit(0.0)) <= 0, 0.0).otherwise(F.least(F.greatest(signal * fit / (signal + 1), F.lit(0.0)), F.lit(1.0)))
+
+
 def critical_points(mesh: Mesh, field: DataFrame, eps: float = 1e-12, adaptive: bool = True, odd_saddles: bool = False) -> DataFrame:
     """``mesh_id, vid, critical_type, changes, confidence`` of every vertex (columns of ``field``: r).
 
     Vertices are judged one by one from their own ring, so a mesh of any size is spread over tasks.
-    Boundary vertices, rings under three and vertices without faces are regular.
+    Boundary vertices, rings under three and vertices without faces are regular. Differences to neighbours within the
+    tolerance are passed over and changes of sign counted round the ring. All of it is array
+    functions, but for rings whose link isn't one path or cycle: these are taken by angle, in Python.
     """
     v = mesh.vertices.join(field, ["mesh_id", "vid"]).select("mesh_id", "vid", F.struct("x", "y", "z", "r").alias("p"))
     j = links(mesh.faces)
@@ -193,10 +230,23 @@ def critical_points(mesh: Mesh, field: DataFrame, eps: float = 1e-12, adaptive:
         j = j.join(v.select("mesh_id", F.col("vid").alias(k), F.col("p").alias(f"p{k}")), ["mesh_id", k])
     around = j.groupBy("mesh_id", F.col("v").alias("vid")).agg(F.collect_list(F.struct("u", "w", "pu", "pw")).alias("around"))
     border = boundary_vertices(mesh.faces).select("mesh_id", "vid", F.lit(True).alias("border"))
-    rows = around.join(v, ["mesh_id", "vid"]).join(border, ["mesh_id", "vid"], "left").select("mesh_id", "vid", F.col("p").alias("at"), F.coalesce("border", F.lit(False)).alias("border"), "around")
-    judged = rows.mapInPandas(partial(_classify, eps=eps, adaptive=adaptive, odd_saddles=odd_saddles), "mesh_id int, vid int, critical_type string, changes int, confidence double")
-    lone = mesh.vertices.select("mesh_id", "vid").join(around.select("mesh_id", "vid"), ["mesh_id", "vid"], "left_anti")
-    return judged.unionByName(lone.select("mesh_id", "vid", F.lit("regular").alias("critical_type"), F.lit(0).alias("changes"), F.lit(0.0).alias("confidence")))
+    rows = mesh.vertices.select("mesh_id", "vid").join(around, ["mesh_id", "vid"], "left").join(v, ["mesh_id", "vid"], "left").join(border, ["mesh_id", "vid"], "left")
+    value = F.map_from_entries(F.array_distinct(F.flatten(F.transform("around", lambda x: F.array(F.struct(x["u"].alias("key"), x["pu"]["r"].alias("value")), F.struct(x["w"].alias("key"), x["pw"]["r"].alias("value")))))))
+    rows = rows.withColumn("value", value).withColumn("ring", F.array_sort(F.map_keys("value")))
+    rows = rows.withColumn("plain", F.coalesce("border", F.lit(False)) | F.col("ring").isNull() | (F.size("ring") < 3) | F.col("p").isNull())
+    inner = settled(rows.where("not plain"), ["mesh_id", "vid", "p", "around", "value", "ring"], order=link_order("around", "ring"))
+    by_angle = inner.where("size(order) < size(ring)").select("mesh_id", "vid", F.col("p").alias("at"), F.lit(False).alias("border"), "around")
+    whole = settled(inner.where("size(order) = size(ring)"), ["mesh_id", "vid"], r=F.col("p.r"), ring=F.transform("order", lambda n: F.col("value")[n]))
+    whole = settled(whole, ["mesh_id", "vid"], d=F.transform("ring", lambda x: F.col("r") - x), eps=ring_tolerance(F.col("ring"), eps) if adaptive else F.lit(eps))
+    whole = settled(whole, ["mesh_id", "vid", "d", "eps"], signs=F.transform(F.filter("d", lambda x: F.abs(x) > F.col("eps")), lambda x: x > 0))
+    changed = F.filter(F.transform("signs", lambda s, i: s != F.get("signs", F.when(i == 0, F.size("signs") - 1).otherwise(i - 1))), lambda c: c)
+    whole = settled(whole, ["mesh_id", "vid", "d", "eps", "signs"], changes=F.size(changed))
+    saddle = ((F.col("changes") >= 4) & (F.col("changes") % 2 == 0)) | (F.lit(odd_saddles) & (F.col("changes") > 2))
+    kind = F.when((F.col("changes") == 0) & (F.size("signs") > 0), F.when(F.get("signs", F.lit(0)), "maximum").otherwise("minimum")).when(saddle, "saddle").otherwise("regular")
+    judged = settled(whole, ["mesh_id", "vid", "changes", "d", "eps"], critical_type=kind).select("mesh_id", "vid", "critical_type", "changes", ring_confidence("d", "changes", "eps").alias("confidence"))
+    angled = by_angle.mapInPandas(partial(_classify, eps=eps, adaptive=adaptive, odd_saddles=odd_saddles), "mesh_id int, vid int, critical_type string, changes int, confidence double")
+    rest = rows.where("plain").select("mesh_id", "vid", F.lit("regular").alias("critical_type"), F.lit(0).alias("changes"), F.lit(0.0).alias("confidence"))
+    return judged.unionByName(angled).unionByName(rest)
 
 
 def morse_check(critical: DataFrame, chi: DataFrame) -> DataFrame:

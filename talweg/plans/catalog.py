@@ -70,11 +70,21 @@ BLOCKS = {
     "lk": "select mesh_id, fid, a as v, b as u, c as w from f union all select mesh_id, fid, b, c, a from f union all select mesh_id, fid, c, a, b from f",
     "ring": "select distinct mesh_id, v as vid, n from (select mesh_id, v, u as n from lk union all select mesh_id, v, w from lk)",
     "rv": "select ring.mesh_id, ring.vid, ring.n, r.r from ring join r on r.mesh_id = ring.mesh_id and r.vid = ring.n",
-    "sgn": """select lk.mesh_id, lk.v as vid, sum(cast((p.r - q.r > 0) <> (p.r - s.r > 0) as int)) as changes, max(cast(p.r - q.r > 0 as int)) as above,
-      bool_or(abs(p.r - q.r) <= 1e-12 or abs(p.r - s.r) <= 1e-12) as tied
-      from lk join r p on p.mesh_id = lk.mesh_id and p.vid = lk.v join r q on q.mesh_id = lk.mesh_id and q.vid = lk.u join r s on s.mesh_id = lk.mesh_id and s.vid = lk.w group by all""",
-    "crit": """select mesh_id, vid, cast(changes as int) as changes, case when changes = 0 and above = 1 then 'maximum' when changes = 0 then 'minimum' when changes >= 4 then 'saddle' else 'regular' end as critical_type
-      from sgn where not tied and not exists (select 1 from bv where bv.mesh_id = sgn.mesh_id and bv.vid = sgn.vid)""",
+    "rd": "select rv.mesh_id, rv.vid, rv.n, p.r - rv.r as d from rv join r p on p.mesh_id = rv.mesh_id and p.vid = rv.vid",
+    "aeps": """select mesh_id, vid, greatest(1e-12, least(cast(0.1 as double) * gaps[1 + cast(floor(cast(0.1 as double) * (len(gaps) - 1)) as int)], cast(0.01 as double) * (hi - lo))) as eps from
+      (select p.mesh_id, p.vid, list(abs(p.r - q.r) order by abs(p.r - q.r)) as gaps, greatest(max(p.r), max(q.r)) as hi, least(min(p.r), min(q.r)) as lo from rv p join rv q on p.mesh_id = q.mesh_id and p.vid = q.vid and p.n < q.n group by all)""",
+    "rw": """select mesh_id, v as vid, min(u) as start, min(u) as cur, 0 as pos from lk group by all union all
+      select rw.mesh_id, rw.vid, start, lk.w as cur, pos + 1 as pos from rw join lk on lk.mesh_id = rw.mesh_id and lk.v = rw.vid and lk.u = rw.cur where lk.w <> start""",
+    "crit": """select v.mesh_id, v.vid, cast(coalesce(changes, 0) as int) as changes, case when bv.vid is not null or above is null then 'regular' when changes = 0 and above then 'maximum' when changes = 0 then 'minimum' when changes >= 4 then 'saddle' else 'regular' end as critical_type
+      from v left join bv on bv.mesh_id = v.mesh_id and bv.vid = v.vid left join (select mesh_id, vid, sum(cast(s <> prev as int)) as changes, bool_or(s) as above from (select mesh_id, vid, s,
+        coalesce(lag(s) over (partition by mesh_id, vid order by pos), last_value(s) over (partition by mesh_id, vid order by pos rows between unbounded preceding and unbounded following)) as prev
+        from (select rd.mesh_id, rd.vid, pos, d > 0 as s from rw join rd on rd.mesh_id = rw.mesh_id and rd.vid = rw.vid and rd.n = rw.cur join aeps on aeps.mesh_id = rd.mesh_id and aeps.vid = rd.vid where abs(d) > eps
+          and not exists (select 1 from bv b where b.mesh_id = rd.mesh_id and b.vid = rd.vid))) group by all) c on c.mesh_id = v.mesh_id and c.vid = v.vid""",
+    "critf": """select v.mesh_id, v.vid, cast(coalesce(changes, 0) as int) as changes, case when bv.vid is not null or above is null then 'regular' when changes = 0 and above then 'maximum' when changes = 0 then 'minimum' when changes >= 4 then 'saddle' else 'regular' end as critical_type
+      from v left join bv on bv.mesh_id = v.mesh_id and bv.vid = v.vid left join (select mesh_id, vid, sum(cast(s <> prev as int)) as changes, bool_or(s) as above from (select mesh_id, vid, s,
+        coalesce(lag(s) over (partition by mesh_id, vid order by pos), last_value(s) over (partition by mesh_id, vid order by pos rows between unbounded preceding and unbounded following)) as prev
+        from (select rd.mesh_id, rd.vid, pos, d > 0 as s from rw join rd on rd.mesh_id = rw.mesh_id and rd.vid = rw.vid and rd.n = rw.cur join aeps on aeps.mesh_id = rd.mesh_id and aeps.vid = rd.vid where abs(d) > 1e-12
+          and not exists (select 1 from bv b where b.mesh_id = rd.mesh_id and b.vid = rd.vid))) group by all) c on c.mesh_id = v.mesh_id and c.vid = v.vid""",
     "dl": """select mesh_id, vid, cast(0 as double) as d from sv where boundary_side = 'lower' union
       (select dl.mesh_id, t as vid, min(dl.d + weight) as d from dl join sym on sym.mesh_id = dl.mesh_id and s = dl.vid
         left join recurring.dl o on o.mesh_id = sym.mesh_id and o.vid = t where o.d is null or dl.d + weight < o.d group by all)""",
@@ -134,7 +144,7 @@ KEYED = {"part_of": "part_of(mesh_id, vid, label) using key (mesh_id, vid)",
     "comp": "comp(mesh_id, layer, fid, root) using key (mesh_id, layer, fid)", "ds": "ds(mesh_id, vid, d) using key (mesh_id, vid)", "dl": "dl(mesh_id, vid, d) using key (mesh_id, vid)", "du": "du(mesh_id, vid, d) using key (mesh_id, vid)", "dn": "dn(mesh_id, boundary_number, vid, d) using key (mesh_id, boundary_number, vid)"}
 
 #: Blocks that a recursion reads again and again.
-MADE_ONCE = {"v", "fv", "fg", "lp", "rv", "el"}
+MADE_ONCE = {"v", "fv", "fg", "lp", "rv", "el", "rd", "crit", "critf", "bv", "hit", "seg", "vr"}
 
 
 def sql(text: str) -> str:
@@ -234,30 +244,28 @@ query("layer_numbers", "select mesh_id, layer, level, cast(row_number() over (pa
 query("endpoint_buckets", """select mesh_id, layer, x, y, z, count(*) as n_ends from (select mesh_id, layer, round_even(x0, 6) + 0.0 as x, round_even(y0, 6) + 0.0 as y, round_even(z0, 6) + 0.0 as z from seg
   union all select mesh_id, layer, round_even(x1, 6) + 0.0, round_even(y1, 6) + 0.0, round_even(z1, 6) + 0.0 from seg) group by all""")(lambda m: contour.endpoint_buckets(contour.segments(m, zr(m), LEVELS)).withColumns({c: F.col(c) + F.lit(0.0) for c in "xyz"}))
 query("one_ring", "select mesh_id, vid, count(*) as degree, string_agg(cast(n as varchar), ',' order by n) as ring from ring group by all")(lambda m: critical.one_rings(m.faces).select("mesh_id", "vid", F.size("ring").cast("long").alias("degree"), F.array_join(F.col("ring").cast("array<string>"), ",").alias("ring")))
-query("link_sign_changes", "select mesh_id, vid, changes, critical_type from crit")(lambda m: critical.link_sign_changes(m.faces, zr(m)))
-query("critical_planar", "select mesh_id, critical_type, count(*) as n from crit group by all")(lambda m: critical.link_sign_changes(m.faces, zr(m)).groupBy("mesh_id", "critical_type").agg(F.count("*").alias("n")))
-query("critical_planar_all")(lambda m: critical.critical_points(m, zr(m)).groupBy("mesh_id", "critical_type").agg(F.count("*").alias("n")))
-query("critical_points")(lambda m: r6(critical.critical_points(m, zr(m)), "confidence"))
-query("critical_points_untied", "select mesh_id, vid, changes, critical_type from crit")(
-    lambda m: critical.critical_points(m, zr(m), 1e-12, adaptive=False).join(critical.link_sign_changes(m.faces, zr(m)).select("mesh_id", "vid"), ["mesh_id", "vid"], "left_semi").select("mesh_id", "vid", "changes", "critical_type"))
-query("annotated_untied", """select mesh_id, vid, cast(case critical_type when 'minimum' then 0 when 'saddle' then 1 when 'maximum' then 2 else -1 end as int) as morse_index, critical_type from crit""")(
-    lambda m: critical.annotated(critical.link_sign_changes(m.faces, zr(m)).withColumn("confidence", F.lit(1.0))).drop("critical_confidence"))
-query("persistent_untied", """select mesh_id, vid, case when gap < cast(0.01 as double) then 'regular' else critical_type end as critical_type from crit left join (select mesh_id, vid,
+query("link_sign_changes", "select mesh_id, vid, changes, critical_type from critf")(lambda m: critical.critical_points(m, zr(m), 1e-12, adaptive=False).select("mesh_id", "vid", "changes", "critical_type"))
+query("critical_planar", "select mesh_id, critical_type, count(*) as n from crit group by all")(lambda m: critical.critical_points(m, zr(m)).groupBy("mesh_id", "critical_type").agg(F.count("*").alias("n")))
+query("critical_points", """select mesh_id, vid, changes, critical_type, round(case when signal is null or changes is null then 0 else least(greatest(signal * case when changes = 0 then greatest(0, 1 - spread / (mean + 1e-10))
+    when changes = 2 then case when up > 0 and down > 0 then cast(least(up, down) as double) / greatest(up, down) else 0.5 end else 1 / (1 + abs(changes - 4) * cast(0.1 as double)) end / (signal + 1), 0), 1) end, 6) as confidence
+  from crit left join (select rd.mesh_id, rd.vid, median(abs(d)) filter (abs(d) > eps) as signal, avg(abs(d)) as mean, stddev_pop(d) as spread, count(*) filter (d > eps) as up, count(*) filter (d < -eps) as down
+    from rd join aeps using (mesh_id, vid) where not exists (select 1 from bv where bv.mesh_id = rd.mesh_id and bv.vid = rd.vid) group by all) using (mesh_id, vid)""")(lambda m: r6(critical.critical_points(m, zr(m)), "confidence"))
+query("annotated", "select mesh_id, vid, cast(case critical_type when 'minimum' then 0 when 'saddle' then 1 when 'maximum' then 2 else -1 end as int) as morse_index, critical_type from crit")(
+    lambda m: critical.annotated(critical.critical_points(m, zr(m))).drop("critical_confidence"))
+query("persistent", """select mesh_id, vid, case when gap < cast(0.01 as double) then 'regular' else critical_type end as critical_type from crit left join (select mesh_id, vid,
   least(coalesce(r - lag(r) over w, cast('inf' as double)), coalesce(lead(r) over w - r, cast('inf' as double))) as gap from crit join r using (mesh_id, vid) where critical_type <> 'regular' window w as (partition by mesh_id order by r, vid)) using (mesh_id, vid)""")(
-    lambda m: critical.persistent(critical.link_sign_changes(m.faces, zr(m)).withColumn("confidence", F.lit(1.0)), zr(m), 0.01).select("mesh_id", "vid", "critical_type"))
-query("morse_check_untied", """select mesh_id, cast(mi as bigint) as n_minimum, cast(sa as bigint) as n_saddle, cast(ma as bigint) as n_maximum, chi, ma - sa + mi as morse, abs(ma - sa + mi - chi) <= 2 as valid from
+    lambda m: critical.persistent(written(critical.critical_points(m, zr(m)), "critical"), zr(m), 0.01).select("mesh_id", "vid", "critical_type"))
+query("morse_check", """select mesh_id, cast(mi as bigint) as n_minimum, cast(sa as bigint) as n_saddle, cast(ma as bigint) as n_maximum, chi, ma - sa + mi as morse, abs(ma - sa + mi - chi) <= 2 as valid from
   (select mesh_id, count(*) filter (critical_type = 'minimum') as mi, count(*) filter (critical_type = 'saddle') as sa, count(*) filter (critical_type = 'maximum') as ma from crit group by all)
   join (select mesh_id, n_vertices - n_edges + n_faces as chi from (select mesh_id, count(*) as n_vertices from v group by all)
   join (select mesh_id, count(*) as n_edges from e group by all) using (mesh_id) join (select mesh_id, count(*) as n_faces from f group by all) using (mesh_id)) using (mesh_id)""")(
-    lambda m: critical.morse_check(critical.link_sign_changes(m.faces, zr(m)), topology.euler(m)))
-query("morse_check")(lambda m: critical.morse_check(critical.critical_points(m, zr(m)), topology.euler(m)))
+    lambda m: critical.morse_check(critical.critical_points(m, zr(m)), topology.euler(m)))
 query("adaptive_eps", """select mesh_id, vid, round(greatest(1e-12, least(cast(0.1 as double) * gaps[1 + cast(floor(cast(0.1 as double) * (len(gaps) - 1)) as int)], cast(0.01 as double) * (hi - lo))), 9) as eps from
   (select p.mesh_id, p.vid, list(abs(p.r - q.r) order by abs(p.r - q.r)) as gaps, greatest(max(p.r), max(q.r)) as hi, least(min(p.r), min(q.r)) as lo from rv p join rv q on p.mesh_id = q.mesh_id and p.vid = q.vid and p.n < q.n group by all)""")(
     lambda m: critical.adaptive_eps(m.faces, zr(m)).withColumn("eps", F.round("eps", 9)))
 query("local_saliency", "select rv.mesh_id, rv.vid, round(median(abs(p.r - rv.r)), 6) as saliency from rv join r p on p.mesh_id = rv.mesh_id and p.vid = rv.vid group by all")(lambda m: r6(critical.saliency(m.faces, zr(m)), "saliency"))
 query("value_gaps", """select mesh_id, vid, critical_type, round(least(coalesce(r - lag(r) over w, cast('inf' as double)), coalesce(lead(r) over w - r, cast('inf' as double))), 6) as value_gap
-  from crit join r using (mesh_id, vid) where critical_type <> 'regular' window w as (partition by mesh_id order by r, vid)""")(lambda m: r6(critical.value_gaps(critical.link_sign_changes(m.faces, zr(m)), zr(m)), "value_gap"))
-query("value_gaps_all")(lambda m: r6(critical.value_gaps(critical.critical_points(m, zr(m)), zr(m)), "value_gap"))
+  from crit join r using (mesh_id, vid) where critical_type <> 'regular' window w as (partition by mesh_id order by r, vid)""")(lambda m: r6(critical.value_gaps(critical.critical_points(m, zr(m)), zr(m)), "value_gap"))
 query("laplacian_smooth", """select mesh_id, vid, round(case when bv.vid is not null or mean is null then z else cast(0.5 as double) * z + cast(0.5 as double) * mean end, 6) as value from v
   left join (select mesh_id, s as vid, avg(z) as mean from sym join v on v.mesh_id = sym.mesh_id and v.vid = t group by all) a using (mesh_id, vid) left join bv using (mesh_id, vid)""".replace("select mesh_id, s as vid", "select sym.mesh_id, s as vid"))(
     lambda m: r6(fields.smoothed(fields.coordinate(m), topology.both_ways(topology.weighted_edges(m)), topology.boundary_vertices(m.faces), iterations=1), "value"))
@@ -277,10 +285,6 @@ query("between_field", "select mesh_id, vid, round(dl.d / (dl.d + du.d + 2.22044
 query("geodesic_to_vertex", "select mesh_id, cast(0 as int) as source, vid, round(d, 6) as d from dv")(lambda m: r6(geodesic.distances(m.vertices, _arcs(m), m.vertices.where("vid in (0, 105)").select("mesh_id", F.lit(0).alias("source"), "vid")), "d"))
 
 
-def _untied_saddles(m: Mesh) -> DataFrame:
-    return critical.link_sign_changes(m.faces, zr(m)).where("critical_type = 'saddle'")
-
-
 def _saddles(m: Mesh) -> DataFrame:
     return critical.critical_points(m, zr(m)).where("critical_type = 'saddle'")
 
@@ -289,11 +293,8 @@ def _radius(m: Mesh, saddles: DataFrame) -> DataFrame:
     return critical.saddle_radii(m, topology.side_vertices(m), saddles.select("mesh_id", "vid"))
 
 
-#: Queries with SQL take the saddles that SQL can tell, at vertices without near-equal neighbours; those named _all take all saddles.
-query("saddle_radius", """select mesh_id, vid, round(least(dl.d, du.d), 6) as radius from crit join dl using (mesh_id, vid) join du using (mesh_id, vid) where critical_type = 'saddle'""")(lambda m: r6(_radius(m, _untied_saddles(m)), "radius"))
-query("saddle_radius_all")(lambda m: r6(_radius(m, _saddles(m)), "radius"))
-query("distance_to_saddles", "select mesh_id, vid, round(d, 6) as value from ds")(lambda m: r6(geodesic.to_side(m.vertices, _arcs(m), _untied_saddles(m).select("mesh_id", "vid")), "value"))
-query("distance_to_saddles_all")(lambda m: r6(geodesic.to_side(m.vertices, _arcs(m), _saddles(m).select("mesh_id", "vid")), "value"))
+query("saddle_radius", """select mesh_id, vid, round(least(dl.d, du.d), 6) as radius from crit join dl using (mesh_id, vid) join du using (mesh_id, vid) where critical_type = 'saddle'""")(lambda m: r6(_radius(m, _saddles(m)), "radius"))
+query("distance_to_saddles", "select mesh_id, vid, round(d, 6) as value from ds")(lambda m: r6(geodesic.to_side(m.vertices, _arcs(m), _saddles(m).select("mesh_id", "vid")), "value"))
 query("nearest_nodes", """select mesh_id, pid, vid, round(sqrt(d2), 6) as distance from (select p.mesh_id, p.vid as pid, v.vid, (v.x - p.x - cast(0.3 as double)) * (v.x - p.x - cast(0.3 as double)) + (v.y - p.y + cast(0.2 as double)) * (v.y - p.y + cast(0.2 as double)) + (v.z - p.z - cast(0.1 as double)) * (v.z - p.z - cast(0.1 as double)) as d2,
   row_number() over (partition by p.mesh_id, p.vid order by (v.x - p.x - cast(0.3 as double)) * (v.x - p.x - cast(0.3 as double)) + (v.y - p.y + cast(0.2 as double)) * (v.y - p.y + cast(0.2 as double)) + (v.z - p.z - cast(0.1 as double)) * (v.z - p.z - cast(0.1 as double)), v.vid) as k
   from v p join v on v.mesh_id = p.mesh_id where p.vid % 50 = 7) where k = 1""")(
@@ -307,10 +308,10 @@ def _nearest(m: Mesh, of: DataFrame) -> DataFrame:
 
 
 query("collection_length", "select mesh_id, count(distinct layer) as n_levels, round(sum(len), 6) as total_length from seg group by all")(lambda m: r6(contour.collection_length(contour.segments(m, zr(m), LEVELS)), "total_length"))
-query("saddle_clusters")(lambda m: critical.saddle_clusters(m, critical.critical_points(m, zr(m)).where("critical_type = 'saddle'").select("mesh_id", "vid", F.col("confidence").alias("score")), 1.8))
-query("saddle_clusters_untied", "select mesh_id, vid, kept from grp")(lambda m: critical.saddle_clusters(m, _untied_saddles(m).select("mesh_id", "vid", F.lit(0.0).alias("score")), 1.8))
-query("conforming_field_untied", "select mesh_id, vid, round(up / (up + lo + 1e-9), 6) as value from least_")(
-    lambda m: r6(critical.conforming_field(m, topology.side_vertices(m), _untied_saddles(m).select("mesh_id", "vid")), "value"))
+query("saddle_clusters_by_confidence")(lambda m: critical.saddle_clusters(m, critical.critical_points(m, zr(m)).where("critical_type = 'saddle'").select("mesh_id", "vid", F.col("confidence").alias("score")), 1.8))
+query("saddle_clusters", "select mesh_id, vid, kept from grp")(lambda m: critical.saddle_clusters(m, _saddles(m).select("mesh_id", "vid", F.lit(0.0).alias("score")), 1.8))
+query("conforming_field_of_saddles", "select mesh_id, vid, round(up / (up + lo + 1e-9), 6) as value from least_")(
+    lambda m: r6(critical.conforming_field(m, topology.side_vertices(m), _saddles(m).select("mesh_id", "vid")), "value"))
 query("multi_scale_saddles")(lambda m: critical.multi_scale_saddles(m, fields.coordinate(m), 3, 0.6, 1))
 query("conforming_field")(lambda m: r6(METHODS["conformal"](Engine(m)), "value"))
 query("nearest_vertex_to_centroid", """select mesh_id, boundary_number, vid, round(sqrt(d2), 6) as distance from (select meta.mesh_id, boundary_number, vid, d2, row_number() over (partition by meta.mesh_id, boundary_number order by round(d2, 9), vid) as k from
@@ -329,8 +330,7 @@ def _saddle_points(m: Mesh, saddles: DataFrame) -> DataFrame:
 
 query("saddle_histogram", """select mesh_id, layer, vid, count(*) as n, round(avg(sqrt(d2)), 6) as mean_distance from (select s.mesh_id, s.layer, s.fid, c.vid, (s.x0 - v.x) * (s.x0 - v.x) + (s.y0 - v.y) * (s.y0 - v.y) + (s.z0 - v.z) * (s.z0 - v.z) as d2,
     row_number() over (partition by s.mesh_id, s.layer, s.fid order by round((s.x0 - v.x) * (s.x0 - v.x) + (s.y0 - v.y) * (s.y0 - v.y) + (s.z0 - v.z) * (s.z0 - v.z), 9), c.vid) as k
-    from seg s join crit c on c.mesh_id = s.mesh_id and c.critical_type = 'saddle' join v on v.mesh_id = c.mesh_id and v.vid = c.vid) where k = 1 group by all""")(lambda m: r6(_histogram(m, _untied_saddles(m)), "mean_distance"))
-query("saddle_histogram_all")(lambda m: r6(_histogram(m, _saddles(m)), "mean_distance"))
+    from seg s join crit c on c.mesh_id = s.mesh_id and c.critical_type = 'saddle' join v on v.mesh_id = c.mesh_id and v.vid = c.vid) where k = 1 group by all""")(lambda m: r6(_histogram(m, _saddles(m)), "mean_distance"))
 
 
 def _histogram(m: Mesh, saddles: DataFrame) -> DataFrame:
@@ -417,7 +417,7 @@ _hue = ", ".join(f"cast(floor(least(greatest({reduce(lambda s, c: f'({s}) * t +
 query("colored_vertices", f"select mesh_id, vid, {_hue}, cast(255 as int) as alpha from (select mesh_id, vid, {_t} from v join zr using (mesh_id)) t")(lambda m: vizprep.colored(fields.coordinate(m)))
 for _side, _block in (("lower", "dl"), ("upper", "du")):
     query(f"{_side}_view", f"select mesh_id, vid, x, y, round(z, 6) as z, round(d, 6) as value from v join {_block} using (mesh_id, vid)")(lambda m, s=_side: r6(vizprep.side_view(m, _arcs(m), topology.side_vertices(m), s), "z", "value"))
-query("saddles_view_untied", "select mesh_id, vid, x, y, round(z, 6) as z, round(d, 6) as value from v join ds using (mesh_id, vid)")(lambda m: r6(vizprep.saddles_view(m, _arcs(m), critical.link_sign_changes(m.faces, zr(m))), "z", "value"))
+query("saddles_view", "select mesh_id, vid, x, y, round(z, 6) as z, round(d, 6) as value from v join ds using (mesh_id, vid)")(lambda m: r6(vizprep.saddles_view(m, _arcs(m), critical.critical_points(m, zr(m))), "z", "value"))
 query("scaled_field", "select mesh_id, vid, round(case when hi - lo < 1e-12 then 0 else (z - lo) / (hi - lo) end, 6) as value from v join zr using (mesh_id)")(lambda m: r6(vizprep.scaled_field(fields.coordinate(m)), "value"))
 query("slice_lines")(lambda m: vizprep.slice_lines(_parts(m), contour.slices(_parts(m), 50)))
 for _name in sorted(METHODS):

@@ -68,12 +68,29 @@ def test_bow_tie_falls_back_to_angles(spark):
     assert critical.critical_points(m, m.vertices.select("mesh_id", "vid", F.col("x").alias("r"))).count() == 5
 
 
-def test_fast_and_exact_critical_points_agree(spark):
-    m = tubes(spark, SF)
-    r = fields.normalized(fields.coordinate(m))
-    fast = critical.link_sign_changes(m.faces, r).select("mesh_id", "vid", F.col("critical_type").alias("fast"))
-    both = fast.join(critical.critical_points(m, r), ["mesh_id", "vid"])
-    assert both.count() > 100 and both.where("fast <> critical_type").count() == 0
+@pytest.mark.parametrize("adaptive", [True, False])
+def test_critical_points_equal_a_walk_round_each_ring(spark, adaptive):
+    """Array functions against the walk in Python, with tied neighbours, flat rings and a vertex of two fans."""
+    m = tubes(spark, SF, "isolated")
+    extra = mesh(spark, [(0, 0, 0), (1, 0, 0), (0, 1, 0), (-1, 0, 0), (0, -1, 0), (0, 0, 2), (1, 1, 1)], [(0, 1, 2), (0, 2, 3), (0, 3, 4), (0, 4, 1), (5, 1, 2), (5, 2, 3), (5, 3, 4), (5, 4, 1)])
+    for one in (m, extra):
+        r = fields.normalized(fields.coordinate(one))
+        got = {x["vid"]: (x["critical_type"], x["changes"], round(x["confidence"], 9)) for x in critical.critical_points(one, r, 1e-12, adaptive).collect()}
+        value = {x["vid"]: x["r"] for x in r.collect()}
+        around = {}
+        for f in one.faces.collect():
+            for v, u, w in ((f["a"], f["b"], f["c"]), (f["b"], f["c"], f["a"]), (f["c"], f["a"], f["b"])):
+                around.setdefault(v, []).append((u, w))
+        border = {x["vid"] for x in topology.boundary_vertices(one.faces).collect()}
+        for v in value:
+            want = ("regular", 0, 0.0)
+            if v in around and v not in border:
+                ring = np.array([value[u] for u in critical.ring_order(around[v])])
+                gaps = np.sort(np.abs(ring[:, None] - ring[None])[np.triu_indices(len(ring), 1)])
+                eps = max(1e-12, min(0.1 * gaps[int(0.1 * (len(gaps) - 1))], 0.01 * (ring.max() - ring.min()))) if adaptive else 1e-12
+                kind, changes = critical.classify_ring(value[v] - ring, eps)
+                want = (kind, changes, round(critical.confidence_of(value[v] - ring, changes, eps, True), 9))
+            assert got[v] == want
 
 
 def test_degenerate_and_constant_fields(spark):
@@ -220,9 +237,9 @@ def test_queries_of_all_critical_points(spark):
     at, faces, value, kinds, tied = judged(m)
     assert any(kinds[v] == "saddle" for v in tied)
     rows = lambda name: catalog.queries()[name](spark, SF).where("mesh_id = 0").collect()
-    assert {r["critical_type"]: r["n"] for r in rows("critical_planar_all")} == Counter(kinds.values())
+    assert {r["critical_type"]: r["n"] for r in rows("critical_planar")} == Counter(kinds.values())
     points = [v for v in at if kinds[v] != "regular"]
-    assert {r["vid"]: (r["critical_type"], r["value_gap"]) for r in rows("value_gaps_all")} == {v: (kinds[v], pytest.approx(min(abs(value[v] - value[u]) for u in points if u != v), abs=1e-6)) for v in points}
+    assert {r["vid"]: (r["critical_type"], r["value_gap"]) for r in rows("value_gaps")} == {v: (kinds[v], pytest.approx(min(abs(value[v] - value[u]) for u in points if u != v), abs=1e-6)) for v in points}
     d = np.full((200, 200), np.inf)
     np.fill_diagonal(d, 0)
     for f in faces:
@@ -231,13 +248,13 @@ def test_queries_of_all_critical_points(spark):
     for k in range(200):
         d = np.minimum(d, d[:, k : k + 1] + d[k])
     saddles = [v for v in at if kinds[v] == "saddle"]
-    assert {r["vid"]: r["value"] for r in rows("distance_to_saddles_all")} == {v: pytest.approx(d[v, saddles].min(), abs=1e-6) for v in at}
+    assert {r["vid"]: r["value"] for r in rows("distance_to_saddles")} == {v: pytest.approx(d[v, saddles].min(), abs=1e-6) for v in at}
     sides = [r["vid"] for r in topology.side_vertices(m).where("mesh_id = 0").collect()]
-    assert {r["vid"]: r["radius"] for r in rows("saddle_radius_all")} == {s: pytest.approx(d[s, sides].min(), abs=1e-6) for s in saddles}
+    assert {r["vid"]: r["radius"] for r in rows("saddle_radius")} == {s: pytest.approx(d[s, sides].min(), abs=1e-6) for s in saddles}
     want = Counter()
     for r in contour.segments(m, fields.normalized(fields.coordinate(m)), catalog.LEVELS).where("mesh_id = 0").collect():
         want[r["layer"], min(saddles, key=lambda s: (round(math.dist(at[s], tuple(r["p0"][c] for c in "xyz")) ** 2, 9), s))] += 1
-    assert {(r["layer"], r["vid"]): r["n"] for r in rows("saddle_histogram_all")} == want
+    assert {(r["layer"], r["vid"]): r["n"] for r in rows("saddle_histogram")} == want
 
 
 def test_nearest_nodes_of_all_vertices(spark):
