@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talweg.operators.fields import bounding_box, field_stats
+from talweg.operators.nearest import nearest
 from talweg.sources.tubes import Mesh
 
 
@@ -22,18 +23,17 @@ DIGITS = 9
 
 def nearest_saddles(parts: DataFrame, saddles: DataFrame) -> DataFrame:
     """``mesh_id, layer, component_id, vid, n, mean_distance``: per component, how many points lie nearest to each saddle (``mesh_id, ord, vid, x, y, z``), ties by order."""
-    p = parts.select("mesh_id", "layer", "component_id", F.posexplode("points").alias("pos", "p"))
-    j = p.join(saddles.select("mesh_id", "ord", "vid", F.struct("x", "y", "z").alias("s")), "mesh_id")
-    d2 = sum((F.col(f"p.{c}") - F.col(f"s.{c}")) * (F.col(f"p.{c}") - F.col(f"s.{c}")) for c in "xyz")
-    near = j.groupBy("mesh_id", "layer", "component_id", "pos").agg(F.min(F.struct(F.round(d2, DIGITS).alias("near"), "ord", "vid", d2.alias("d2"))).alias("b"))
-    return near.groupBy("mesh_id", "layer", "component_id", F.col("b.ord").alias("ord"), F.col("b.vid").alias("vid")).agg(F.count("*").alias("n"), F.avg(F.sqrt("b.d2")).alias("mean_distance"))
+    p = parts.select("mesh_id", "layer", "component_id", F.posexplode("points").alias("pos", "p")).select("mesh_id", "layer", "component_id", "pos", *(F.col(f"p.{c}").alias(f"p{c}") for c in "xyz"))
+    near = nearest(p, saddles.select("mesh_id", F.struct("ord", "vid").alias("site"), "x", "y", "z"), ["layer", "component_id", "pos"], DIGITS)
+    return near.groupBy("mesh_id", "layer", "component_id", F.col("site.ord").alias("ord"), F.col("site.vid").alias("vid")).agg(F.count("*").alias("n"), F.avg(F.sqrt("d2")).alias("mean_distance"))
 
 
 def nearest_vertex(points: DataFrame, mesh: Mesh, key: list[str]) -> DataFrame:
     """``points`` (``mesh_id``, the rest of ``key``, ``mx, my, mz``) with the nearest vertex: ``vid, distance``, ties by id."""
-    d2 = sum((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in "xyz")
-    near = points.join(mesh.vertices, "mesh_id").groupBy(*key).agg(F.min(F.struct(F.round(d2, DIGITS).alias("near"), "vid", d2.alias("d2"))).alias("b"))
-    return near.select(*key, F.col("b.vid").alias("vid"), F.sqrt("b.d2").alias("distance"))
+    own = [k for k in key if k != "mesh_id"]
+    asked = points.select(*key, *(F.col(f"m{c}").alias(f"p{c}") for c in "xyz"))
+    near = nearest(asked, mesh.vertices.select("mesh_id", F.col("vid").alias("site"), "x", "y", "z"), own, DIGITS)
+    return near.select(*key, F.col("site").alias("vid"), F.sqrt("d2").alias("distance"))
 
 
 def component_topology(parts: DataFrame, mesh: Mesh, attrs: DataFrame, saddles: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talweg.functions.session import written
+from talweg.operators.nearest import nearest
 
 
 class Graph:
@@ -97,11 +98,10 @@ def nearest_loop(vertices: DataFrame, arcs: DataFrame, sided: DataFrame) -> Data
 
 
 def nearest_nodes(vertices: DataFrame, points: DataFrame) -> DataFrame:
-    """``mesh_id, pid, vid, distance``: nearest vertex of each point (``mesh_id, pid, x, y, z``), ties by id. Points are few beside vertices; one aggregate, no sort."""
-    j = points.select("mesh_id", "pid", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz")).join(vertices, "mesh_id")
-    d2 = (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2 + (F.col("z") - F.col("pz")) ** 2
-    best = j.groupBy("mesh_id", "pid").agg(F.min(F.struct(d2.alias("d2"), "vid")).alias("b"))
-    return best.select("mesh_id", "pid", "b.vid", F.sqrt("b.d2").alias("distance"))
+    """``mesh_id, pid, vid, distance``: nearest vertex of each point (``mesh_id, pid, x, y, z``); squared distances equal in nine digits tie, by id."""
+    asked = points.select("mesh_id", "pid", *(F.col(c).alias(f"p{c}") for c in "xyz"))
+    best = nearest(asked, vertices.select("mesh_id", F.col("vid").alias("site"), "x", "y", "z"), ["pid"], 9)
+    return best.select("mesh_id", "pid", F.col("site").alias("vid"), F.sqrt("d2").alias("distance"))
 
 
 def between(to_lower: DataFrame, to_upper: DataFrame) -> DataFrame:

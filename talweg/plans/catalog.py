@@ -296,10 +296,9 @@ def _radius(m: Mesh, saddles: DataFrame) -> DataFrame:
 query("saddle_radius", """select mesh_id, vid, round(least(dl.d, du.d), 6) as radius from crit join dl using (mesh_id, vid) join du using (mesh_id, vid) where critical_type = 'saddle'""")(lambda m: r6(_radius(m, _saddles(m)), "radius"))
 query("distance_to_saddles", "select mesh_id, vid, round(d, 6) as value from ds")(lambda m: r6(geodesic.to_side(m.vertices, _arcs(m), _saddles(m).select("mesh_id", "vid")), "value"))
 query("nearest_nodes", """select mesh_id, pid, vid, round(sqrt(d2), 6) as distance from (select p.mesh_id, p.vid as pid, v.vid, (v.x - p.x - cast(0.3 as double)) * (v.x - p.x - cast(0.3 as double)) + (v.y - p.y + cast(0.2 as double)) * (v.y - p.y + cast(0.2 as double)) + (v.z - p.z - cast(0.1 as double)) * (v.z - p.z - cast(0.1 as double)) as d2,
-  row_number() over (partition by p.mesh_id, p.vid order by (v.x - p.x - cast(0.3 as double)) * (v.x - p.x - cast(0.3 as double)) + (v.y - p.y + cast(0.2 as double)) * (v.y - p.y + cast(0.2 as double)) + (v.z - p.z - cast(0.1 as double)) * (v.z - p.z - cast(0.1 as double)), v.vid) as k
-  from v p join v on v.mesh_id = p.mesh_id where p.vid % 50 = 7) where k = 1""")(
-    lambda m: r6(_nearest(m, m.vertices.where("vid % 50 = 7")), "distance"))
-query("nearest_nodes_all")(lambda m: r6(_nearest(m, m.vertices), "distance"))
+  row_number() over (partition by p.mesh_id, p.vid order by round((v.x - p.x - cast(0.3 as double)) * (v.x - p.x - cast(0.3 as double)) + (v.y - p.y + cast(0.2 as double)) * (v.y - p.y + cast(0.2 as double)) + (v.z - p.z - cast(0.1 as double)) * (v.z - p.z - cast(0.1 as double)), 9), v.vid) as k
+  from v p join v on v.mesh_id = p.mesh_id) where k = 1""")(
+    lambda m: r6(_nearest(m, m.vertices), "distance"))
 
 
 def _nearest(m: Mesh, of: DataFrame) -> DataFrame:

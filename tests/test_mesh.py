@@ -259,7 +259,7 @@ def test_queries_of_all_critical_points(spark):
 
 def test_nearest_nodes_of_all_vertices(spark):
     at = {(r["mesh_id"], r["vid"]): np.array([r["x"], r["y"], r["z"]]) for r in tubes(spark, SF).vertices.collect()}
-    got = {(r["mesh_id"], r["pid"]): (r["vid"], r["distance"]) for r in catalog.queries()["nearest_nodes_all"](spark, SF).collect()}
+    got = {(r["mesh_id"], r["pid"]): (r["vid"], r["distance"]) for r in catalog.queries()["nearest_nodes"](spark, SF).collect()}
     assert got.keys() == at.keys()
     for (mesh_id, pid), (vid, distance) in got.items():
         near = {v: float(np.linalg.norm(p - at[mesh_id, pid] - [0.3, -0.2, 0.1])) for (k, v), p in at.items() if k == mesh_id}
