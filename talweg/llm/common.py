@@ -72,7 +72,8 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    release(tables[0].sparkSession)
+    if tables:
+        release(tables[0].sparkSession)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm.common import materialize, table
+from talweg.llm.common import discard, materialize, shared_dir, table
 
 #: Verdict, host and path of each rule.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -82,11 +83,14 @@ def build_cascade(universe: DataFrame, bits_per_key: int = BITS_PER_KEY) -> list
     No listed keys: no levels, and nothing is a member.
     """
     levels: list[Level] = []
+    made: list[DataFrame] = []
     side, other = universe.where("listed").select("key"), universe.where("not listed").select("key")
     while n := side.count():
         level = build_level(side, n, len(levels), bits_per_key)
         levels.append(level)
         side, other = materialize(other.where(level.has(F.col("key"))), "mistaken"), side
+        made.append(side)
+    discard(*made)
     return levels
 
 
@@ -106,25 +110,29 @@ def judge_urls(pages: DataFrame, listed: Column, rules: tuple = RULES, bits_per_
     A null url, or one without ://, has the empty key and no rule. Repeated rows are each judged, a null
     page_id as any other; URLs may have any length; empty tables give no rows; other columns are not read.
 
-    Each cascade's levels are bounded in size, so a task holds no more of them however long the list: the keys
-    are dealt by hash to as many cascades as ``max_bits`` asks for, and each judges the rows of its own keys.
+    The keys are dealt by hash to as many cascades as ``max_bits`` asks for. One after another they judge the rows of their own
+    keys, which are written, and are deleted: what driver and tasks hold, and the size of a plan, don't depend on how many there are.
     """
+    spark = pages.sparkSession
     rows = with_parts(pages.select("page_id", "url", listed.alias("listed")))
     rows = rows.withColumn("key", F.concat("host", "path"))
     universe = materialize(rows.groupBy("key").agg(F.coalesce(F.bool_or("listed"), F.lit(False)).alias("listed")), "keys")
     parts = max(1, -(-universe.where("listed").count() * bits_per_key // max_bits))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "host", "path", "key")
-    if parts == 1:
-        judged = [rows.withColumn("hit", member(build_cascade(universe, bits_per_key), F.col("key")))]
-    else:
-        part = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(parts)).cast("int").alias("part")
-        universe, rows = (materialize(x.select("*", part), "parts", "part") for x in (universe, rows))
-        judged = [rows.where(F.col("part") == k).withColumn("hit", member(build_cascade(universe.where(F.col("part") == k), bits_per_key), F.col("key"))) for k in range(parts)]
-    every = judged[0]
-    for more in judged[1:]:
-        every = every.unionByName(more)
-    return every.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"))
+    part = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(parts)).cast("int").alias("part")
+    rows, keys = rows.select("page_id", "host", "path", "key", part), universe.select("*", part)
+    if parts > 1:  # a folder for each, so each is read once
+        rows, keys = materialize(rows, "rows", "part"), materialize(keys, "parts", "part")
+    at = f"{shared_dir(spark)}/verdicts-{uuid.uuid4().hex}"
+    for k in range(parts):
+        levels = build_cascade(keys.where(F.col("part") == k), bits_per_key)
+        hit = rows.where(F.col("part") == k).withColumn("hit", member(levels, F.col("key")))
+        out = hit.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"))
+        out.write.parquet(f"{at}/cascade={k}")
+        if levels:
+            discard(*(x.words for x in levels))
+    discard(universe, *([rows, keys] if parts > 1 else []))
+    return spark.read.schema(out.schema).parquet(at).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

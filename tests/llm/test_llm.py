@@ -636,6 +636,16 @@ def test_url_filter(spark):
     assert urlfilter.judge_urls(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_plan_of_many_cascades_is_as_small_as_of_one(spark):
+    pages = spark.range(300).selectExpr("id as page_id", "concat('http://h', id % 150, '.com/', id % 7, if(id % 3 = 0, '?utm_source=x', '')) as url")
+    listed = F.col("url").rlike(urlfilter.TRACKING)
+    one = urlfilter.judge_urls(pages, listed)
+    many = urlfilter.judge_urls(pages, listed, max_bits=1 << 8)
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert len(plan(many)) < 1.2 * len(plan(one))
+    assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
+
+
 def test_url_filter_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{SF}/pages.parquet'")
