@@ -672,4 +672,4 @@ def test_pipeline(spark):
 
 
 def test_registry():
-    assert len(registry.queries()) == 10 and set(registry.oracle_sql()) <= set(registry.queries())
+    assert len(registry.queries()) == 13 and set(registry.oracle_sql()) <= set(registry.queries())
