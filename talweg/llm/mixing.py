@@ -32,29 +32,36 @@ def topic_of(text: Column, n_tokens: Column) -> Column:
     )
 
 
-def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Weights of the cells whose marginal sums meet ``targets``, none over its ``tokens``.
+def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, bool]:
+    """Weights of the cells whose marginal sums meet ``targets``, none over its ``tokens``, and whether they came to rest.
 
-    Each round scales the cells to one marginal after another and then cuts them to what they
-    hold. Cells without tokens stay 0. Where the targets can't be met the last round stands.
+    A cell's weight is its own product of factors, cut to what it holds. Each round sets the factors of one
+    marginal after another: cells that are full count with what they hold, the others are scaled to the rest of the
+    target; where the full ones alone pass it, all are scaled down. A value whose target is all it holds is
+    filled. Cells without tokens stay 0. Where the targets can't be met the last round stands.
     """
-    w = tokens.astype(float)
+    w = u = tokens.astype(float)
     for _ in range(rounds):
         before = w
         for code, target in zip(codes, targets, strict=True):
-            total = np.bincount(code, weights=w, minlength=len(target))
-            w = w * np.divide(target, total, out=np.zeros(len(target)), where=total > 0)[code]
-        w = np.minimum(w, tokens)
+            sums = (np.bincount(code, weights=x, minlength=len(target)) for x in (tokens, np.where(u >= tokens, tokens, 0), np.where(u >= tokens, 0, u), np.minimum(u, tokens)))
+            every, held, free, now = sums
+            over = np.divide(target, now, out=np.zeros(len(target)), where=now > 0)
+            by = np.where((target > held) & (free > 0), np.divide(target - held, free, out=np.zeros(len(target)), where=free > 0), over)
+            u = np.where((target >= every)[code], np.maximum(u, tokens), u * by[code])
+        w = np.minimum(u, tokens)
         if np.abs(w - before).max(initial=0) <= tolerance * max(w.max(initial=0), 1):
-            break
-    return w
+            return w, True
+    return w, False
 
 
 def targets_of(marginals: DataFrame, fraction: float, temper: float, wanted: DataFrame | None) -> DataFrame:
-    """``marginals`` (``dimension, value, tokens``) with ``goal``, the tokens that each value should have.
+    """``marginals`` (``dimension, value, tokens``) with ``goal``, the tokens that each value should have, written.
 
     Shares come from ``wanted`` (``dimension, value, share``) for the dimensions it names, 0 for values it lacks, and
-    else from the value's own tokens to the power ``temper``; they are scaled to ``fraction`` of all tokens.
+    else from the value's own tokens to the power ``temper``. No goal passes what its value has: what a value lacks goes
+    to the others of its dimension by their shares. All dimensions' goals come to one sum, ``fraction`` of all tokens, or
+    less where the values with a share hold less.
     """
     own = F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(temper))).otherwise(0.0)
     if wanted is None:
@@ -64,8 +71,18 @@ def targets_of(marginals: DataFrame, fraction: float, temper: float, wanted: Dat
         named = given.select("dimension", F.lit(True).alias("named")).distinct()
         rows = marginals.join(given, ["dimension", "value"], "left").join(named, "dimension", "left")
         rows = rows.withColumn("share", F.when(F.col("named"), F.coalesce("share", F.lit(0.0))).otherwise(own)).drop("named")
-    total = rows.groupBy("dimension").agg(F.greatest(F.sum("share"), F.lit(1e-300)).alias("shares"), F.sum("tokens").alias("every"))
-    return rows.join(total, "dimension").select("dimension", "value", "tokens", (F.col("share") / F.col("shares") * fraction * F.col("every")).alias("goal"))
+    rows = materialize(rows.select("dimension", "value", "tokens", "share"), "shares")
+    sums = rows.groupBy("dimension").agg(F.sum("tokens").alias("every"), F.sum(F.when(F.col("share") > 0, F.col("tokens")).otherwise(0)).alias("reach"), F.sum("share").alias("shares")).collect()  # a row a dimension
+    total = float(min((min(fraction * r["every"], r["reach"]) for r in sums), default=0.0))
+    level = {r["dimension"]: total / r["shares"] if r["shares"] else 0.0 for r in sums}
+    while True:
+        at = F.coalesce(*(F.when(F.col("dimension") == d, F.lit(x)) for d, x in level.items()), F.lit(0.0)) * F.col("share")
+        full = at >= F.col("tokens")
+        now = rows.groupBy("dimension").agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("held"), F.sum(F.when(full, 0.0).otherwise(F.col("share"))).alias("open")).collect()
+        risen = {r["dimension"]: max(level[r["dimension"]], (total - r["held"]) / r["open"]) if r["open"] else level[r["dimension"]] for r in now}
+        if all(risen[d] <= x * (1 + 1e-12) for d, x in level.items()):
+            return rows.select("dimension", "value", "tokens", F.least(at, F.col("tokens").cast("double")).alias("goal"))
+        level = risen
 
 
 def marginals_of(cells: DataFrame, dims: list[str], *more: Column) -> DataFrame:
@@ -74,26 +91,31 @@ def marginals_of(cells: DataFrame, dims: list[str], *more: Column) -> DataFrame:
     return cells.withColumn("m", values).groupBy("m.dimension", "m.value").agg(F.sum("tokens").alias("tokens"), *more)
 
 
-def rake_frames(cells: DataFrame, dims: list[str], goals: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def rake_frames(cells: DataFrame, dims: list[str], goals: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, bool]:
     """``rake`` for any number of cells: one aggregation and join for each marginal, a written table for each round."""
-    now = materialize(cells.withColumn("w", F.col("tokens").cast("double")), "cells")
+    tokens, u = F.col("tokens").cast("double"), F.col("u")
+    now = materialize(cells.withColumn("u", tokens), "cells")
+    rested = False
     for _ in range(rounds):
-        step = now.withColumn("before", F.col("w"))
+        step = now.withColumn("before", F.least("u", tokens))
         for d in dims:
             goal = goals.where(F.col("dimension") == d).select(F.col("value").alias(d), "goal")
-            scale = step.groupBy(d).agg(F.sum("w").alias("sum")).join(goal, d).select(d, F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(0.0).alias("by"))
-            step = step.join(scale, d).withColumn("w", F.col("w") * F.col("by")).drop("by")
-        step = materialize(step.withColumn("w", F.least("w", F.col("tokens").cast("double"))), "cells")
-        end = step.agg(F.max(F.abs(F.col("w") - F.col("before"))).alias("moved"), F.max("w").alias("most")).first()
+            sums = step.groupBy(d).agg(F.sum(tokens).alias("every"), F.sum(F.when(u >= tokens, tokens).otherwise(0.0)).alias("held"), F.sum(F.when(u >= tokens, 0.0).otherwise(u)).alias("free"), F.sum(F.least(u, tokens)).alias("now"))
+            by = F.when((F.col("goal") > F.col("held")) & (F.col("free") > 0), (F.col("goal") - F.col("held")) / F.col("free")).when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0)
+            step = step.join(sums.join(goal, d).select(d, by.alias("by"), (F.col("goal") >= F.col("every")).alias("fill")), d)
+            step = step.withColumn("u", F.when(F.col("fill"), F.greatest(u, tokens)).otherwise(u * F.col("by"))).drop("by", "fill")
+        step = materialize(step, "cells")
+        end = step.agg(F.max(F.abs(F.least(u, tokens) - F.col("before"))).alias("moved"), F.max(F.least(u, tokens)).alias("most")).first()
         discard(now)
         now = step.drop("before")
         now.stored_at = step.stored_at
-        if end["moved"] <= tolerance * max(end["most"], 1):
+        rested = end["moved"] is None or end["moved"] <= tolerance * max(end["most"], 1)
+        if rested:
             break
-    return now
+    return now.select(*dims, "tokens", F.least(u, tokens).alias("w")), rested
 
 
-def rake_rows(cells: DataFrame, dims: list[str], goals: DataFrame) -> DataFrame:
+def rake_rows(cells: DataFrame, dims: list[str], goals: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, bool]:
     """``rake_frames`` on the driver, for a number of cells that the caller has bounded; so are the goals."""
     rows = sorted(cells.collect(), key=lambda r: tuple(r[d] for d in dims))
     goal = {(r["dimension"], r["value"]): r["goal"] for r in goals.collect()}
@@ -102,18 +124,18 @@ def rake_rows(cells: DataFrame, dims: list[str], goals: DataFrame) -> DataFrame:
         names = {v: k for k, v in enumerate(sorted({r[d] for r in rows}))}
         codes.append(np.array([names[r[d]] for r in rows], np.int64))
         targets.append(np.array([goal[d, v] for v in names], float))
-    w = rake(np.array([r["tokens"] for r in rows], float), codes, targets)
-    return cells.sparkSession.createDataFrame([(*(r[d] for d in dims), r["tokens"], float(x)) for r, x in zip(rows, w, strict=True)], ", ".join(f"{d} string" for d in dims) + ", tokens long, w double")
+    w, rested = rake(np.array([r["tokens"] for r in rows], float), codes, targets, rounds)
+    return cells.sparkSession.createDataFrame([(*(r[d] for d in dims), r["tokens"], float(x)) for r, x in zip(rows, w, strict=True)], ", ".join(f"{d} string" for d in dims) + ", tokens long, w double"), rested
 
 
-def with_mix(docs: DataFrame, name: str, topic: Column | None = None, fraction: float = FRACTION, temper: float = TEMPER, wanted: DataFrame | None = None, seed: int = SEED, driver_cells: int = DRIVER_CELLS, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with a struct column ``name``: source, lang, topic, n_tokens, prob, weight, kept.
+def with_mix(docs: DataFrame, name: str, topic: Column | None = None, fraction: float = FRACTION, temper: float = TEMPER, wanted: DataFrame | None = None, seed: int = SEED, driver_cells: int = DRIVER_CELLS, keep: list[str] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """``docs`` with a struct column ``name``: source, lang, topic, n_tokens, prob, weight, kept, rested.
 
     Tokens are blank-separated words. Token weights of the cells source x language x topic are raked
     to each marginal's target over ``fraction`` of all tokens: shares by the table ``wanted`` (``dimension, value, share``) for
-    the dimensions it names, else tempered own shares. A cell's probability is its raked share of what it holds, so expected
+    the dimensions it names, else tempered own shares, held to what each value has (``targets_of``). A cell's probability is its raked share of what it holds, so expected
     kept tokens meet the targets as far as the cells reach (``mix_report`` tells how far), and a document is kept if a hash of its doc_id
-    falls below. Weight is 1 / prob, null where prob is 0. ``topic`` is a column of the caller's own, else the text's shape. Null attributes
+    falls below. Weight is 1 / prob, null where prob is 0; ``rested`` is false where ``rounds`` ended the raking before it came to rest. ``topic`` is a column of the caller's own, else the text's shape. Null attributes
     are the value "(null)"; a null doc_id is a value of its own; repeated rows are decided alike. Texts without words, null or
     empty, take their cell's probability, 1 if the cell has no tokens; a text of any length is counted whole. An empty table gives no rows. Columns of
     ``keep`` (else all) pass through, whatever their names, but one called ``name`` is set anew.
@@ -129,13 +151,13 @@ def with_mix(docs: DataFrame, name: str, topic: Column | None = None, fraction:
         base = base.withColumn("topic", topic_of(F.col("x.text"), F.col("n_tokens")))
     base = materialize(base.select("row", *dims, "n_tokens", F.xxhash64(F.col("x.doc_id").cast("string"), F.lit(seed)).alias("even")), "mix")
     cells = materialize(base.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    goals = materialize(targets_of(marginals_of(cells, dims), fraction, temper, wanted), "goals")
+    goals = targets_of(marginals_of(cells, dims), fraction, temper, wanted)
     few = cells.count() <= driver_cells
-    raked = (rake_rows if few else rake_frames)(cells, dims, goals)
+    raked, rested = (rake_rows if few else rake_frames)(cells, dims, goals, rounds)
     prob = raked.select(*dims, F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0).alias("prob"))
     out = base.join(F.broadcast(prob) if few else prob, dims)  # few: the cells' number has just been checked
     even = F.shiftrightunsigned(F.col("even"), 11) * F.lit(2.0**-53)
-    mix = F.struct(*dims, "n_tokens", "prob", (1 / F.when(F.col("prob") > 0, F.col("prob"))).alias("weight"), (even < F.col("prob")).alias("kept"))
+    mix = F.struct(*dims, "n_tokens", "prob", (1 / F.when(F.col("prob") > 0, F.col("prob"))).alias("weight"), (even < F.col("prob")).alias("kept"), F.lit(rested).alias("rested"))
     return out.select(*([F.col(f"row.`{c}`") for c in own] if own else []), mix.alias(name))
 
 

@@ -173,8 +173,8 @@ def test_raking_meets_targets():
     codes = [np.repeat([0, 1, 2], 4), np.tile([0, 1, 2, 3], 3)]
     tokens = rng.integers(500, 1500, 12).astype(float)
     goals = [(lambda s: s / s.sum() * 0.5 * tokens.sum())(np.bincount(c, tokens) ** 0.9) for c in codes]
-    w = mixing.rake(tokens, codes, goals)
-    assert (w <= tokens + 1e-9).all()
+    w, rested = mixing.rake(tokens, codes, goals)
+    assert rested and not mixing.rake(tokens, codes, goals, 1)[1] and (w <= tokens + 1e-9).all()
     for c, g in zip(codes, goals, strict=True):
         assert np.allclose(np.bincount(c, w), g, rtol=1e-5)
 
@@ -190,16 +190,25 @@ def mix_by_hand(rows, fraction, temper, wanted):
         for c, t in held.items():
             own[c[i]] += t
         share = {v: wanted[d].get(v, 0.0) if d in wanted else t**temper if t else 0.0 for v, t in own.items()}
-        goal.append({v: s / max(sum(share.values()), 1e-300) * fraction * every for v, s in share.items()})
-    w = dict(held)
+        goal.append((own, share))
+    left_of_all = min(min(fraction * every, sum(t for v, t in own.items() if share[v])) for own, share in goal)
+    for i, (own, share) in enumerate(goal):  # fill the scarcest value first; what it lacks is the others'
+        left, shares, goal[i] = left_of_all, sum(share.values()), {}
+        for v in sorted(own, key=lambda v: own[v] / share[v] if share[v] else math.inf):
+            goal[i][v] = min(own[v], left * share[v] / shares) if share[v] else 0.0
+            left, shares = left - goal[i][v], shares - share[v]
+    u, w = dict(held), dict(held)
     for _ in range(200):
         before = dict(w)
         for i in range(3):
-            now = defaultdict(float)
-            for c, x in w.items():
-                now[c[i]] += x
-            w = {c: x * goal[i][c[i]] / now[c[i]] if now[c[i]] else 0.0 for c, x in w.items()}
-        w = {c: min(x, held[c]) for c, x in w.items()}
+            for v, g in goal[i].items():
+                mine = [c for c in u if c[i] == v]
+                full = sum(held[c] for c in mine if u[c] >= held[c])
+                free, now = sum(u[c] for c in mine if u[c] < held[c]), sum(min(u[c], held[c]) for c in mine)
+                by = (g - full) / free if g > full and free else g / now if now else 0.0
+                for c in mine:
+                    u[c] = max(u[c], held[c]) if g >= sum(held[c] for c in mine) else u[c] * by
+        w = {c: min(x, held[c]) for c, x in u.items()}
         if max(abs(w[c] - before[c]) for c in w) <= 1e-7 * max(1, *w.values()):
             break
     return {c: w[c] / held[c] if held[c] else 1.0 for c in held}, goal
@@ -227,6 +236,24 @@ def test_mix(spark, driver_cells):
             assert abs(r["goal"] - goal[d][r["value"]]) < 1e-3 and abs(r["expected"] - sum(n * p for n, p in mine)) < 1e-2 and abs(r["expected"] - r["goal"] - r["residual"]) < 1e-6
 
 
+def test_goals_pass_on_what_a_value_lacks(spark):
+    rows = spark.createDataFrame([("topic", "a", 10), ("topic", "b", 100), ("topic", "c", 100), ("topic", "none", 0), ("lang", "x", 150), ("lang", "y", 60)], "dimension string, value string, tokens long")
+    table = spark.createDataFrame([("topic", "a", 0.5), ("topic", "b", 0.25), ("topic", "c", 0.25)], "dimension string, value string, share double")
+    goal = {r["value"]: r["goal"] for r in mixing.targets_of(rows, 0.5, 1.0, table).collect()}
+    assert goal == pytest.approx({"a": 10, "b": 47.5, "c": 47.5, "none": 0, "x": 75, "y": 30})
+    goal = {r["value"]: r["goal"] for r in mixing.targets_of(rows, 0.5, 1.0, table.where("value = 'a'")).collect()}
+    assert goal == pytest.approx({"a": 10, "b": 0, "c": 0, "none": 0, "x": 10 * 150 / 210, "y": 10 * 60 / 210})  # all that has a share
+    assert mixing.targets_of(rows.limit(0), 0.5, 1.0, None).count() == 0
+
+
+def test_the_documents_mix_meets_its_goals(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mixed = mixing.with_mix(docs, "mix", keep=["doc_id"])
+    assert mixed.where("not mix.rested").isEmpty()
+    for r in mixing.mix_report(mixed, "mix").collect():
+        assert abs(r["residual"]) <= 1e-3 * max(r["goal"], 1), r
+
+
 def test_mix_keeps_by_probability(spark):
     rows = odd_rows() + [(r[0] + 100, r[1]) for r in docs_of()]
     docs = frame(spark, rows)
