@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions.session import written
 from talweg.operators.fields import normalized, smoothed
-from talweg.operators.geodesic import Graph, mesh_arcs, to_side
+from talweg.operators.geodesic import PART, Graph, by_group, distances, group_graph, mesh_arcs, routes, to_side
 from talweg.operators.topology import boundary_vertices, both_ways, weighted_edges
 from talweg.sources.tubes import Mesh
 
@@ -377,39 +377,56 @@ def consensus(runs: list[DataFrame], share: float = 0.6) -> DataFrame:
     return found.groupBy("mesh_id", "vid").agg(F.count("*").alias("votes")).where(F.col("votes") >= need)
 
 
-def _conform(arcs: pd.DataFrame, marks: pd.DataFrame, n: float, eps: float) -> pd.DataFrame:
-    g = Graph(arcs.loc[arcs["u"] >= 0], int(arcs["n"].iloc[0]))
-    marks = marks.sort_values("vid")
-    ids = {k: marks.loc[marks["role"] == k, "vid"].tolist() for k in ("lower", "upper", "saddle")}
-    if not ids["lower"] or not ids["upper"]:
-        raise RuntimeError("both a lower and an upper side are needed")
-    s = ids["saddle"]
-    reach = np.array([g.distances([x]) for x in s]).reshape(len(s), g.n)
-    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-        if s:
-            radius = marks.loc[marks["role"] == "saddle", "radius"].to_numpy(float)
-            pull = 1 / np.sinh(np.maximum(np.sqrt(np.maximum(reach.T + radius**n - radius, 0)), 1e-12))
-            pull = pull / (pull.sum(axis=1, keepdims=True) + 1e-12)
-        least = {}
-        for side in ("lower", "upper"):
-            best = np.full(g.n, np.inf)
-            for b in ids[side]:  # one boundary vertex at a time: the table of all of them is never held
-                d = g.distances([b])
-                best = np.fmin(best, d + pull @ reach[:, b]) if s else np.minimum(best, d)
-            least[side] = best
-        value = least["upper"] / (least["upper"] + least["lower"] + eps)
-    return pd.DataFrame({"mesh_id": arcs["mesh_id"].iloc[0], "vid": np.arange(g.n), "value": value})
-
-
-def conforming_field(mesh: Mesh, sided: DataFrame, saddles: DataFrame, n: float = 2.0, eps: float = 1e-9) -> DataFrame:
+def _bend(rows: pd.DataFrame, entries: pd.DataFrame, n: float) -> pd.DataFrame:
+    """Least way of a part's vertices to a bunch of each side's vertices, bent by the ways to the saddles (``way``)."""
+    out = []
+    points = rows.loc[rows["v"] < 0].drop_duplicates("u").sort_values("u")
+    if len(points) and len(entries):
+        ids, g = group_graph(rows, entries)
+        asked = np.searchsorted(ids, points["u"])
+        reach = np.array(points["way"].tolist(), float).reshape(len(points), -1)
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            if s := reach.shape[1]:
+                radius = np.array(points["radius"].iloc[0], float)
+                pull = 1 / np.sinh(np.maximum(np.sqrt(np.maximum(reach + radius**n - radius, 0)), 1e-12))
+                pull = pull / (pull.sum(axis=1, keepdims=True) + 1e-12)
+            for side, of_side in entries.groupby("side"):
+                best = np.full(len(points), np.inf)
+                for _, e in of_side.groupby("source"):
+                    at = e.loc[e["vid"] >= 0]
+                    d = g.distances(np.searchsorted(ids, at["vid"]).tolist(), at=at["d"].tolist())[asked]
+                    best = np.fmin(best, d + pull @ np.array(e["from_source"].iloc[0], float) if s else d)
+                out.append(pd.DataFrame({"mesh_id": entries["mesh_id"].iloc[0], "vid": points["u"].to_numpy(), "side": side, "best": best}))
+    return pd.concat(out) if out else pd.DataFrame({"mesh_id": [], "vid": [], "side": [], "best": []})
+
+
+def conforming_field(mesh: Mesh, sided: DataFrame, saddles: DataFrame, n: float = 2.0, eps: float = 1e-9, most: int = PART) -> DataFrame:
     """0 at the upper side, 1 at the lower, bent round the saddles (``mesh_id, vid`` and optionally ``radius``, else ``saddle_radii``).
 
     Each side's distance is the least, over its vertices, of the way there plus the saddles' weighted
-    ways; unreachable vertices are NaN. A mesh that lacks a side is an error.
+    ways; unreachable vertices are NaN. A mesh that lacks a side is an error. A repeated saddle counts once, with its least radius.
+
+    Ways to the saddles are an array on each vertex. Then each part of a mesh meets bunches of a side's vertices, and only
+    the least way of a vertex to a bunch leaves the task: neither a mesh nor the ways from all of a side are ever in one place.
     """
     if "radius" not in saddles.columns:
         saddles = saddle_radii(mesh, sided, saddles.select("mesh_id", "vid"))
-    radius = F.col("radius").cast("double")
-    marks = sided.select("mesh_id", "vid", F.col("boundary_side").alias("role"), F.lit(None).cast("double").alias("radius")).unionByName(saddles.select("mesh_id", "vid", F.lit("saddle").alias("role"), radius.alias("radius")))
-    arcs = mesh_arcs(mesh.vertices, both_ways(weighted_edges(mesh)))
-    return arcs.groupBy("mesh_id").cogroup(marks.groupBy("mesh_id")).applyInPandas(partial(_conform, n=n, eps=eps), "mesh_id int, vid int, value double")
+    arcs = both_ways(weighted_edges(mesh))
+    saddles = saddles.groupBy("mesh_id", F.col("vid").alias("source")).agg(F.min(F.col("radius").cast("double")).alias("radius"))
+    reach = distances(mesh.vertices, arcs, saddles.select("mesh_id", "source", F.col("source").alias("vid")), most=most).join(saddles, ["mesh_id", "source"])
+    ordered = F.array_sort(F.collect_list(F.struct("source", "d", "radius")))
+    ways = written(reach.groupBy("mesh_id", "vid").agg(ordered.alias("all")).select("mesh_id", "vid", F.col("all.d").alias("way"), F.col("all.radius").alias("radius")), "ways")
+    none = F.array().cast("array<double>")
+    # a vertex may lie on both sides, so a source is a vertex and a side
+    side = F.when(F.col("boundary_side") == "upper", 1).otherwise(0)
+    rims = sided.where("boundary_side in ('lower', 'upper')").select("mesh_id", "vid", side.alias("side"), (F.col("vid").cast("long") * 2 + side).alias("source")).distinct()
+    rows, entries = routes(mesh.vertices, arcs, rims.select("mesh_id", "source", "vid"), most=most)
+    at = ways.select("mesh_id", F.col("vid").alias("u"), "way", "radius").withColumn("v", F.lit(-1))
+    rows = rows.join(at, ["mesh_id", "u", "v"], "left").withColumn("way", F.coalesce("way", none))
+    from_source = rims.join(ways.select("mesh_id", "vid", F.col("way").alias("from_source")), ["mesh_id", "vid"], "left").select("mesh_id", "source", "side", F.coalesce("from_source", none).alias("from_source"))
+    best = by_group(rows, entries.join(from_source, ["mesh_id", "source"])).applyInPandas(partial(_bend, n=n), "mesh_id int, vid int, side int, best double")
+    least = best.groupBy("mesh_id", "vid").agg(*(F.min(F.when(F.col("side") == k, F.col("best"))).alias(c) for k, c in ((0, "lower"), (1, "upper"))))
+    wrong = F.raise_error(F.lit("both a lower and an upper side are needed")).cast("double")
+    whole = F.col("upper") + F.col("lower") + F.lit(float(eps))
+    value = F.when(F.col("lower").isNull() | F.col("upper").isNull(), wrong).when(whole == 0, float("nan")).otherwise(F.col("upper") / whole)
+    return mesh.vertices.select("mesh_id", "vid").join(least, ["mesh_id", "vid"], "left").select("mesh_id", "vid", value.alias("value"))

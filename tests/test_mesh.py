@@ -2,7 +2,7 @@
 
 import math
 import struct
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -45,12 +45,63 @@ def test_two_triangles_are_two_loops(spark):
     assert d[1] == 1 and math.isinf(d[3])
 
 
-def test_huge_distances_equal_the_heap(spark):
+def plain_distances(arcs, n, seeds):
+    """Bellman-Ford by loops."""
+    d = [0.0 if v in seeds else math.inf for v in range(n)]
+    moved = True
+    while moved:
+        moved = False
+        for u, v, w in arcs:
+            if d[u] + w < d[v]:
+                d[v], moved = d[u] + w, True
+    return d
+
+
+@pytest.mark.parametrize("most", [25, 10**6])
+def test_distances_part_by_part_equal_plain_ones(spark, most):
+    m = tubes(spark, SF)
+    arcs = topology.both_ways(topology.weighted_edges(m))
+    seeds = spark.createDataFrame([(0, 5, 0), (0, 5, 17), (0, 5, 17), (0, 9, 120), (0, 11, 999)], "mesh_id int, source int, vid int")
+    plain = defaultdict(list)
+    for r in arcs.collect():
+        plain[r["mesh_id"]].append((r["u"], r["v"], r["weight"]))
+    got = {(r["source"], r["vid"]): round(r["d"], 9) for r in geodesic.distances(m.vertices, arcs, seeds, most=most).collect()}
+    want = {(s, v): d for s, at in ((5, {0, 17}), (9, {120}), (11, set())) for v, d in enumerate(plain_distances(plain[0], 200, at))}
+    assert got == {k: round(d, 9) for k, d in want.items()}
+    near = {(r["source"], r["vid"]): r["d"] for r in geodesic.distances(m.vertices, arcs, seeds.where("source = 9"), 3.0, most).collect()}
+    assert {k for k, d in near.items() if d < math.inf} == {k for k, d in want.items() if k[0] == 9 and d <= 3.0} and len(near) == 200
+
+
+def test_conforming_field_of_parts_equals_plain_loops(spark):
     m = tubes(spark, SF)
     arcs = topology.both_ways(topology.weighted_edges(m))
-    seeds = m.vertices.where("vid in (0, 17)").select("mesh_id", F.lit(0).alias("source"), "vid")
-    a = {r["vid"]: round(r["d"], 9) for r in geodesic.distances(m.vertices, arcs, seeds).collect()}
-    assert a == {r["vid"]: round(r["d"], 9) for r in geodesic.distances_of_huge(m.vertices, arcs, seeds).collect()}
+    sided = topology.side_vertices(m)
+    rim = {k: [r["vid"] for r in sided.where(F.col("boundary_side") == k).collect()] for k in ("lower", "upper")}
+    rows = [(r["u"], r["v"], r["weight"]) for r in arcs.collect()]
+    radius = {45: 2.0, 103: 4.5}
+    reach = {s: plain_distances(rows, 200, {s}) for s in radius}
+    want = []
+    side = {b: plain_distances(rows, 200, {b}) for k in rim for b in rim[k]}
+    for v in range(200):
+        pull = {s: 1 / math.sinh(max(math.sqrt(max(reach[s][v] + q**2 - q, 0)), 1e-12)) for s, q in radius.items()}
+        pull = {s: x / (sum(pull.values()) + 1e-12) for s, x in pull.items()}
+        lo, up = (min(side[b][v] + sum(pull[s] * reach[s][b] for s in radius) for b in rim[k]) for k in ("lower", "upper"))
+        want.append(up / (up + lo + 1e-9))
+    saddles = spark.createDataFrame([(0, s, q) for s, q in radius.items()] + [(0, 45, 9.0)], "mesh_id int, vid int, radius double")
+    for most in (50, 10**6):
+        got = {r["vid"]: r["value"] for r in critical.conforming_field(m, sided, saddles, most=most).collect()}
+        assert [got[v] for v in range(200)] == pytest.approx(want, abs=1e-9)
+    with pytest.raises(Exception, match="upper side"):
+        critical.conforming_field(m, sided.where("boundary_side <> 'upper'"), saddles).collect()
+
+
+def test_parts_are_small_whatever_the_places(spark):
+    same = spark.range(3000).selectExpr("0 as mesh_id", "cast(id as int) as vid", "0d as x", "case when id % 7 = 0 then null else 1d end as y", "0d as z")
+    grid = spark.range(2500).selectExpr("1 as mesh_id", "cast(id as int) as vid", "cast(id % 50 as double) as x", "cast(id div 50 as double) as y", "0d as z")
+    home, split = geodesic.parts(same.unionByName(grid), 100)
+    sizes = home.groupBy("mesh_id", "part").count()
+    assert split and home.count() == 5500 and sizes.agg(F.max("count")).first()[0] <= 100
+    assert sizes.where("mesh_id = 1").count() <= 64  # places side by side stay together
 
 
 @pytest.mark.parametrize(("values", "kind", "changes"), [([0, 1, -1, 1, -1, 1, -1], "saddle", 6), ([5, 1, 2, 3, 1, 2, 3], "maximum", 0), ([0, 1, 2, 3, 1, 2, 3], "minimum", 0), ([0, 1, 2, 1, -1, -2, -1], "regular", 2), ([0, 1, -1, -1, 1, -1, -1], "saddle", 4)])
