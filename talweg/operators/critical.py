@@ -412,7 +412,7 @@ def conforming_field(mesh: Mesh, sided: DataFrame, saddles: DataFrame, n: float
     if "radius" not in saddles.columns:
         saddles = saddle_radii(mesh, sided, saddles.select("mesh_id", "vid"))
     arcs = both_ways(weighted_edges(mesh))
-    saddles = saddles.groupBy("mesh_id", F.col("vid").alias("source")).agg(F.min(F.col("radius").cast("double")).alias("radius"))
+    saddles = written(saddles.groupBy("mesh_id", F.col("vid").alias("source")).agg(F.min(F.col("radius").cast("double")).alias("radius")), "saddles")
     reach = distances(mesh.vertices, arcs, saddles.select("mesh_id", "source", F.col("source").alias("vid")), most=most).join(saddles, ["mesh_id", "source"])
     ordered = F.array_sort(F.collect_list(F.struct("source", "d", "radius")))
     ways = written(reach.groupBy("mesh_id", "vid").agg(ordered.alias("all")).select("mesh_id", "vid", F.col("all.d").alias("way"), F.col("all.radius").alias("radius")), "ways")
@@ -420,6 +420,7 @@ def conforming_field(mesh: Mesh, sided: DataFrame, saddles: DataFrame, n: float
     # a vertex may lie on both sides, so a source is a vertex and a side
     side = F.when(F.col("boundary_side") == "upper", 1).otherwise(0)
     rims = sided.where("boundary_side in ('lower', 'upper')").select("mesh_id", "vid", side.alias("side"), (F.col("vid").cast("long") * 2 + side).alias("source")).distinct()
+    rims = written(rims, "rims")
     rows, entries = routes(mesh.vertices, arcs, rims.select("mesh_id", "source", "vid"), most=most)
     at = ways.select("mesh_id", F.col("vid").alias("u"), "way", "radius").withColumn("v", F.lit(-1))
     rows = rows.join(at, ["mesh_id", "u", "v"], "left").withColumn("way", F.coalesce("way", none))

@@ -130,19 +130,17 @@ def routes(vertices: DataFrame, arcs: DataFrame, seeds: DataFrame, cutoff: float
     A mesh is cut into parts of at most ``most`` vertices. In each round the parts at which a source has come
     nearer run their heaps from all entries so far, and hand the distances of vertices with arcs to other parts
     over these. That ends when nothing comes nearer: after as many rounds as the shortest paths cross parts, however many
-    edges they have, and without any for meshes of one part. Only such border vertices are written between rounds. Sources go in
+    edges they have, and without any for meshes of one part. Seeds are written once, and only such border vertices are written between rounds. Sources go in
     bunches of ``each``. A part that a source doesn't enter has one entry of it with vid -1.
     """
     home, split = parts(vertices, most)
-    numbered = Window.partitionBy("mesh_id").orderBy("source")
-    sources = seeds.select("mesh_id", "source").distinct().select("mesh_id", "source", F.floor((F.row_number().over(numbered) - 1) / each).cast("int").alias("bunch"))
-    bunches = sources.select("mesh_id", "bunch").distinct()
-    start = seeds.select("mesh_id", "source", "vid").join(sources, ["mesh_id", "source"])
+    number = F.dense_rank().over(Window.partitionBy("mesh_id").orderBy("source"))
+    start = written(seeds.select("mesh_id", "source", "vid").distinct().withColumn("bunch", F.floor((number - 1) / each).cast("int")), "seeds")
+    bunches = start.select("mesh_id", "bunch").distinct()
     if not split:
         rows = points_of(home).unionByName(arcs.select("mesh_id", F.lit("").alias("part"), "u", "v", "weight")).join(bunches, "mesh_id")
         return rows, start.select("mesh_id", F.lit("").alias("part"), "bunch", "source", "vid", F.lit(0.0).alias("d"))
-    home, sources = written(home, "home"), written(sources, "sources")
-    bunches = sources.select("mesh_id", "bunch").distinct()
+    home = written(home, "home")
     ends = (home.select("mesh_id", F.col("vid").alias(c), F.col("part").alias(p)) for c, p in (("u", "part"), ("v", "to_part")))
     arcs = arcs.select("mesh_id", "u", "v", "weight").join(next(ends), ["mesh_id", "u"]).join(next(ends), ["mesh_id", "v"])
     arcs = written(arcs, "arcs")
@@ -151,7 +149,7 @@ def routes(vertices: DataFrame, arcs: DataFrame, seeds: DataFrame, cutoff: float
     borders = cross.select("mesh_id", "part", "u").distinct().select("mesh_id", "part", "u", F.lit(-1).alias("v"), F.lit(0.0).alias("weight"))
     border_rows = written(inner.unionByName(borders), "borders")
     place = [*GROUP, "source", "vid"]
-    entries = written(start.join(home, ["mesh_id", "vid"]).select(*place, F.lit(0.0).alias("d"), F.lit(True).alias("nearer")).distinct(), "entries")
+    entries = written(start.join(home, ["mesh_id", "vid"]).select(*place, F.lit(0.0).alias("d"), F.lit(True).alias("nearer")), "entries")
     while not entries.where("nearer").isEmpty():
         awake = entries.where("nearer").select(*GROUP).distinct()
         found = heaps(border_rows.join(awake, ["mesh_id", "part"]), entries.join(awake, GROUP).drop("nearer"), cutoff).withColumnRenamed("vid", "u").where(F.col("d") < float("inf"))
@@ -161,7 +159,7 @@ def routes(vertices: DataFrame, arcs: DataFrame, seeds: DataFrame, cutoff: float
         discard(entries)
         entries = new
     discard(border_rows)
-    everywhere = sources.join(home.select("mesh_id", "part").distinct(), "mesh_id").select(*GROUP, "source", F.lit(-1).alias("vid"), F.lit(float("inf")).alias("d"))
+    everywhere = start.select("mesh_id", "source", "bunch").distinct().join(home.select("mesh_id", "part").distinct(), "mesh_id").select(*GROUP, "source", F.lit(-1).alias("vid"), F.lit(float("inf")).alias("d"))
     return inner.unionByName(points_of(home)).join(bunches, "mesh_id"), entries.drop("nearer").unionByName(everywhere)
 
 
