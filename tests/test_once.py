@@ -3,6 +3,7 @@
 import pytest
 
 from talweg.operators import critical, topology
+from talweg.plans import catalog
 from talweg.sources.tubes import Mesh, tubes
 
 
@@ -28,3 +29,14 @@ def test_conforming_field_computes_edges_sides_and_saddles_once(spark, counted):
     got = critical.conforming_field(Mesh(m.vertices, faces), sided, saddles)
     assert got.count() == m.vertices.count()
     assert (n_faces.value, n_sided.value, n_saddles.value) == tuple(df.count() for df in given)
+
+
+def test_documents_compute_saddles_once(spark, counted, monkeypatch):
+    m = tubes(spark, "/root/testdata/sf0.001", amp=0.05)
+    given = m.vertices.where("vid in (44, 105)").select("mesh_id", "vid")
+    saddles, n = counted(given)
+    monkeypatch.setattr(catalog, "_saddles", lambda _: saddles)
+    docs = catalog._documents(m)
+    assert docs.count() == m.vertices.select("mesh_id").distinct().count()
+    assert '"saddles":[{"index":44' in docs.first()["document"]
+    assert n.value == given.count()
