@@ -63,9 +63,8 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def anchors(data: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """For each window of ``length`` bytes, where its gram of least hash starts; the first of equal ones."""
-    h = gram_hashes(data, gram)
+def anchors(h: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """For each window of ``length`` bytes, where its gram of least hash (``h``: those of all grams) starts; the first of equal ones."""
     span = length - gram + 1
     if len(h) < span:
         return np.zeros(0, np.int64)
@@ -84,12 +83,13 @@ def runs(text: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.n
     """Runs of neighbouring windows with one anchor: first window, last window, anchor, hash of the anchor's gram."""
     for at in range(0, max(1, len(text) - length + 1), SEGMENT - length + 1):
         data = np.frombuffer(text, np.uint8, min(SEGMENT, len(text) - at), at)
-        a = anchors(data, length, gram)
+        h = gram_hashes(data, gram)
+        a = anchors(h, length, gram)
         if len(a):
             cut = np.flatnonzero(np.diff(a)) + 1
             first = np.concatenate([[0], cut])
             last = np.concatenate([cut, [len(a)]]) - 1
-            yield first + at, last + at, a[first] + at, gram_hashes(data, gram)[a[first]]
+            yield first + at, last + at, a[first] + at, h[a[first]]
 
 
 def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int, only_grams: bool) -> Iterator[pa.RecordBatch]:
@@ -154,13 +154,20 @@ def bucket_pointer_refine(data: np.ndarray, ends: np.ndarray, q: int = 8, depth:
     sorted on, so refined buckets let others leap. Pointers keep the suffixes' order.
     """
     n = len(data)
-    padded = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(q, np.uint64)])
+    padded = np.concatenate([data.astype(np.uint64), np.zeros(q, np.uint64)])
     code, room = np.zeros(n, np.uint64), ends - np.arange(n)
     for k in range(q):  # q signs of 9 bits would pass 64: eight 8-bit signs, and the room breaks ties of short ones
-        code = (code << np.uint64(8)) | np.where(room > k, padded[k : k + n] - np.uint64(1), np.uint64(0))
+        code = (code << np.uint64(8)) | padded[k : k + n]
     short = np.minimum(room, q)
-    order = np.lexsort((short, code))
-    new = np.concatenate([[True], (code[order][1:] != code[order][:-1]) | (short[order][1:] != short[order][:-1])])
+    past = np.flatnonzero(short < q)  # what lies beyond a string's end counts as zeros
+    beyond = (8 * (q - short[past])).astype(np.uint64)
+    code[past] = code[past] >> beyond << beyond
+    order = np.argsort(code)
+    sorted_, by_room = code[order], np.diff(short[order]) != 0
+    if (by_room & (sorted_[1:] == sorted_[:-1])).any():  # zero bytes in the text
+        order = np.lexsort((short, code))
+        sorted_, by_room = code[order], np.diff(short[order]) != 0
+    new = np.concatenate([[True], (sorted_[1:] != sorted_[:-1]) | by_room])
     start = np.flatnonzero(new)
     size = np.diff(np.concatenate([start, [n]]))
     pointer, known = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
@@ -174,8 +181,8 @@ def bucket_pointer_refine(data: np.ndarray, ends: np.ndarray, q: int = 8, depth:
         left = []
         for part in _slices(todo, pointer):
             d = known[part]
-            ahead = np.where(part + d < ends[part], part + d, n)
-            o = np.lexsort((pointer[ahead], pointer[part]))
+            ahead = np.where(d < room[part], part + d, n)
+            o = np.argsort(pointer[part] * (n + 1) + pointer[ahead] + 1)  # by both pointers in one key: a sort of two keys takes twice as long
             part, ahead, d = part[o], ahead[o], d[o]
             b, key = pointer[part], pointer[ahead]
             head = np.concatenate([[True], b[1:] != b[:-1]])
